@@ -2,26 +2,76 @@
 
 from __future__ import annotations
 
+from plotweave.llm import chat, embedding_dedup, exact_dedup, langid, quality, sharding
 from plotweave.plans.tables import table
-from plotweave.llm import exact_dedup, sharding
+
+
+def op1_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op2_language_id(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op4_chat_formatting(spark, sf_dir):
+    return chat.digests(chat.with_attack(table(spark, sf_dir, "conversations")))
 
 
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark, sf_dir):
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_sharding(spark, sf_dir):
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_language_id": op2_language_id,
+    "op4_chat_formatting": op4_chat_formatting,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+#: Backslashes that escape the control strings of a text, for texts without a backslash of their own.
+_ESCAPES = " + ".join(f"(length(text) - length(replace(text, '{c}', ''))) // {len(c)}" for c in chat.CONTROL)
+
 SQL = {
+    "op1_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+        ), fit AS (
+            SELECT vec_id, label, e FROM v
+            WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_dot_product(e, e) > 0
+        ), pairs AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM fit a JOIN fit b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.93
+        ), reach AS (
+            SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a
+        ), component AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+        degree AS (SELECT a, count(*) AS n_links FROM pairs GROUP BY a)
+        SELECT v.vec_id, coalesce(d.n_links, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+        FROM v JOIN component c ON c.a = v.vec_id LEFT JOIN degree d ON d.a = v.vec_id""",
+    "op4_chat_formatting": f"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ), s AS (
+            SELECT conv_id, count(*) AS n_turns,
+                string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+                coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+                sum(length('<s>[INST][/INST]') + length(role) + 1 + length(text) + {_ESCAPES} + length('</s>') + 1)::BIGINT AS formatted_chars
+            FROM t GROUP BY conv_id
+        )
+        SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, true AS round_trip FROM s""",
     "op6_exact_dedup": f"""
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), {_AZ}) AS norm FROM documents),
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)

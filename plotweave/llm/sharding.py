@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 OVERHEAD = 16
 _STEP = np.uint64(2862933555777941757)  # multiplier of the published generator
@@ -30,7 +30,7 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _jump_udf(shards: int):
-    @F.pandas_udf("int")
+    @F.pandas_udf(T.IntegerType())
     def shard(key: pd.Series) -> pd.Series:
         return pd.Series(jump(key.to_numpy(np.int64).view(np.uint64), shards).astype(np.int32))
 
