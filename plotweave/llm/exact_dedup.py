@@ -6,8 +6,8 @@
 3. The winners of the salts are combined after a shuffle on the digest.
 
 The whole normalised text is a grouping key at every stage, so rows are equal only if their contents are.
-The decision comes back to the rows by an equi-join on the digest, which carries no text and whose large
-side AQE may split.
+The decision comes back to the rows by an equi-join on the hex digest, which carries no text. As neither side is
+dealt by that key before, AQE may split the rows of a large group.
 """
 
 from __future__ import annotations
@@ -46,10 +46,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Two different texts of one SHA-256 digest stop the query rather than being merged.
     """
     groups = winners(docs, id_col, text_col, salts).select(
-        "digest", "keep_id", "group_size", F.assert_true(F.col("n_texts") == 1, F.lit("two texts share a SHA-256 digest")).alias("checked"))
-    rows = normalised(docs, id_col, text_col).select("doc_id", "digest")
-    return rows.join(groups, "digest").where(F.col("checked").isNull()).select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+        F.lower(F.hex("digest")).alias("text_sha256"), "keep_id", "group_size", F.assert_true(F.col("n_texts") == 1, F.lit("two texts share a SHA-256 digest")).alias("checked"))
+    rows = normalised(docs, id_col, text_col).select("doc_id", F.lower(F.hex("digest")).alias("text_sha256"))
+    return rows.join(groups, "text_sha256").where(F.col("checked").isNull()).select(
+        "doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
