@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plotweave.llm import chat, embedding_dedup, exact_dedup, langid, quality, sharding
+from plotweave.llm import chat, embedding_dedup, exact_dedup, langid, minhash_dedup, mixing, quality, sharding
 from plotweave.plans.tables import table
 
 
@@ -22,6 +22,14 @@ def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_minhash_dedup(spark, sf_dir):
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark, sf_dir):
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,6 +43,8 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op4_chat_formatting": op4_chat_formatting,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_minhash_dedup": op7_minhash_dedup,
+    "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
 }
