@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plotweave.plans.durable import Scratch
 
 TEMPERATURE = 0.9  # targets follow the corpus shares to this power
+WHOLE = 0.02  # share of tokens in the cells that are wanted most and kept whole, as sampling can't repeat documents
 ROUNDS = 50
 TOLERANCE = 1e-9
 MAX_CELLS = 200_000  # cells that are raked on the driver, where they take about 20 MB; more are raked by Spark
@@ -91,7 +92,11 @@ def _rake_spark(cells: DataFrame, margins: tuple[str, ...], temperature: float,
 
 
 def calibrated(described_docs: DataFrame, margins: tuple[str, ...] = MARGINS, temperature: float = TEMPERATURE) -> DataFrame:
-    """margins, weight, fitted, probability of each cell; the cell that is wanted most has probability 1."""
+    """margins, weight, fitted, probability of each cell.
+
+    Probabilities are in proportion to fitted over actual weight. The cells with the largest ratios, which hold
+    WHOLE of all tokens, have probability 1.
+    """
     scratch = Scratch(described_docs.sparkSession, "mixing")
     cells = scratch.write(described_docs.groupBy(*margins).agg(F.sum("tokens").alias("weight")), "cells")
     n = cells.count()
@@ -99,8 +104,8 @@ def calibrated(described_docs: DataFrame, margins: tuple[str, ...] = MARGINS, te
         return cells.withColumn("fitted", F.lit(0.0)).withColumn("probability", F.lit(0.0))
     fitted = (_rake_here if n <= MAX_CELLS else _rake_spark)(cells, margins, temperature)
     ratio = F.col("fitted") / F.col("weight")
-    top = fitted.agg(F.max(ratio)).first()[0]
-    return scratch.write(fitted.withColumn("probability", ratio / F.lit(top)), "probabilities")
+    top = fitted.agg(F.percentile(ratio, 1 - WHOLE, F.col("weight").cast("long"))).first()[0]
+    return scratch.write(fitted.withColumn("probability", F.least(ratio / F.lit(top), F.lit(1.0))), "probabilities")
 
 
 def uniform(doc_id: Column, seed: int = SEED) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plotweave.llm import chat, embedding_dedup, exact_dedup, langid, minhash_dedup, mixing, quality, sharding
+from plotweave.llm import chat, embedding_dedup, exact_dedup, langid, minhash_dedup, mixing, quality, sentencepiece_codec, sharding
 from plotweave.plans.tables import table
 
 
@@ -14,6 +14,10 @@ def op2_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark, sf_dir):
+    return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_formatting(spark, sf_dir):
     return chat.digests(chat.with_attack(table(spark, sf_dir, "conversations")))
 
@@ -41,6 +45,7 @@ def op10_sharding(spark, sf_dir):
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_language_id": op2_language_id,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_chat_formatting": op4_chat_formatting,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_minhash_dedup": op7_minhash_dedup,
