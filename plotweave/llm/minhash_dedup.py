@@ -17,9 +17,8 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from plotweave.llm.arrow_text import chunks
 from plotweave.operators.graph import connected_components
@@ -28,6 +27,8 @@ from plotweave.plans.durable import Scratch
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4  # at similarity 0.8 a pair shares no band with probability 4e-6
+KNOWN = 200_000  # words whose hashes a Python worker remembers
+CHUNK = 1_000_000
 SMALL = 16  # members of a bucket that all meet each other
 
 _GOLD, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -43,7 +44,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _word(word: str) -> int:
-    if len(_known) > 1_000_000:
+    if len(_known) > KNOWN:
         _known.clear()
     out = _known[word] = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
     return out
@@ -100,7 +101,7 @@ def bands(signature: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches, "text"):
+    for batch in chunks(batches, "text", CHUNK):
         texts = batch.column("text").to_pylist()
         found = [shingles(t) for t in texts]
         sizes = np.array([len(f[0]) for f in found])
@@ -112,21 +113,16 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches, "text"):
-        found = [np.sort(shingles(t)[0].view(np.int64)) for t in batch.column("text").to_pylist()]
+    for batch in chunks(batches, "text", CHUNK):
+        found = [shingles(t)[0].view(np.int64) for t in batch.column("text").to_pylist()]
         offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found)))], ["node", "shingles"])
 
 
-@F.pandas_udf(T.DoubleType())
-def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Of two series of rising, distinct arrays."""
-    out = np.empty(len(a))
-    for k, (x, y) in enumerate(zip(a, b)):
-        at = np.searchsorted(x, y)
-        both = int((x[np.minimum(at, len(x) - 1)] == y).sum()) if len(x) and len(y) else 0
-        out[k] = both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
-    return pd.Series(out)
+def jaccard(x, y):
+    """Jaccard similarity of two columns of arrays with distinct elements."""
+    both = F.size(F.array_intersect(x, y))
+    return both / (F.size(x) + F.size(y) - both)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
@@ -134,7 +130,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = docs.join(asked, "node", "left_semi").mapInArrow(_shingled, "node long, shingles array<long>")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.where(jaccard("x", "y") >= threshold).select("a", "b").distinct()
+    return both.where(jaccard(F.col("x"), F.col("y")) >= threshold).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plotweave.llm import chat, embedding_dedup, exact_dedup, langid, minhash_dedup, mixing, quality, sentencepiece_codec, sharding
+from plotweave.llm import chat, embedding_dedup, exact_dedup, langid, minhash_dedup, mixing, quality, sentencepiece_codec, sharding, suffix_dedup
 from plotweave.plans.tables import table
 
 
@@ -22,6 +22,10 @@ def op4_chat_formatting(spark, sf_dir):
     return chat.digests(chat.with_attack(table(spark, sf_dir, "conversations")))
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_mixing": op8_mixing,
@@ -87,6 +92,19 @@ SQL = {
             FROM t GROUP BY conv_id
         )
         SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, true AS round_trip FROM s""",
+    "op5_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM d, unnest(range(0, len(h) // 2 - 49)) AS r(i) WHERE len(h) >= 100),
+        m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+        p AS (SELECT w.doc_id, w.i, lag(w.i) OVER (PARTITION BY w.doc_id ORDER BY w.i) AS before FROM w JOIN m ON w.s = m.s WHERE m.least < w.doc_id),
+        q AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM p),
+        spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM q GROUP BY doc_id, run),
+        gaps AS (SELECT s.doc_id, s.a, s.b, substr(d.h, 2 * coalesce(lag(s.b) OVER (PARTITION BY s.doc_id ORDER BY s.a), 0) + 1,
+            2 * (s.a - coalesce(lag(s.b) OVER (PARTITION BY s.doc_id ORDER BY s.a), 0))) AS piece FROM spans s JOIN d USING (doc_id)),
+        cut AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(piece, '' ORDER BY a) AS head FROM gaps GROUP BY doc_id)
+        SELECT d.doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, coalesce(c.n_removed, 0)::BIGINT AS n_removed, coalesce(c.n_spans, 0)::BIGINT AS n_spans,
+            sha256(unhex(CASE WHEN c.doc_id IS NULL THEN d.h ELSE c.head || substr(d.h, 2 * c.last + 1) END)) AS kept_sha256
+        FROM d LEFT JOIN cut c ON c.doc_id = d.doc_id""",
     "op6_exact_dedup": f"""
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), {_AZ}) AS norm FROM documents),
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
