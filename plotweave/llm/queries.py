@@ -94,7 +94,8 @@ SQL = {
         SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, true AS round_trip FROM s""",
     "op5_suffix_dedup": """
         WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-        w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM d, unnest(range(0, len(h) // 2 - 49)) AS r(i) WHERE len(h) >= 100),
+        c AS (SELECT doc_id, j, substr(h, 512 * j + 1, 610) AS part FROM d, unnest(range(0, (len(h) // 2 + 255) // 256)) AS r(j)),
+        w AS (SELECT doc_id, 256 * j + i AS i, substr(part, 2 * i + 1, 100) AS s FROM c, unnest(range(0, least(256, len(part) // 2 - 49))) AS r(i) WHERE len(part) >= 100),
         m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
         p AS (SELECT w.doc_id, w.i, lag(w.i) OVER (PARTITION BY w.doc_id ORDER BY w.i) AS before FROM w JOIN m ON w.s = m.s WHERE m.least < w.doc_id),
         q AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM p),
