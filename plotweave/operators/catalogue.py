@@ -414,9 +414,9 @@ def chamfer_best_rotation(spark, sf):
     return matching.best_rotation(shapes, shapes.where("shape < 5"))
 
 
-@query("""WITH r AS (SELECT DISTINCT * FROM (SELECT label AS geom_id, 'd' || vec_id % 7 AS "desc", 'v' || vec_id AS example, vec_id AS at FROM embeddings UNION ALL SELECT label, 'd' || vec_id % 5, 'v' || vec_id, vec_id + 1 FROM embeddings WHERE vec_id % 2 = 0)),
-    k AS (SELECT *, row_number() OVER (PARTITION BY geom_id ORDER BY at DESC, example DESC) AS rank FROM r)
-    SELECT geom_id, array_to_string(list_sort(list(DISTINCT "desc")), ',') AS descs, count(*) FILTER (rank <= 20) AS n_examples, max(at) AS newest FROM k GROUP BY geom_id""")
+@query("""WITH r AS (SELECT DISTINCT * FROM (SELECT label AS geom_id, 'd' || vec_id % 7 AS "desc", 'v' || vec_id AS example, vec_id AS stamp FROM embeddings UNION ALL SELECT label, 'd' || vec_id % 5, 'v' || vec_id, vec_id + 1 FROM embeddings WHERE vec_id % 2 = 0)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY geom_id ORDER BY stamp DESC, example DESC) AS rank FROM r)
+    SELECT geom_id, array_to_string(list_sort(list(DISTINCT "desc")), ',') AS descs, count(*) FILTER (rank <= 20) AS n_examples, max(stamp) AS newest FROM k GROUP BY geom_id""")
 def geom_library_upsert(spark, sf):
     e = table(spark, sf, "embeddings")
     of = lambda d, k, shift: d.select(F.col("label").alias("geom_id"), F.concat(F.lit("d"), (F.col("vec_id") % k).cast("string")).alias("desc"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("example"), (F.col("vec_id") + shift).alias("at"))

@@ -49,7 +49,7 @@ def inserts(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     return li.select(
         F.col("l_orderkey").alias("owner"), F.col("l_linenumber").alias("seq"), F.col("l_partkey").alias("block"), F.col("l_quantity").alias("tx"),
-        F.round(F.col("l_extendedprice") / 100, 2).alias("ty"), (1 + F.round(F.col("l_tax") * 100)).alias("sx"), (1 + F.round(F.col("l_discount") * 100)).alias("sy"),
+        F.floor("l_extendedprice").cast("double").alias("ty"), (1 + F.round(F.col("l_tax") * 100)).alias("sx"), (1 + F.round(F.col("l_discount") * 100)).alias("sy"),
         F.round(F.col("l_discount") * 100).alias("rot_deg"), F.col("l_suppkey").alias("tie"))
 
 
@@ -93,7 +93,7 @@ CTES = {
         (round(o_totalprice * 100)::BIGINT % 10000) / 10.0::DOUBLE + 1 + o_orderkey % 13 AS x1, ((o_orderkey * 7919) % 10000) / 10.0::DOUBLE + 1 + o_custkey % 11 AS y1
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)""",
     "blocks": "blocks AS (SELECT p_partkey AS block, p_brand || '_' || p_partkey AS name, 1.0::DOUBLE + p_size AS w, 1.0::DOUBLE + p_partkey % 7 AS h FROM part)",
-    "inserts": """inserts AS (SELECT l_orderkey AS owner, l_linenumber AS seq, l_partkey AS block, l_quantity AS tx, round(l_extendedprice / 100, 2) AS ty,
+    "inserts": """inserts AS (SELECT l_orderkey AS owner, l_linenumber AS seq, l_partkey AS block, l_quantity AS tx, floor(l_extendedprice)::DOUBLE AS ty,
         1 + round(l_tax * 100) AS sx, 1 + round(l_discount * 100) AS sy, round(l_discount * 100) AS rot_deg, l_suppkey AS tie FROM lineitem)""",
     "vertices": """vertices AS (SELECT l_orderkey AS owner, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * 100)::BIGINT, l_quantity::BIGINT)::INT AS seq,
         (round(l_extendedprice * 100)::BIGINT % 1000) / 10.0::DOUBLE AS x, l_quantity::BIGINT * 10.0::DOUBLE AS y FROM lineitem)""",
