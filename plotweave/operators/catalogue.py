@@ -358,18 +358,16 @@ _HAMMING = "(bit_count(xor(c.high, r.high)) + bit_count(xor(c.low, r.low)))::INT
 
 @query(f"{with_('points')}, {_CENTRED} SELECT shape, bin, n FROM rad")
 def radial_histogram(spark, sf):
-    h = matching.histograms(p.points(spark, sf).drop("label"))
-    return h.select("shape", F.posexplode("radial").alias("bin", "n")).where("n > 0").select("shape", "bin", F.col("n").cast("long").alias("n"))
+    return matching.radial_counts(matching.centred(p.points(spark, sf)))
 
 
 @query(f"{with_('points')}, {_CENTRED} SELECT shape, bin, n FROM pw")
 def pairwise_histogram(spark, sf):
-    h = matching.histograms(p.points(spark, sf).drop("label"))
-    return h.select("shape", F.posexplode("pairwise").alias("bin", "n")).where("n > 0").select("shape", "bin", F.col("n").cast("long").alias("n"))
+    return matching.pairwise_counts(matching.centred(p.points(spark, sf)))
 
 
 def _hashes(spark, sf):
-    return matching.phash(matching.histograms(p.points(spark, sf).drop("label"))).select("shape", "high", "low")
+    return matching.phash(p.points(spark, sf))
 
 
 @query(f"{with_('points')}, {_CENTRED}, {_HASHES} SELECT shape, high, low FROM hashes")
