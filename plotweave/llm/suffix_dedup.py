@@ -129,28 +129,50 @@ def suffix_sort(text: Hashed, starts: np.ndarray, group: np.ndarray, depth: int
     return order
 
 
-def settle_windows(data: np.ndarray, start: np.ndarray, doc: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Which of the strings of LENGTH bytes at ``start`` equal one of a smaller document in their group."""
+def _verified(text: Hashed, at: np.ndarray, like: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Whether the strings at ``at`` equal those at ``like``: they must fall together in the sorted suffixes."""
+    starts = np.concatenate([at, like])
+    order = suffix_sort(text, starts, np.concatenate([group, group]))
+    x, y = starts[order[:-1]], starts[order[1:]]
+    same = text.extension(x, y, LENGTH) >= LENGTH
+    for k in range(LENGTH):  # equal hashes are verified by the bytes
+        same &= text.data[x + k] == text.data[y + k]
+    place = np.empty(len(starts), np.int64)
+    place[order] = np.concatenate([[0], np.cumsum(~same)])
+    return place[: len(at)] == place[len(at) :]
+
+
+def settle_windows(data: np.ndarray, start: np.ndarray, doc: np.ndarray, group: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which of the strings of LENGTH bytes at ``start`` equal one of a smaller document in their group.
+
+    Hashes propose for each string the one of the least document. Strings that follow each other and have partners
+    that do so too are a run: its first and last string, which cover it, are verified by the suffix sort.
+    """
     out = np.zeros(len(start), bool)
     if not len(start):
         return out
     text = Hashed(data)
     key = _mix(text.of(start, start + LENGTH) ^ _mix(group.astype(np.uint64)))
-    _, back, count = np.unique(key, return_inverse=True, return_counts=True)
-    some = np.flatnonzero(count[back] > 1)  # others equal no string: equal strings have equal hashes
-    if not len(some):
+    order = np.lexsort((doc, key))
+    new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+    partner = np.empty(len(start), np.int64)
+    partner[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    mine = np.flatnonzero(doc > doc[partner])
+    if not len(mine):
         return out
-    begin, own = start[some], doc[some]
-    _, dense = np.unique(group[some], return_inverse=True)
-    order = suffix_sort(text, begin, dense)
-    a, b = order[:-1], order[1:]
-    same = (dense[a] == dense[b]) & (text.extension(begin[a], begin[b], LENGTH) >= LENGTH)
-    for k in range(LENGTH):  # verified by the bytes
-        same &= data[begin[a] + k] == data[begin[b] + k]
-    run = np.concatenate([[0], np.cumsum(~same)])
-    least = np.full(run[-1] + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, run, own[order])
-    out[some[order]] = own[order] > least[run]
+    shift = start[partner[mine]] - start[mine]
+    head = np.concatenate([[True], (mine[1:] != mine[:-1] + 1) | (owner[mine[1:]] != owner[mine[:-1]]) | (owner[partner[mine[1:]]] != owner[partner[mine[:-1]]]) | (shift[1:] != shift[:-1])])
+    first = np.flatnonzero(head)
+    last = np.append(first[1:], len(mine)) - 1
+    _, dense = np.unique(group[mine[first]], return_inverse=True)
+    ends = np.concatenate([mine[first], mine[last]])
+    good = _verified(text, start[ends], start[partner[ends]], np.concatenate([dense, dense]))
+    good = (good[: len(first)] & good[len(first) :])[np.cumsum(head) - 1]
+    out[mine[good]] = True
+    rest = mine[~good]  # only where hashes collide
+    if len(rest):
+        span = np.arange(LENGTH)
+        out[rest] = (data[start[rest, None] + span] == data[start[partner[rest], None] + span]).all(1)
     return out
 
 
@@ -165,20 +187,23 @@ def _slide(values: np.ndarray, width: int, least: bool) -> np.ndarray:
     return out
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Key, hash of the surroundings, text and place of each anchor of the texts in ``data``."""
-    none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _minimizers(text: Hashed, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of the gram at each place, the least gram of each string of LENGTH bytes (0 across texts), and the text of each byte."""
     size = np.diff(offsets)
-    if not (size >= LENGTH).any():
-        return none
-    text = Hashed(data)
-    at = np.arange(len(data) - GRAM + 1)
+    at = np.arange(len(text.data) - GRAM + 1)
     gram = _mix(text.of(at, at + GRAM))
     owner = np.repeat(np.arange(len(size)), size)
     gram[owner[: len(gram)] != owner[GRAM - 1 :]] = np.uint64((1 << 64) - 1)  # grams across texts
     least = _slide(gram, REACH + 1, True)
-    whole = owner[: len(least)] == owner[LENGTH - 1 :]
-    least = np.where(whole, least, np.uint64(0))
+    return gram, np.where(owner[: len(least)] == owner[LENGTH - 1 :], least, np.uint64(0)), owner
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key, hash of the surroundings, text and place of each anchor of the texts in ``data``."""
+    if not (np.diff(offsets) >= LENGTH).any():
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    text = Hashed(data)
+    gram, least, owner = _minimizers(text, offsets)
     padded = np.concatenate([np.zeros(REACH, np.uint64), least, np.zeros(REACH, np.uint64)])
     chosen = np.flatnonzero(_slide(padded, REACH + 1, False) == gram)
     chosen = chosen[gram[chosen] > 0]
@@ -188,6 +213,15 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return _mix(gram[chosen] + _BASE), around, mine, chosen - offsets[mine]
 
 
+def reach_of(text: Hashed, offsets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First string whose minimizer is the gram at each place, and the number of such strings, which follow each other."""
+    gram, least, _ = _minimizers(text, offsets)
+    begin = at[:, None] - REACH + np.arange(REACH + 1)
+    own = (begin >= 0) & (begin < len(least))
+    own &= least[np.clip(begin, 0, len(least) - 1)] == gram[np.minimum(at, len(gram) - 1)][:, None]
+    return begin[np.arange(len(at)), own.argmax(1)], own.sum(1)
+
+
 def _packed(columns: list[np.ndarray], widths: list[int]) -> bytes:
     """Columns of whole numbers in so many bytes each."""
     parts = [np.array([len(columns[0]), *widths], np.uint32).tobytes()]
@@ -329,9 +363,12 @@ def _shower(buckets: int):
         which, row = which[inside], row[inside]
         key, doc, place = key[which], doc[which], place[which]
         at = offsets[row] + place
-        start, stop = np.maximum(at - REACH, offsets[row]), np.minimum(at + LENGTH, offsets[row + 1])
-        size = stop - start
-        total = np.concatenate([[0], np.cumsum(size)])
+        if len(at):  # strings around that have another minimizer are told by that
+            start, strings = reach_of(Hashed(data), offsets, at)
+            some = strings > 0
+            key, doc, row, start, size = key[some], doc[some], row[some], start[some], strings[some] + LENGTH - 1
+        else:
+            start = size = np.zeros(0, np.int64)
         bucket = (key % np.uint64(buckets)).astype(np.int64)
         rows = []
         for b in np.unique(bucket).tolist():
@@ -355,7 +392,7 @@ def _teller(doc_buckets: int):
         strings = np.maximum(size - LENGTH + 1, 0)
         owner = np.repeat(np.arange(len(size)), strings)
         step = np.arange(len(owner)) - np.repeat(np.cumsum(strings) - strings, strings)
-        hit = settle_windows(data, first[owner] + step, doc[owner], key[owner])
+        hit = settle_windows(data, first[owner] + step, doc[owner], key[owner], owner)
         own, at = doc[owner[hit]], (begin[owner] + step)[hit]
         bucket = _doc_bucket(own, doc_buckets)
         rows = [(b, _pack(own[bucket == b], at[bucket == b])) for b in np.unique(bucket).tolist()]
