@@ -5,10 +5,11 @@ fall on random slots; the first arrival at a slot wins it, so two documents agre
 Jaccard similarity of their weighted shingles (Ertl, 2019). A process ends once it is later than all slots of its
 document. Documents that agree in a band of slots are compared by the Jaccard similarity of their shingle sets.
 
-Buckets may be of any size. Documents of one word sequence are one node. In a bucket all nodes meet a node that is
-drawn for the bucket, and in a small bucket all meet each other; then, in the larger buckets, each node that is not
-yet joined to the drawn one meets all nodes outside its component. So no link is lost to the size of a bucket, and a
-group of near copies costs about one comparison a node and band.
+Buckets may be of any size. Documents of one word sequence are one node. In a bucket all nodes meet its head, the node
+whose buckets hold the most nodes, which is the source of a group of near copies; in a small bucket all meet each
+other. Then, in the larger buckets, each node that is not yet joined to the head meets all nodes outside its
+component. So no link is lost to the size of a bucket, and a group of near copies costs about one comparison a node
+and band. A pair is compared in full only if a byte of each slot, and the numbers of shingles, admit the threshold.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from plotweave.llm.arrow_text import chunks
 from plotweave.operators.graph import connected_components
-from plotweave.plans.durable import Scratch
+from plotweave.plans.durable import Scratch, release_shuffles
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4  # at similarity 0.8 a pair shares no band with probability 4e-6
+SLACK = 0.16  # by which agreement of slots may fall short of the threshold: four standard deviations
 KNOWN = 200_000  # words whose hashes a Python worker remembers
 CHUNK = 1_000_000
 SMALL = 16  # members of a bucket that all meet each other
@@ -106,10 +108,12 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [shingles(t) for t in texts]
         sizes = np.array([len(f[0]) for f in found])
         weights = 1.0 + np.log(np.concatenate([f[1] for f in found]).astype(np.float64))
-        keys = bands(signatures(np.concatenate([f[0] for f in found]), weights, np.repeat(np.arange(len(found)), sizes), len(found)))
+        signature = signatures(np.concatenate([f[0] for f in found]), weights, np.repeat(np.arange(len(found)), sizes), len(found))
+        keys, sketch = bands(signature), (signature >> np.uint64(40)).astype(np.uint8).view(np.int8)
         digest = [blake2b(" ".join((t or "").lower().split()).encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
         lists = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * BANDS, pa.array(keys.ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digest, pa.binary()), pa.array(sizes > 0), lists], ["doc_id", "digest", "has", "keys"])
+        bytes_ = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * (BANDS * ROWS), pa.array(sketch.ravel()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digest, pa.binary()), pa.array(sizes), lists, bytes_], ["doc_id", "digest", "size", "keys", "sketch"])
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,12 +129,20 @@ def jaccard(x, y):
     return both / (F.size(x) + F.size(y) - both)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach ``threshold``; ``docs`` has (node, text)."""
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = docs.join(asked, "node", "left_semi").mapInArrow(_shingled, "node long, shingles array<long>")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.where(jaccard(F.col("x"), F.col("y")) >= threshold).select("a", "b").distinct()
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) whose shingle sets reach ``threshold``; nodes has (node, size, sketch), docs (node, text)."""
+    side = lambda end, p: nodes.select(F.col("node").alias(end), F.col("size").alias(f"{p}_size"), F.col("sketch").alias(f"{p}_sketch"))
+    near = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    agree = F.aggregate(F.zip_with("x_sketch", "y_sketch", lambda p, q: (p == q).cast("int")), F.lit(0), lambda t, v: t + v) / float(BANDS * ROWS)
+    admits = (F.least("x_size", "y_size") >= F.greatest("x_size", "y_size") * threshold) & (agree >= threshold - SLACK)
+    near = scratch.write(near.where(admits).select("a", "b").distinct(), f"{name}-near")
+    asked = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+    sets = scratch.write(docs.join(asked, "node", "left_semi").mapInArrow(_shingled, "node long, shingles array<long>"), f"{name}-sets")
+    both = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    out = scratch.write(both.where(jaccard(F.col("x"), F.col("y")) >= threshold).select("a", "b").distinct(), name)
+    scratch.drop(f"{name}-sets")
+    release_shuffles(docs.sparkSession)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -143,30 +155,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     scratch = Scratch(docs.sparkSession, "minhash")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = scratch.write(rows.mapInArrow(_signed, "doc_id long, digest binary, has boolean, keys array<long>"), "signed")
+    signed = scratch.write(rows.mapInArrow(_signed, "doc_id long, digest binary, size long, keys array<long>, sketch array<tinyint>"), "signed").withColumn("has", F.col("size") > 0)
     heads = signed.where("has").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"))
-    nodes = signed.where("has").join(heads, "digest").where("doc_id = node").select("node", "keys").distinct()
+    nodes = scratch.write(signed.where("has").join(heads, "digest").where("doc_id = node").select("node", "size", "keys", "sketch").dropDuplicates(["node"]), "nodes")
     member = nodes.select("node", F.explode("keys").alias("bucket"))
-    draw = F.struct(F.xxhash64("node", "bucket"), F.col("node"))
-    buckets = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(draw).alias("drawn")).where("size > 1").select("bucket", "size", F.col("drawn.node").alias("head"))
-    member = scratch.write(member.join(buckets, "bucket"), "member")
+    sizes = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    member = scratch.write(member.join(sizes, "bucket"), "member")
+    popular = member.groupBy("node").agg(F.sum("size").alias("weight"))
+    rank = F.struct(F.col("weight"), F.xxhash64("node"), F.col("node"))
+    tops = member.join(popular, "node").groupBy("bucket").agg(F.max(rank).alias("top")).select("bucket", F.col("top.node").alias("head"))
+    member = scratch.write(member.join(tops, "bucket"), "headed")
     ordered = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
     star = member.where("node != head").withColumn("other", F.col("head")).select(*ordered)
     little = member.where(f"size between 3 and {SMALL}").where("node != head")
     small = little.join(little.select("bucket", F.col("node").alias("other")), "bucket").where("node < other").select(*ordered)
     texts = rows.select(F.col("doc_id").alias("node"), "text")
-    first = scratch.write(_verified(scratch.write(star.union(small).distinct(), "pairs"), texts, threshold), "first")
+    links = first = _verified(star.union(small).distinct(), nodes, texts, threshold, scratch, "first")
     joined = connected_components(first, "a", "b")
     home = lambda c: F.coalesce(f"{c}_home", c)
     at = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"{c}_home"))
     large = member.where(f"size > {SMALL}").join(at("node"), "node", "left").join(at("head"), "head", "left")
     large = scratch.write(large.select("bucket", "node", "head", home("node").alias("home"), home("head").alias("head_home")), "large")
     rest = large.where("home != head_home")
-    links = first
     if not rest.isEmpty():
         others = large.select("bucket", F.col("node").alias("other"), F.col("home").alias("other_home"))
         more = rest.join(others, "bucket").where("home != other_home").where("other != head").select(*ordered).distinct()
-        links = first.union(scratch.write(_verified(scratch.write(more, "more"), texts, threshold), "second"))
+        links = first.union(_verified(more, nodes, texts, threshold, scratch, "second"))
         joined = connected_components(links, "a", "b")
     classes = heads.join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("class_id"))
     found = signed.where("has").join(classes, "digest").select("doc_id", "class_id").union(signed.where("not has").select("doc_id", F.col("doc_id").alias("class_id")))
