@@ -9,6 +9,8 @@ from plotweave.operators import classify, drawing, grouping, matching, spatial
 from plotweave.plans import projection as p
 from plotweave.plans.projection import with_
 from plotweave.plans.tables import table
+from plotweave.sources import dxf, patterns
+from plotweave.streaming.notifications import windowed_patterns
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -530,3 +532,37 @@ def grid_line_filter(spark, sf):
 @query("SELECT c_custkey AS k, printf('%.2f', round_even(c_acctbal::DECIMAL(28,10), 2)::DOUBLE) AS fixed FROM customer")
 def decimal_format(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), s.decimal_text(F.col("c_acctbal"), 2).alias("fixed"))
+
+
+# --- sources, sinks and streams ---
+
+
+@query(f"""{with_('entities')} SELECT handle, layer, round(x0, 6) AS x, round(y0, 6) AS y, round(x1, 6) AS x2, round(y1, 6) AS y2 FROM entities WHERE type = 'LINE'""")
+def dxf_round_trip(spark, sf):
+    lines = p.entities(spark, sf).where("type = 'LINE'").select(F.col("doc_id").cast("string").alias("file"), "handle", "layer", F.col("x0").alias("x"), F.col("y0").alias("y"), F.col("x1").alias("x2"), F.col("y1").alias("y2"))
+    read = dxf.entities(dxf.pairs(dxf.as_dxf(lines)))
+    return read.select("handle", "layer", *[F.round(c, 6).alias(c) for c in ("x", "y", "x2", "y2")])
+
+
+@query(f"""{with_('entities')} SELECT doc_id, handle, '{{"type":"' || type || '","handle":' || handle || ',"layer":"' || layer || '"' AS head FROM entities""")
+def json_export(spark, sf):
+    return patterns.as_json(p.entities(spark, sf)).select("doc_id", "handle", F.substring_index("json", ',"geometry"', 1).alias("head"))
+
+
+@query(f"""{with_('entities')} SELECT doc_id, handle, CASE type WHEN 'LINE' THEN printf('<line x1="%.3f" y1="%.3f" x2="%.3f" y2="%.3f"/>', x0, y0, x1, y1)
+    WHEN 'CIRCLE' THEN printf('<circle cx="%.3f" cy="%.3f" r="%.3f"/>', (x0 + x1) / 2, (y0 + y1) / 2, (x1 - x0) / 2)
+    ELSE printf('<rect x="%.3f" y="%.3f" width="%.3f" height="%.3f"/>', x0, y0, x1 - x0, y1 - y0) END AS svg FROM entities WHERE type <> 'CIRCLE'""")
+def svg_export(spark, sf):
+    return patterns.as_svg(p.entities(spark, sf).where("type <> 'CIRCLE'"))
+
+
+@query("""SELECT 'P' || p_partkey AS name, 'pattern ' || p_brand AS description, 1 AS line, (p_partkey % 180)::DOUBLE AS angle, (p_size)::DOUBLE AS "offset", 2 AS n_dashes FROM part""")
+def hatch_pattern_scan(spark, sf):
+    part = table(spark, sf, "part")
+    rows = part.select(F.col("p_partkey").cast("string").alias("file"), F.posexplode(F.array(F.concat(F.lit("*P"), F.col("p_partkey").cast("string"), F.lit(", pattern "), F.col("p_brand")), F.lit("; comment"), F.concat((F.col("p_partkey") % 180).cast("string"), F.lit(", 0,0 , 0,"), F.col("p_size").cast("string"), F.lit(", 1.5,-.5")))).alias("pos", "value"))
+    return patterns.hatch_patterns(rows).select("name", "description", "line", "angle", "offset", F.size("dashes").alias("n_dashes"))
+
+
+@query(f"""{with_('notifications')} SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, type, regexp_replace(message, '\\d+', '#', 'g') AS pattern, count(*) AS n FROM notifications GROUP BY 1, 2, 3""")
+def notification_windows(spark, sf):
+    return windowed_patterns(p.notifications(spark, sf)).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
