@@ -46,13 +46,17 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/plotweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        self.written = 0
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as a new table and read it again."""
-        path = f"{self.root}/{name}-{len(self.paths)}"
+        """Write ``df`` as a new table and read it; a table of that name from before goes once the new one stands."""
+        self.written += 1
+        path = f"{self.root}/{name}-{self.written}"
+        schema = df.schema
+        df.write.parquet(path)
+        self.drop(name)
         self.paths[name] = path
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, name: str) -> None:
         """Delete a table that no later plan reads."""
