@@ -7,7 +7,7 @@ all fit. A document is then kept with the calibrated probability of its cell, by
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plotweave.plans.durable import Scratch
 
@@ -67,7 +67,7 @@ def _rake_here(cells: DataFrame, margins: tuple[str, ...], temperature: float) -
         names, codes[:, k] = np.unique(own[m].to_numpy(str), return_inverse=True)
         targets.append(tempered(np.bincount(codes[:, k], weight, len(names)) / weight.sum(), temperature))
     own["fitted"] = rake(codes, weight, targets)
-    return cells.sparkSession.createDataFrame(own, cells.schema.add("fitted", "double"))
+    return cells.sparkSession.createDataFrame(own, T.StructType([*cells.schema.fields, T.StructField("fitted", T.DoubleType())]))
 
 
 def _rake_spark(cells: DataFrame, margins: tuple[str, ...], temperature: float, rounds: int = ROUNDS) -> DataFrame:
