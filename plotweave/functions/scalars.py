@@ -160,3 +160,23 @@ def text_width(text: Column, height: Column) -> Column:
 
 def has_han(text: Column) -> Column:
     return text.rlike("[一-鿿]")
+
+
+#: Red, green and blue of the first indexed colours: fixed values of the format.
+BASE_COLOURS = ((0, 0, 0), (255, 0, 0), (255, 255, 0), (0, 255, 0), (0, 255, 255), (0, 0, 255), (255, 0, 255), (255, 255, 255))
+
+
+def approximate_index(r: Column, g: Column, b: Column) -> Column:
+    """The first colour whose channels sum to that of the given one or to two more at least, else 0.
+
+    This isn't the nearest colour. White ends the search, as no sum is larger.
+    """
+    total = r + g + b
+    tests = [F.when((total == sum(c)) | (total - sum(c) < -1), F.lit(k)) for k, c in enumerate(BASE_COLOURS)]
+    return F.coalesce(*tests, F.lit(0))
+
+
+def measured(kind: Column, dx: Column, dy: Column, turn_deg: Column) -> Column:
+    """Length of a dimension: aligned takes the distance, linear its part along the dimension's direction."""
+    along = F.abs(dx * F.cos(F.radians(turn_deg)) + dy * F.sin(F.radians(turn_deg)))
+    return F.when(kind == "linear", along).otherwise(F.sqrt(dx * dx + dy * dy))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from plotweave.functions import geometry as g, scalars as s
-from plotweave.operators import classify, drawing, grouping, matching, spatial
+from plotweave.operators import classify, curves, drawing, grouping, matching, spatial
 from plotweave.plans import projection as p
 from plotweave.plans.projection import with_
 from plotweave.plans.tables import table
@@ -566,3 +566,65 @@ def hatch_pattern_scan(spark, sf):
 @query(f"""{with_('notifications')} SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, type, regexp_replace(message, '\\d+', '#', 'g') AS pattern, count(*) AS n FROM notifications GROUP BY 1, 2, 3""")
 def notification_windows(spark, sf):
     return windowed_patterns(p.notifications(spark, sf)).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
+
+
+# --- curves, codecs, references ---
+
+
+@query(f"""{with_('vertices')}, c AS (SELECT owner, max(CASE seq WHEN 1 THEN x END) AS ax, max(CASE seq WHEN 2 THEN x END) AS bx, max(CASE seq WHEN 3 THEN x END) AS cx, max(CASE seq WHEN 4 THEN x END) AS dx,
+    max(CASE seq WHEN 1 THEN y END) AS ay, max(CASE seq WHEN 2 THEN y END) AS b, max(CASE seq WHEN 3 THEN y END) AS cy, max(CASE seq WHEN 4 THEN y END) AS dy FROM vertices WHERE seq <= 4 GROUP BY owner HAVING count(*) = 4)
+    SELECT owner, k, round((1 - t) * (1 - t) * (1 - t) * ax + 3 * t * (1 - t) * (1 - t) * bx + 3 * t * t * (1 - t) * cx + t * t * t * dx + 1e-8, 6) AS x,
+        round((1 - t) * (1 - t) * (1 - t) * ay + 3 * t * (1 - t) * (1 - t) * b + 3 * t * t * (1 - t) * cy + t * t * t * dy + 1e-8, 6) AS y FROM (SELECT *, k / 4.0::DOUBLE AS t FROM c, unnest(range(0, 5)) AS r(k))""")
+def spline_eval(spark, sf):
+    v = p.vertices(spark, sf).where("seq <= 4")
+    four = v.groupBy("owner").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))), lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("pts")).where("size(pts) = 4")
+    out = four.select("owner", F.posexplode(curves.spline_points("pts", 4)).alias("k", "q"))
+    return out.select("owner", F.col("k").cast("long").alias("k"), F.round(F.col("q.x") + 1e-8, 6).alias("x"), F.round(F.col("q.y") + 1e-8, 6).alias("y"))  # no ties
+
+
+@query("""SELECT vec_id AS shape, 32 AS n, sum(round_even(greatest(-1, least(1, embedding[2 * i + 1]::DOUBLE)) * 32767, 0))::BIGINT AS sx, sum(round_even(greatest(-1, least(1, embedding[2 * i + 2]::DOUBLE)) * 32767, 0))::BIGINT AS sy
+    FROM embeddings, unnest(range(0, 32)) AS r(i) GROUP BY vec_id""")
+def point_cloud_codec(spark, sf):
+    e = F.transform("embedding", lambda v: v.cast("double"))
+    pts = F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: F.struct(F.element_at(e, 2 * i - 1).alias("x"), F.element_at(e, 2 * i).alias("y")))
+    text = table(spark, sf, "embeddings").select(F.col("vec_id").alias("shape"), curves.packed(pts).alias("text"))
+    return text.select("shape", curves.unpacked_sums("text").alias("s")).select("shape", F.col("s.n").cast("int").alias("n"), "s.sx", "s.sy")
+
+
+@query("""WITH t AS (SELECT c_custkey AS k, c_custkey * 71 % 256 + c_custkey * 31 % 256 + c_custkey % 256 AS s FROM customer), c(i, v) AS (VALUES (0, 0), (1, 255), (2, 510), (3, 255), (4, 510), (5, 255), (6, 510), (7, 765))
+    SELECT k, coalesce(min(i) FILTER (s = v OR s - v < -1), 0)::INT AS colour FROM t, c GROUP BY k""")
+def approx_color_index(spark, sf):
+    k = F.col("c_custkey")
+    return table(spark, sf, "customer").select(k.alias("k"), s.approximate_index(k * 71 % 256, k * 31 % 256, k % 256).alias("colour"))
+
+
+@query("""SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS q, round(CASE WHEN l_linenumber % 2 = 0 THEN abs(l_quantity * cos(radians(l_partkey % 90)) + l_linenumber * sin(radians(l_partkey % 90)))
+    ELSE sqrt(l_quantity * l_quantity + l_linenumber * l_linenumber) END, 6) AS length FROM lineitem""")
+def dimension_measurement(spark, sf):
+    li = table(spark, sf, "lineitem")
+    kind = F.when(F.col("l_linenumber") % 2 == 0, "linear").otherwise("aligned")
+    length = s.measured(kind, F.col("l_quantity"), F.col("l_linenumber").cast("double"), (F.col("l_partkey") % 90).cast("double"))
+    return li.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("q"), F.round(length, 6).alias("length"))
+
+
+@query("""SELECT o_orderkey AS k, CASE WHEN o_custkey % 40 < 25 THEN (SELECT n_name FROM nation WHERE n_nationkey = o_custkey % 40) ELSE (SELECT n_name FROM nation WHERE lower(n_name) = lower(c_mktsegment) OR n_nationkey = (CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 25 END)) END AS target,
+    CASE WHEN o_custkey % 40 < 25 THEN 'handle' WHEN o_orderkey % 3 = 0 THEN 'name' ELSE 'missing' END AS found_by FROM orders JOIN customer ON c_custkey = o_custkey""")
+def reference_fallback(spark, sf):
+    n = table(spark, sf, "nation")
+    names = n.select(F.col("n_nationkey").alias("nk"), F.upper("n_name").alias("ref_name"))
+    o = table(spark, sf, "orders").withColumn("nk", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") % 25)).join(F.broadcast(names), "nk", "left")  # nation: 25 rows at any scale
+    refs = o.select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 40).cast("int").alias("ref_handle"), "ref_name")
+    named = n.select(F.col("n_nationkey").alias("handle"), F.col("n_name").alias("name"))
+    return drawing.resolved(refs, named, named).select("k", "target", "found_by")
+
+
+@query("""WITH RECURSIVE l AS (SELECT o_orderkey AS handle, CASE WHEN o_orderkey % 10 <> 9 THEN o_orderkey + 1 END AS next FROM orders),
+    w AS (SELECT handle AS head, handle, 0::BIGINT AS step FROM l WHERE handle NOT IN (SELECT next FROM l WHERE next IS NOT NULL) UNION ALL SELECT w.head, l.next, w.step + 1 FROM w JOIN l ON l.handle = w.handle WHERE l.next IS NOT NULL) SELECT head, handle, step FROM w""")
+def linked_chains(spark, sf):
+    k = F.col("o_orderkey")
+    return drawing.chains(table(spark, sf, "orders").select(k.alias("handle"), F.when(k % 10 != 9, k + 1).alias("next")))
+
+
+@query()
+def label_assignment(spark, sf):
+    return curves.assign_labels(p.labels(spark, sf), p.entities(spark, sf).where("type = 'INSERT'"), 60.0)

@@ -112,3 +112,31 @@ def slope_flips(vertices: DataFrame, least: float = 1.0) -> DataFrame:
     s = s.where(F.abs("dy") >= least).withColumn("sign", F.signum("dy"))
     s = s.withColumn("before", F.lag("sign").over(W.partitionBy("owner").orderBy("seq")))
     return s.groupBy("owner").agg(F.count_if(F.col("sign") != F.col("before")).alias("flips"))
+
+
+def resolved(entities: DataFrame, by_handle: DataFrame, by_name: DataFrame) -> DataFrame:
+    """Reference by handle, or else by name: ``target`` and how it was found."""
+    h = by_handle.select(F.col("handle").alias("ref_handle"), F.col("name").alias("handle_name"))
+    n = by_name.select(F.lower("name").alias("key"), F.col("name").alias("named"))
+    out = entities.join(h, "ref_handle", "left").join(n, F.lower("ref_name") == F.col("key"), "left")
+    how = F.when(F.col("handle_name").isNotNull(), "handle").when(F.col("named").isNotNull(), "name").otherwise("missing")
+    return out.select(*entities.columns, F.coalesce("handle_name", "named").alias("target"), how.alias("found_by"))
+
+
+def chains(links: DataFrame) -> DataFrame:
+    """(head, handle, step) of linked lists (handle, next), by pointer doubling: log2 of the longest chain joins.
+
+    A head is a handle that no other points to; handles on a cycle have none and are left out.
+    """
+    heads = links.join(links.select(F.col("next").alias("to")), F.col("handle") == F.col("to"), "left_anti")
+    found = heads.select(F.col("handle").alias("head"), "handle", F.lit(0).cast("long").alias("step"))
+    hop, width = links.where("next is not null").select(F.col("handle").alias("from"), F.col("next").alias("to")), 1
+    while True:
+        more = found.join(hop, found["handle"] == hop["from"]).select("head", F.col("to").alias("handle"), (F.col("step") + width).alias("step"))
+        more = checkpointed(more)
+        if more.isEmpty():
+            return found
+        found = checkpointed(found.union(more))
+        on = hop.select(F.col("from").alias("mid"), F.col("to").alias("end"))
+        hop = checkpointed(hop.join(on, F.col("to") == F.col("mid")).select("from", F.col("end").alias("to")))
+        width *= 2
