@@ -29,7 +29,9 @@ from plotweave.plans.durable import Scratch, release_shuffles
 LENGTH = 50
 GRAM = 16
 REACH = LENGTH - GRAM  # bytes before an anchor that a string holding it may cover
-BUCKET_BYTES = 6_000_000  # bytes of text for each bucket of anchors and of documents
+BUCKET_BYTES = 4_000_000  # bytes of text for each bucket of anchors and of documents
+HELD = 600_000  # anchors that a task holds before it sends them
+CHUNK = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -305,13 +307,13 @@ def _sampler(buckets: int):
             rows = list(rows)
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "entries", "done"])
 
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", CHUNK):
             ids = batch.column("doc").to_numpy()
             key, around, mine, place = anchors(*utf8(batch.column("text")))
             if len(key):
                 held.append((key, around & np.uint64((1 << 40) - 1), ids[mine], place))
                 count += len(key)
-            if count > 1_500_000:
+            if count > HELD:
                 count = 0
                 yield out(flush())
         if held:
