@@ -180,3 +180,37 @@ def measured(kind: Column, dx: Column, dy: Column, turn_deg: Column) -> Column:
     """Length of a dimension: aligned takes the distance, linear its part along the dimension's direction."""
     along = F.abs(dx * F.cos(F.radians(turn_deg)) + dy * F.sin(F.radians(turn_deg)))
     return F.when(kind == "linear", along).otherwise(F.sqrt(dx * dx + dy * dy))
+
+
+#: Lengths in millimetres of the line weights by index: fixed values of the format, in hundredths.
+LINE_WEIGHTS = (0, 5, 9, 13, 15, 18, 20, 25, 30, 35, 40, 50, 53, 60, 70, 80, 90, 100, 106, 120, 140, 158, 200, 211)
+
+
+def line_weight_index(weight: Column) -> Column:
+    """Index of a line weight in hundredths of a millimetre, null for others."""
+    at = F.array_position(F.array(*map(F.lit, LINE_WEIGHTS)), weight.cast("int"))
+    return F.when(at > 0, (at - 1).cast("int"))
+
+
+def angle_mod_pi(angle: Column) -> Column:
+    """An undirected angle in [0, pi)."""
+    return F.pmod(angle, F.lit(3.141592653589793))
+
+
+def repaired(text: Column) -> Column:
+    """Text that was read as Latin-1 though it is UTF-8; what doesn't decode stays as it is."""
+    raw = F.encode(F.when(text.rlike("^[\\x00-\\xff]*$"), text), "ISO-8859-1")
+    return F.when(F.is_valid_utf8(F.decode(raw, "ISO-8859-1")) & F.try_validate_utf8(raw.cast("string")).isNotNull(), raw.cast("string")).otherwise(text)
+
+
+def unit_scale(paper: Column, drawing: Column) -> Column:
+    """Scale of an annotation: paper units over drawing units, null for 0."""
+    return F.when(drawing != 0, paper / drawing)
+
+
+def overrides(codes: Column) -> Column:
+    """Map of style overrides: the records between braces as pairs of code and value, null if one is left over."""
+    inner = F.slice(codes, 2, F.size(codes) - 2)
+    n = F.size(inner)
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(n / 2).cast("int") - 1), lambda k: F.struct(F.element_at(inner, 2 * k + 1).alias("key"), F.element_at(inner, 2 * k + 2).alias("value")))
+    return F.when((F.element_at(codes, 1) == "{") & (F.element_at(codes, -1) == "}") & (n >= 2) & (n % 2 == 0), F.map_from_entries(pairs))

@@ -628,3 +628,65 @@ def linked_chains(spark, sf):
 @query()
 def label_assignment(spark, sf):
     return curves.assign_labels(p.labels(spark, sf), p.entities(spark, sf).where("type = 'INSERT'"), 60.0)
+
+
+@query(f"SELECT p_partkey AS k, (CASE (p_partkey % 24)::INT " + " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(s.LINE_WEIGHTS)) + " END)::INT AS weight, (p_partkey % 24)::INT AS idx FROM part")
+def line_weight_lookup(spark, sf):
+    w = F.element_at(F.array(*map(F.lit, s.LINE_WEIGHTS)), (F.col("p_partkey") % 24 + 1).cast("int"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("k"), w.alias("weight")).withColumn("idx", s.line_weight_index(F.col("weight")))
+
+
+@query("SELECT s_suppkey AS k, s_acctbal * 96 AS inches, CASE s_suppkey % 3 WHEN 0 THEN s_acctbal * 96 WHEN 1 THEN s_acctbal * 96 / 25.4::DOUBLE END AS pixels, CASE WHEN s_suppkey % 4 <> 0 THEN s_acctbal / (s_suppkey % 4) END AS scale FROM supplier")
+def pixel_and_scale(spark, sf):
+    k, v = F.col("s_suppkey"), F.col("s_acctbal")
+    unit = F.when(k % 3 == 0, "in").when(k % 3 == 1, "mm").otherwise("pt")
+    return table(spark, sf, "supplier").select(k.alias("k"), s.pixel_size(v, F.lit("in")).alias("inches"), s.pixel_size(v, unit).alias("pixels"), s.unit_scale(v, k % 4).alias("scale"))
+
+
+@query("SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS q, round_even(l_quantity / 7 * 86400000, 0)::BIGINT AS ms FROM lineitem")
+def elapsed_time(spark, sf):
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("q"), s.elapsed(F.col("l_quantity") / 7).alias("ms"))
+
+
+@query("SELECT doc_id, round(2.5::DOUBLE * 0.8::DOUBLE * list_max(list_transform(string_split_regex(text, '\\r\\n|\\r|\\n|\\\\P'), lambda x: length(x))), 6) AS width FROM documents")
+def text_box_estimate(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.round(s.text_width(F.col("text"), F.lit(2.5)), 6).alias("width"))
+
+
+@query("SELECT doc_id, substr(text, 1, 40) AS fixed FROM documents")
+def mojibake_repair(spark, sf):
+    broken = F.decode(F.encode(F.substring("text", 1, 40), "UTF-8"), "ISO-8859-1")
+    return table(spark, sf, "documents").select("doc_id", s.repaired(broken).alias("fixed"))
+
+
+@query("SELECT p_partkey AS k, CASE WHEN p_partkey % 3 <> 0 THEN p_size::VARCHAR END AS dimscale FROM part")
+def style_overrides(spark, sf):
+    k = F.col("p_partkey")
+    whole = F.array(F.lit("{"), F.lit("40"), F.col("p_size").cast("string"), F.lit("41"), k.cast("string"), F.lit("}"))
+    odd = F.array(F.lit("{"), F.lit("40"), F.col("p_size").cast("string"), F.lit("41"), F.lit("}"))
+    return table(spark, sf, "part").select(k.alias("k"), F.try_element_at(s.overrides(F.when(k % 3 != 0, whole).otherwise(odd)), F.lit("40")).alias("dimscale"))
+
+
+@query(f"""{with_('vertices')}, s AS (SELECT owner, x, y, lead(x) OVER w AS bx, lead(y) OVER w AS b FROM vertices WINDOW w AS (PARTITION BY owner ORDER BY seq)),
+    t AS (SELECT owner, round(sum(sqrt((bx - x) * (bx - x) + (b - y) * (b - y))), 6) AS length FROM s WHERE bx IS NOT NULL GROUP BY owner),
+    d AS (SELECT owner, length, 2 * n + i AS k, n * 100.0::DOUBLE + i * 70.0::DOUBLE AS a, n * 100.0::DOUBLE + CASE i WHEN 0 THEN 50.0 ELSE 80.0 END::DOUBLE AS z FROM t, unnest(range(0, floor(length / 100)::BIGINT + 1)) AS r(n), unnest(range(0, 2)) AS q(i) WHERE length > 0)
+    SELECT owner, k, a AS start, least(z, length) AS stop FROM d WHERE a < length""")
+def linetype_dashes(spark, sf):
+    return drawing.dashes(p.vertices(spark, sf), (50.0, -20.0, 10.0, -20.0))
+
+
+@query(f"""{with_('entities')} SELECT handle, count(*) AS n, round(sum(x), 6) AS sx, round(sum(y), 6) AS sy FROM (
+    SELECT handle, unnest(CASE WHEN type IN ('LINE', 'ARC') THEN [x0, x1] WHEN type = 'CIRCLE' THEN [x0, x1, (x0 + x1) / 2, (x0 + x1) / 2] ELSE [x0, x1, x0, x1] END) AS x,
+        unnest(CASE WHEN type IN ('LINE', 'ARC') THEN [y0, y1] WHEN type = 'CIRCLE' THEN [(y0 + y1) / 2, (y0 + y1) / 2, y0, y1] ELSE [y0, y0, y1, y1] END) AS y FROM entities) GROUP BY handle""")
+def connection_points(spark, sf):
+    pts = drawing.key_points(p.entities(spark, sf))
+    return pts.groupBy("handle").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 6).alias("sx"), F.round(F.sum("y"), 6).alias("sy"))
+
+
+@query(f"""{with_('entities')}, v AS (SELECT s_suppkey AS viewport, s_suppkey % 16 AS doc_id, (s_suppkey * 97 % 900)::DOUBLE AS x0, (s_suppkey * 53 % 900)::DOUBLE AS y0, (s_suppkey * 97 % 900 + 90)::DOUBLE AS x1, (s_suppkey * 53 % 900 + 60)::DOUBLE AS y1 FROM supplier)
+    SELECT v.viewport, e.handle, e.x0 >= v.x0 AND e.y0 >= v.y0 AND e.x1 <= v.x1 AND e.y1 <= v.y1 AS "full" FROM v JOIN entities e ON e.doc_id = v.doc_id AND e.x0 <= v.x1 AND e.x1 >= v.x0 AND e.y0 <= v.y1 AND e.y1 >= v.y0""")
+def viewport_selection(spark, sf):
+    k = F.col("s_suppkey")
+    x, y = (k * 97 % 900).cast("double"), (k * 53 % 900).cast("double")
+    v = table(spark, sf, "supplier").select(k.alias("viewport"), (k % 16).alias("doc_id"), x.alias("x0"), y.alias("y0"), (x + 90).alias("x1"), (y + 60).alias("y1"))
+    return drawing.viewport_select(v, p.entities(spark, sf))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from plotweave.functions import geometry as g
+from plotweave.operators.spatial import band_join
 from plotweave.plans.durable import checkpointed
 
 BY_LAYER, BY_BLOCK = 256, 0
@@ -140,3 +141,37 @@ def chains(links: DataFrame) -> DataFrame:
         on = hop.select(F.col("from").alias("mid"), F.col("to").alias("end"))
         hop = checkpointed(hop.join(on, F.col("to") == F.col("mid")).select("from", F.col("end").alias("to")))
         width *= 2
+
+
+def dashes(vertices: DataFrame, pattern: tuple[float, ...]) -> DataFrame:
+    """owner, k, start, stop: the drawn parts of a line type along each polyline, by the distance from its start.
+
+    Positive lengths are dashes, negative ones gaps, and the pattern repeats to the end of the line.
+    """
+    whole = sum(abs(v) for v in pattern)
+    total = polyline_lengths(vertices).where("length > 0")
+    edges, at = [], 0.0
+    for v in pattern:
+        if v > 0:
+            edges.append((at, at + v))
+        at += abs(v)
+    parts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in edges])
+    each = total.select("owner", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("length") / whole))).alias("turn"))
+    drawn = each.select("owner", "length", "turn", F.posexplode(parts).alias("i", "part"))
+    start, stop = F.col("turn") * whole + F.col("part.a"), F.col("turn") * whole + F.col("part.b")
+    return drawn.where(start < F.col("length")).select("owner", (F.col("turn") * len(edges) + F.col("i")).alias("k"), start.alias("start"), F.least(stop, F.col("length")).alias("stop"))
+
+
+def key_points(entities: DataFrame) -> DataFrame:
+    """handle, i, x, y: ends of lines and arcs, the four quadrants of circles, the corners of all else."""
+    x0, y0, x1, y1 = (F.col(c) for c in g.BOX)
+    cx, cy = (x0 + x1) / 2, (y0 + y1) / 2
+    at = lambda *ps: F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in ps])
+    pts = F.when(F.col("type").isin("LINE", "ARC"), at((x0, y0), (x1, y1))).when(F.col("type") == "CIRCLE", at((x0, cy), (x1, cy), (cx, y0), (cx, y1))).otherwise(at((x0, y0), (x1, y0), (x0, y1), (x1, y1)))
+    return entities.select("handle", F.posexplode(pts).alias("i", "p")).select("handle", "i", "p.x", "p.y")
+
+
+def viewport_select(viewports: DataFrame, entities: DataFrame) -> DataFrame:
+    """viewport, handle, full: what each viewport's model box shows, in whole or in part."""
+    met = band_join(viewports, entities, ["doc_id"], 64.0, 0.0, g.near("l_", "r_", 0.0))
+    return met.select(F.col("l_viewport").alias("viewport"), F.col("r_handle").alias("handle"), g.contains("l_", "r_").alias("full"))
