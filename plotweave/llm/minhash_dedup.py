@@ -150,14 +150,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     class_id is the smallest doc_id of the documents that are joined by links, of similarity ``threshold`` or more;
     kept marks that document. Texts of the same words (case and white space aside) are one class. Null texts and
-    texts without a word link with nothing. Rows of one id are one document that has the links of all its texts.
+    texts without a word link with nothing. Rows of one id are one document; if their texts differ, the one with the
+    least digest looks for partners.
     Other columns are not read. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "minhash")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = scratch.write(rows.mapInArrow(_signed, "doc_id long, digest binary, size long, keys array<long>, sketch array<tinyint>"), "signed").withColumn("has", F.col("size") > 0)
     heads = signed.where("has").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"))
-    nodes = scratch.write(signed.where("has").join(heads, "digest").where("doc_id = node").select("node", "size", "keys", "sketch").dropDuplicates(["node"]), "nodes")
+    chosen = heads.groupBy("node").agg(F.min("digest").alias("digest"))
+    nodes = scratch.write(signed.where("has").join(chosen, "digest").where("doc_id = node").select("node", "size", "keys", "sketch").distinct(), "nodes")
     member = nodes.select("node", F.explode("keys").alias("bucket"))
     sizes = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     member = scratch.write(member.join(sizes, "bucket"), "member")
