@@ -29,6 +29,7 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4  # at similarity 0.8 a pair shares no band with probability 4e-6
 SLACK = 0.16  # by which agreement of slots may fall short of the threshold: four standard deviations
+BLOCK = 512  # nodes of a large bucket that are compared with as many in one task
 KNOWN = 200_000  # words whose hashes a Python worker remembers
 CHUNK = 1_000_000
 SMALL = 16  # members of a bucket that all meet each other
@@ -129,13 +130,18 @@ def jaccard(x, y):
     return both / (F.size(x) + F.size(y) - both)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach ``threshold``; nodes has (node, size, sketch), docs (node, text)."""
+def _admitted(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches admit ``threshold``; nodes has (node, size, sketch)."""
     side = lambda end, p: nodes.select(F.col("node").alias(end), F.col("size").alias(f"{p}_size"), F.col("sketch").alias(f"{p}_sketch"))
     near = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     agree = F.aggregate(F.zip_with("x_sketch", "y_sketch", lambda p, q: (p == q).cast("int")), F.lit(0), lambda t, v: t + v) / float(BANDS * ROWS)
     admits = (F.least("x_size", "y_size") >= F.greatest("x_size", "y_size") * threshold) & (agree >= threshold - SLACK)
-    near = scratch.write(near.where(admits).select("a", "b").distinct(), f"{name}-near")
+    return near.where(admits).select("a", "b").distinct()
+
+
+def _verified(near: DataFrame, docs: DataFrame, threshold: float, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) whose shingle sets reach ``threshold``; docs has (node, text)."""
+    near = scratch.write(near, f"{name}-near")
     asked = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
     sets = scratch.write(docs.join(asked, "node", "left_semi").mapInArrow(_shingled, "node long, shingles array<long>"), f"{name}-sets")
     both = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
@@ -145,6 +151,45 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: fl
     return out
 
 
+def _block_pairs(threshold: float):
+    def compare(table: pa.Table) -> pa.Table:
+        """Pairs of a row of the rest and a member of another component whose sizes and sketches admit the threshold."""
+        asks = table.column("asks").to_numpy()
+        node, home, size = (table.column(c).to_numpy() for c in ("node", "home", "size"))
+        sketch = table.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(node), BANDS * ROWS)
+        rest, other = np.flatnonzero(asks), np.flatnonzero(~asks)
+        need = (threshold - SLACK) * BANDS * ROWS
+        found = []
+        for at in range(0, len(rest), 32):
+            r = rest[at : at + 32]
+            good = (sketch[r][:, None] == sketch[other][None]).sum(2) >= need
+            good &= home[r][:, None] != home[other][None]
+            good &= np.minimum(size[r][:, None], size[other][None]) >= threshold * np.maximum(size[r][:, None], size[other][None])
+            x, y = np.nonzero(good)
+            found.append(np.column_stack([node[r[x]], node[other[y]]]))
+        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return compare
+
+
+def _rest_pairs(large: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Admitted pairs of nodes that aren't joined to the head of their bucket and the bucket's nodes of other components.
+
+    A bucket is cut into blocks of BLOCK nodes on both sides, and a pair of blocks is compared in one task, so no
+    bucket is ever together in one and pairs that are not admitted never become rows.
+    """
+    apart = F.col("home") != F.col("head_home")
+    cut = lambda n: F.ceil(n / BLOCK).cast("int")
+    counts = large.groupBy("bucket").agg(cut(F.count_if(apart)).alias("rests"), cut(F.count(F.lit(1))).alias("all")).where("rests > 0")
+    rows = large.join(counts, "bucket").join(nodes.select("node", "size", "sketch"), "node")
+    of = lambda n: F.pmod(F.xxhash64("node", "bucket"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = rows.where(apart).select("bucket", of("rests").alias("i"), every("all").alias("j"), F.lit(True).alias("asks"), "node", "home", "size", "sketch")
+    asked = rows.select("bucket", every("rests").alias("i"), of("all").alias("j"), F.lit(False).alias("asks"), "node", "home", "size", "sketch")
+    return asking.union(asked).groupBy("bucket", "i", "j").applyInArrow(_block_pairs(threshold), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id, kept of every row of ``docs``.
 
@@ -172,18 +217,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     little = member.where(f"size between 3 and {SMALL}").where("node != head")
     small = little.join(little.select("bucket", F.col("node").alias("other")), "bucket").where("node < other").select(*ordered)
     texts = rows.select(F.col("doc_id").alias("node"), "text")
-    links = first = _verified(star.union(small).distinct(), nodes, texts, threshold, scratch, "first")
+    first = _verified(_admitted(star.union(small).distinct(), nodes, threshold), texts, threshold, scratch, "first")
     joined = connected_components(first, "a", "b")
     home = lambda c: F.coalesce(f"{c}_home", c)
     at = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"{c}_home"))
     large = member.where(f"size > {SMALL}").join(at("node"), "node", "left").join(at("head"), "head", "left")
     large = scratch.write(large.select("bucket", "node", "head", home("node").alias("home"), home("head").alias("head_home")), "large")
-    rest = large.where("home != head_home")
-    if not rest.isEmpty():
-        others = large.select("bucket", F.col("node").alias("other"), F.col("home").alias("other_home"))
-        more = rest.join(others, "bucket").where("home != other_home").where("other != head").select(*ordered).distinct()
-        links = first.union(_verified(more, nodes, texts, threshold, scratch, "second"))
-        joined = connected_components(links, "a", "b")
+    second = _verified(_rest_pairs(large, nodes, threshold), texts, threshold, scratch, "second")
+    if not second.isEmpty():
+        joined = connected_components(first.union(second), "a", "b")
     classes = heads.join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("class_id"))
     found = signed.where("has").join(classes, "digest").select("doc_id", "class_id").union(signed.where("not has").select("doc_id", F.col("doc_id").alias("class_id")))
     return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
