@@ -35,10 +35,10 @@ def merge_until_stable(boxes: DataFrame, gap: float, ratio: float | None = None,
     """doc_id, handle, x0, y0, x1, y1, n: boxes merged again and again until none is close to another.
 
     A round joins the boxes, unites each component and writes the result; handle is the least of a group and n its
-    members.
+    members; boxes that bring an ``n`` count as so many.
     """
     scratch = Scratch(boxes.sparkSession, "merge")
-    now = scratch.write(boxes.select("doc_id", "handle", *g.BOX, F.lit(1).cast("long").alias("n")), "boxes-0")
+    now = scratch.write(boxes.select("doc_id", "handle", *g.BOX, (F.col("n") if "n" in boxes.columns else F.lit(1)).cast("long").alias("n")), "boxes-0")
     count = now.count()
     for k in range(1, rounds + 1):
         close = g.merges("l_", "r_", gap, ratio) & (F.col("l_handle") < F.col("r_handle"))

@@ -148,3 +148,10 @@ def test_dxf_sections(spark):
     assert [(r["type"], r["handle"], r["layer"], r["x"], r["radius"]) for r in rows] == [("LINE", 31, "Walls", 1.5, None), ("CIRCLE", 32, "0", 0.0, 2.5)]
     assert dxf.header(found).collect()[0]["values"] == ["AC1021"]
     assert dxf.layers(found).select("name", "aci").collect() == [("Walls", 3)]
+
+
+def test_refine_shrinks_and_keeps_counts(spark):
+    rows = [(1, 1, 0.0, 0.0, 1.0, 1.0), (1, 2, 2.0, 0.0, 3.0, 1.0), (1, 3, 50.0, 0.0, 51.0, 1.0)]
+    df = spark.createDataFrame(rows, "doc_id int, handle long, x0 double, y0 double, x1 double, y1 double")
+    got = sorted(map(tuple, grouping.refine_and_merge(df, 3.0, 0.25).select("handle", "x0", "x1", "n").collect()))
+    assert got == [(1, -0.25, 3.25, 2), (3, 49.75, 51.25, 1)]
