@@ -58,8 +58,8 @@ def records(found: DataFrame) -> DataFrame:
 
 
 def _value(code: int, kind: str):
-    text = F.max(F.when(F.col("code") == code, F.trim("value")))
-    return F.expr("0") if kind == "" else text.try_cast(kind) if hasattr(text, "try_cast") else text.cast(kind)
+    """The record's value of a code; null if there is none or it isn't of the kind."""
+    return F.max(F.when(F.col("code") == code, F.trim("value"))).try_cast(kind)
 
 
 def entities(found: DataFrame, section: str = "ENTITIES") -> DataFrame:
