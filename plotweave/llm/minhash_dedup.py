@@ -1,9 +1,10 @@
 """Near-duplicate documents by ProbMinHash, banding and verification.
 
-Shingles of five lower-cased words weigh 1 + ln(count). Each shingle is a Poisson process of that rate whose arrivals
-fall on random slots; the first arrival at a slot wins it, so two documents agree in a slot with the probability
-Jaccard similarity of their weighted shingles (Ertl, 2019). A process ends once it is later than all slots of its
-document. Documents that agree in a band of slots are compared by the Jaccard similarity of their shingle sets.
+Links are defined by the Jaccard similarity of sets of shingles, so each distinct shingle of five lower-cased words
+weighs 1, however often a document repeats it. Each is a Poisson process of that rate whose arrivals fall on random
+slots; the first arrival at a slot wins it, so two documents agree in a slot with the probability Jaccard similarity
+of their shingles (Ertl, 2019), which at equal weights is that of the sets. A process ends once it is later than all
+slots of its document. Documents that agree in a band of slots are compared by the same similarity.
 
 Buckets may be of any size. Documents of one word sequence are one node. In a bucket all nodes meet its head, the node
 whose buckets hold the most nodes, which is the source of a group of near copies; in a small bucket all meet each
@@ -108,8 +109,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = batch.column("text").to_pylist()
         found = [shingles(t) for t in texts]
         sizes = np.array([len(f[0]) for f in found])
-        weights = 1.0 + np.log(np.concatenate([f[1] for f in found]).astype(np.float64))
-        signature = signatures(np.concatenate([f[0] for f in found]), weights, np.repeat(np.arange(len(found)), sizes), len(found))
+        elements = np.concatenate([f[0] for f in found])
+        signature = signatures(elements, np.ones(len(elements)), np.repeat(np.arange(len(found)), sizes), len(found))
         keys, sketch = bands(signature), (signature >> np.uint64(40)).astype(np.uint8).view(np.int8)
         digest = [blake2b(" ".join((t or "").lower().split()).encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
         lists = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * BANDS, pa.array(keys.ravel()))

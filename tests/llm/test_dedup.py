@@ -90,6 +90,18 @@ def test_near_large_group_and_empty(spark):
     assert minhash_dedup.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("times", [30, 1000])
+def test_near_with_a_repeated_line(spark, times):
+    rng = random.Random(times)
+    rows = []
+    for k in range(12):
+        base, line = words(rng, 104), words(rng, 12)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base + line * times))]
+    want = near_classes(rows)
+    assert all(want[2 * k + 1] == 2 * k for k in range(12))
+    assert {r["doc_id"]: r["class_id"] for r in minhash_dedup.near_duplicates(docs_of(spark, rows)).collect()} == want
+
+
 def test_probability_jaccard():
     rng = np.random.default_rng(0)
     pool = rng.integers(1, 1 << 63, 500, np.uint64)
