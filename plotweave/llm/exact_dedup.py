@@ -12,7 +12,9 @@ dealt by that key before, AQE may split the rows of a large group.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from plotweave.plans.durable import Scratch
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -40,8 +42,9 @@ def winners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sal
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Of rows whose texts are equal after lower-casing A-Z, the one with the largest id stays. Null and empty
-    texts are equal. A repeated id counts as two rows of the group; both are kept or dropped together.
+    Of rows whose texts are equal after lower-casing A-Z, the one with the largest id stays; null is the smallest
+    id, and keep_id is null where a group has no other. Null and empty texts are equal. A repeated id counts as two
+    rows of the group, and both have the same ``kept``, as nothing tells them apart here; keep_exact keeps one.
     Other columns of ``docs`` are not read, so their names can't clash. An empty table gives an empty result.
     Two different texts of one SHA-256 digest stop the query rather than being merged.
     """
@@ -49,10 +52,32 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.lower(F.hex("digest")).alias("text_sha256"), "keep_id", "group_size", F.assert_true(F.col("n_texts") == 1, F.lit("two texts share a SHA-256 digest")).alias("checked"))
     rows = normalised(docs, id_col, text_col).select("doc_id", F.lower(F.hex("digest")).alias("text_sha256"))
     return rows.join(groups, "text_sha256").where(F.col("checked").isNull()).select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def one_each(docs: DataFrame, id_col: str, key: Column, decided: DataFrame, name: str) -> DataFrame:
+    """The rows of ``docs`` that are decided to stay, with their columns.
+
+    ``decided`` has doc_id, key, kept, n: rows of one id (null is an id) and ``key`` stay or go; n is how many there
+    are, of which one stays. Pairs that it doesn't list stay. Only rows of repeated pairs are read a second time.
+    """
+    odd = Scratch(docs.sparkSession, name).write(decided.where("not kept or n > 1").select(F.col("doc_id").alias("__odd_id"), F.col("key").alias("__odd_key"), "kept"), "decided")
+    keyed = docs.withColumns({"__own_id": F.col(id_col).cast("long"), "__own_key": key})
+    met = F.col("__own_id").eqNullSafe(F.col("__odd_id")) & (F.col("__own_key") == F.col("__odd_key"))
+    out = keyed.join(odd.drop("kept"), met, "left_anti")
+    again = odd.where("kept").drop("kept")
+    if not again.isEmpty():
+        out = out.union(keyed.join(again, met, "left_semi").dropDuplicates(["__own_id", "__own_key"]))
+    return out.drop("__own_id", "__own_key")
 
 
 def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that exact dedup keeps, with their columns."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long") == F.col("__kept_id"), "left_semi")
+    """One row of ``docs`` for each text that differs after lower-casing A-Z, with its columns: that of the largest id.
+
+    Null is the smallest id, so a row without an id stays only if no row with one has its text. Of rows of one id and
+    equal text any one stays. Rows of one id and different texts are decided apart.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    digest = F.unhex(F.sha2(ascii_lower(text).cast("binary"), 256))
+    decided = exact_dedup(docs, id_col, text_col).groupBy("doc_id", "text_sha256").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    return one_each(docs, id_col, digest, decided.withColumn("key", F.unhex("text_sha256")), "exact")

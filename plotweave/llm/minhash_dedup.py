@@ -20,9 +20,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plotweave.llm.arrow_text import chunks
+from plotweave.llm.exact_dedup import one_each
 from plotweave.operators.graph import connected_components
 from plotweave.plans.durable import Scratch, release_shuffles
 
@@ -115,7 +116,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = [blake2b(" ".join((t or "").lower().split()).encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
         lists = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * BANDS, pa.array(keys.ravel()))
         bytes_ = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * (BANDS * ROWS), pa.array(sketch.ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digest, pa.binary()), pa.array(sizes), lists, bytes_], ["doc_id", "digest", "size", "keys", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(digest, pa.binary()), pa.array(sizes), lists, bytes_], ["doc_id", "key", "digest", "size", "keys", "sketch"])
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,11 +141,15 @@ def _admitted(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame
     return near.where(admits).select("a", "b").distinct()
 
 
-def _verified(near: DataFrame, docs: DataFrame, threshold: float, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach ``threshold``; docs has (node, text)."""
+def _verified(near: DataFrame, docs: DataFrame, heads: DataFrame, threshold: float, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) whose shingle sets reach ``threshold``; heads name the row
+    (head_id, head_key) of ``docs`` whose text stands for a node."""
     near = scratch.write(near, f"{name}-near")
-    asked = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    sets = scratch.write(docs.join(asked, "node", "left_semi").mapInArrow(_shingled, "node long, shingles array<long>"), f"{name}-sets")
+    asked = heads.join(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), "node").select("node", "head_id", "head_key")
+    theirs = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("key") == F.col("head_key"))).select("node", "text")
+    sets = scratch.write(theirs.mapInArrow(_shingled, "node long, shingles array<long>"), f"{name}-sets")
+    if not sets.groupBy("node").count().where("count > 1").isEmpty():  # whole repeated rows
+        sets = sets.dropDuplicates(["node"])
     both = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     out = scratch.write(both.where(jaccard(F.col("x"), F.col("y")) >= threshold).select("a", "b").distinct(), name)
     scratch.drop(f"{name}-sets")
@@ -191,21 +196,18 @@ def _rest_pairs(large: DataFrame, nodes: DataFrame, threshold: float) -> DataFra
     return asking.union(asked).groupBy("bucket", "i", "j").applyInArrow(_block_pairs(threshold), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id, kept of every row of ``docs``.
-
-    class_id is the smallest doc_id of the documents that are joined by links, of similarity ``threshold`` or more;
-    kept marks that document. Texts of the same words (case and white space aside) are one class. Null texts and
-    texts without a word link with nothing. Rows of one id are one document; if their texts differ, the one with the
-    least digest looks for partners.
-    Other columns are not read. An empty table gives an empty result.
-    """
+def _decided(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """doc_id, key, has, class_id, kept, stays of every row: the digest of its text, whether it has words, its class,
+    whether it has the id and words that are kept, and whether it has their very text."""
     scratch = Scratch(docs.sparkSession, "minhash")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = scratch.write(rows.mapInArrow(_signed, "doc_id long, digest binary, size long, keys array<long>, sketch array<tinyint>"), "signed").withColumn("has", F.col("size") > 0)
-    heads = signed.where("has").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"))
-    chosen = heads.groupBy("node").agg(F.min("digest").alias("digest"))
-    nodes = scratch.write(signed.where("has").join(chosen, "digest").where("doc_id = node").select("node", "size", "keys", "sketch").distinct(), "nodes")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text).alias("key"), text.alias("text"))
+    signed = scratch.write(rows.mapInArrow(_signed, "doc_id long, key binary, digest binary, size long, keys array<long>, sketch array<tinyint>"), "signed").withColumn("has", F.col("size") > 0)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("head")
+    heads = signed.where("has").groupBy("digest").agg(least).select("digest", F.col("head.doc_id").alias("head_id"), F.col("head.key").alias("head_key"))
+    heads = scratch.write(heads.withColumn("node", F.monotonically_increasing_id()), "heads")  # written, so a node keeps its number
+    chosen = F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("key") == F.col("head_key"))
+    nodes = scratch.write(signed.where("has").join(heads, "digest").where(chosen).select("node", "size", "keys", "sketch").distinct(), "nodes")
     member = nodes.select("node", F.explode("keys").alias("bucket"))
     sizes = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     member = scratch.write(member.join(sizes, "bucket"), "member")
@@ -217,22 +219,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = member.where("node != head").withColumn("other", F.col("head")).select(*ordered)
     little = member.where(f"size between 3 and {SMALL}").where("node != head")
     small = little.join(little.select("bucket", F.col("node").alias("other")), "bucket").where("node < other").select(*ordered)
-    texts = rows.select(F.col("doc_id").alias("node"), "text")
-    first = _verified(_admitted(star.union(small).distinct(), nodes, threshold), texts, threshold, scratch, "first")
+    first = _verified(_admitted(star.union(small).distinct(), nodes, threshold), rows, heads, threshold, scratch, "first")
     joined = connected_components(first, "a", "b")
     home = lambda c: F.coalesce(f"{c}_home", c)
     at = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"{c}_home"))
     large = member.where(f"size > {SMALL}").join(at("node"), "node", "left").join(at("head"), "head", "left")
     large = scratch.write(large.select("bucket", "node", "head", home("node").alias("home"), home("head").alias("head_home")), "large")
-    second = _verified(_rest_pairs(large, nodes, threshold), texts, threshold, scratch, "second")
+    second = _verified(_rest_pairs(large, nodes, threshold), rows, heads, threshold, scratch, "second")
     if not second.isEmpty():
         joined = connected_components(first.union(second), "a", "b")
-    classes = heads.join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("class_id"))
-    found = signed.where("has").join(classes, "digest").select("doc_id", "class_id").union(signed.where("not has").select("doc_id", F.col("doc_id").alias("class_id")))
-    return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    grouped = scratch.write(heads.join(joined, "node", "left").select("digest", "head_id", "head_key", F.coalesce("component", "node").alias("component")), "grouped")
+    least = F.min(F.struct(F.col("head_id").isNull().alias("none"), "head_id", "digest", "head_key")).alias("best")
+    classes = grouped.select("digest", "component").join(grouped.groupBy("component").agg(least), "component").select("digest", "best")
+    own = F.col("doc_id").eqNullSafe(F.col("best.head_id")) & (F.col("digest") == F.col("best.digest"))
+    found = signed.where("has").join(classes, "digest").select("doc_id", "key", "has", F.col("best.head_id").alias("class_id"), own.alias("kept"), (own & (F.col("key") == F.col("best.head_key"))).alias("stays"))
+    return found.union(signed.where("not has").select("doc_id", "key", "has", F.col("doc_id").alias("class_id"), F.lit(True), F.lit(True)))
+
+
+def text_key(text: Column) -> Column:
+    """The digest that tells the texts of one id apart."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id, kept of every row of ``docs``.
+
+    class_id is the smallest doc_id of the documents that are joined by links, of similarity ``threshold`` or more;
+    null is the largest id, so class_id is null only where no document of the class has one. kept marks the rows of
+    that id; if their words differ, those of the least digest. Texts of the same words (case and white space aside)
+    are one class. Null texts and texts without a word link with nothing. Different texts of one id, or of none, are
+    documents of their own.
+    Other columns are not read. An empty table gives an empty result.
+    """
+    return _decided(docs, id_col, text_col, threshold).select("doc_id", "class_id", "kept")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without those of a near-duplicate class that are not its smallest id."""
-    gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone_id"), "left_anti")
+    """One row of ``docs`` for each near-duplicate class, with its columns: that of the smallest id, null being the largest.
+
+    Of rows of one id in a class one stays. Rows without a word all stay.
+    """
+    n = F.count_if("has").alias("n")
+    decided = _decided(docs, id_col, text_col, THRESHOLD).groupBy("doc_id", "key").agg(F.first("stays").alias("kept"), n)
+    return one_each(docs, id_col, text_key(F.col(text_col).cast("string")), decided, "near")

@@ -54,6 +54,35 @@ def test_exact_repeated_rows(spark):
     assert got == [(-1, 3), (1, 1), (1, 3), (1, 3)]
 
 
+def odd_ids(seed):
+    """Rows with null ids, ids with several texts, and whole repeated rows; texts of one number are near copies."""
+    rng = random.Random(seed)
+    t = {}
+    for k in "abcdefg":
+        base = words(rng, 120)
+        t[k], t[k + "2"] = " ".join(base), " ".join(base[:-1] + ["other"])
+    return t, [(None, t["a"]), (None, t["b"]), (None, t["b"]), (1, t["c"]), (1, t["d"]), (2, t["d"]), (3, t["e"]), (3, t["e"]), (3, t["e"].upper()), (None, t["f"]), (4, t["f"])]
+
+
+def test_keep_exact_null_and_repeated_ids(spark):
+    t, rows = odd_ids(5)
+    kept = sorted(((r["doc_id"] or -1, r["text"].lower()) for r in exact_dedup.keep_exact(docs_of(spark, rows)).collect()))
+    assert kept == sorted([(-1, t["a"]), (-1, t["b"]), (1, t["c"]), (2, t["d"]), (3, t["e"]), (4, t["f"])])
+    got = exact_dedup.exact_dedup(docs_of(spark, rows)).where("doc_id is null").select("kept", "keep_id", "group_size").collect()
+    assert sorted(tuple(r[:1]) + (r[1] or -1, r[2]) for r in got) == [(False, 4, 2), (True, -1, 1), (True, -1, 2), (True, -1, 2)]
+
+
+def test_keep_one_null_and_repeated_ids(spark):
+    t, rows = odd_ids(6)
+    rows += [(None, t["a2"]), (7, t["g"]), (7, t["g2"]), (8, t["g2"]), (None, None), (None, None), (9, t["c2"]), (5, t["d2"])]
+    kept = [(r["doc_id"] or -1, (r["text"] or "").lower()) for r in minhash_dedup.keep_one(docs_of(spark, rows)).collect()]
+    of = lambda k: [(i, u) for i, u in kept if u in (t[k], t[k + "2"])]
+    assert [len(of(k)) for k in "abcdefg"] == [1] * 7 and kept.count((-1, "")) == 2 and len(kept) == 9
+    assert [of(k)[0][0] for k in "abcdefg"] == [-1, -1, 1, 1, 3, 4, 7]
+    got = minhash_dedup.near_duplicates(docs_of(spark, rows)).collect()
+    assert all(r["kept"] is not None for r in got) and sum(r["doc_id"] == 1 and r["kept"] for r in got) == 2
+
+
 def near_classes(rows):
     sets = {i: set(minhash_dedup.shingles(t)[0].tolist()) for i, t in rows}
     parent = {i: i for i in sets}
