@@ -655,7 +655,12 @@ def text_box_estimate(spark, sf):
 
 @query("SELECT doc_id, substr(text, 1, 40) AS fixed FROM documents")
 def mojibake_repair(spark, sf):
-    broken = F.decode(F.encode(F.substring("text", 1, 40), "UTF-8"), "ISO-8859-1")
+    return mojibake_repair_whole(spark, sf).select("doc_id", F.substring("fixed", 1, 40).alias("fixed"))  # what the SQL gives
+
+
+@query()
+def mojibake_repair_whole(spark, sf):
+    broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
     return table(spark, sf, "documents").select("doc_id", s.repaired(broken).alias("fixed"))
 
 

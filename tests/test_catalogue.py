@@ -16,3 +16,11 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_whole_texts_are_repaired(spark, duck, tmp_path):
+    got = {r["doc_id"]: r["fixed"] for r in catalogue.QUERIES["mojibake_repair_whole"](spark, DATA).collect()}
+    want = dict(duck.execute("SELECT doc_id, text FROM documents").fetchall())
+    assert got == want and max(len(t or "") for t in got.values()) > 40
+    spark.createDataFrame([(1, "a" * 60 + "é漢"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["doc_id"]: r["fixed"] for r in catalogue.QUERIES["mojibake_repair_whole"](spark, str(tmp_path)).collect()} == {1: "a" * 60 + "é漢", 2: None}
