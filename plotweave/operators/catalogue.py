@@ -582,6 +582,13 @@ def spline_eval(spark, sf):
     return out.select("owner", F.col("k").cast("long").alias("k"), F.round(F.col("q.x") + 1e-8, 6).alias("x"), F.round(F.col("q.y") + 1e-8, 6).alias("y"))  # no ties
 
 
+@query()
+def spline_eval_whole(spark, sf):
+    at = F.transform(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))), lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y")))
+    whole = p.vertices(spark, sf).groupBy("owner").agg(at.alias("pts"))
+    return whole.select("owner", F.posexplode(curves.spline_points("pts", 4)).alias("k", "q")).select("owner", F.col("k").cast("long").alias("k"), "q.x", "q.y")
+
+
 @query("""SELECT vec_id AS shape, 32 AS n, sum(round_even(greatest(-1, least(1, embedding[2 * i + 1]::DOUBLE)) * 32767, 0))::BIGINT AS sx, sum(round_even(greatest(-1, least(1, embedding[2 * i + 2]::DOUBLE)) * 32767, 0))::BIGINT AS sy
     FROM embeddings, unnest(range(0, 32)) AS r(i) GROUP BY vec_id""")
 def point_cloud_codec(spark, sf):

@@ -3,6 +3,7 @@
 import pytest
 
 from plotweave.operators import catalogue
+from plotweave.plans.projection import with_
 from tests.conftest import DATA, same_rows
 
 
@@ -24,3 +25,26 @@ def test_whole_texts_are_repaired(spark, duck, tmp_path):
     assert got == want and max(len(t or "") for t in got.values()) > 40
     spark.createDataFrame([(1, "a" * 60 + "é漢"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {r["doc_id"]: r["fixed"] for r in catalogue.QUERIES["mojibake_repair_whole"](spark, str(tmp_path)).collect()} == {1: "a" * 60 + "é漢", 2: None}
+
+
+def de_boor(pts, t, degree=3):
+    degree, n = min(degree, len(pts) - 1), len(pts)
+    knots = [0.0] * (degree + 1) + [i / (n - degree) for i in range(1, n - degree)] + [1.0] * (degree + 1)
+    at = max(i for i in range(degree, n) if knots[i] <= t)
+    d = [pts[at - degree + j] for j in range(degree + 1)]
+    for r in range(1, degree + 1):
+        for j in range(degree, r - 1, -1):
+            i = at - degree + j
+            a = (t - knots[i]) / (knots[i + degree - r + 1] - knots[i])
+            d[j] = tuple((1 - a) * u + a * v for u, v in zip(d[j - 1], d[j]))
+    return d[degree]
+
+
+def test_splines_of_all_vertices(spark, duck):
+    owned = {}
+    for owner, _, x, y in duck.execute(f"{with_('vertices')} SELECT owner, seq, x, y FROM vertices ORDER BY owner, seq").fetchall():
+        owned.setdefault(owner, []).append((x, y))
+    assert {1, 3, 4, 5} <= {len(v) for v in owned.values()}
+    got = {(r["owner"], r["k"]): (r["x"], r["y"]) for r in catalogue.QUERIES["spline_eval_whole"](spark, DATA).collect()}
+    assert set(got) == {(o, k) for o in owned for k in range(5)}
+    assert all(got[o, k] == pytest.approx(de_boor(owned[o], k / 4), abs=1e-6) for o, k in got)
