@@ -556,6 +556,16 @@ def svg_export(spark, sf):
     return patterns.as_svg(p.entities(spark, sf).where("type <> 'CIRCLE'"))
 
 
+@query()
+def json_export_whole(spark, sf):
+    return patterns.as_json(p.entities(spark, sf))
+
+
+@query()
+def svg_export_whole(spark, sf):
+    return patterns.as_svg(p.entities(spark, sf))
+
+
 @query("""SELECT 'P' || p_partkey AS name, 'pattern ' || p_brand AS description, 1 AS line, (p_partkey % 180)::DOUBLE AS angle, (p_size)::DOUBLE AS "offset", 2 AS n_dashes FROM part""")
 def hatch_pattern_scan(spark, sf):
     part = table(spark, sf, "part")

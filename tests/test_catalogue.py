@@ -1,5 +1,7 @@
 """Every drawing query against its SQL on the smallest tables."""
 
+import json
+
 import pytest
 
 from plotweave.operators import catalogue
@@ -48,3 +50,19 @@ def test_splines_of_all_vertices(spark, duck):
     got = {(r["owner"], r["k"]): (r["x"], r["y"]) for r in catalogue.QUERIES["spline_eval_whole"](spark, DATA).collect()}
     assert set(got) == {(o, k) for o in owned for k in range(5)}
     assert all(got[o, k] == pytest.approx(de_boor(owned[o], k / 4), abs=1e-6) for o, k in got)
+
+
+def drawn(kind, x0, y0, x1, y1):
+    if kind == "LINE":
+        return f'<line x1="{x0:.3f}" y1="{y0:.3f}" x2="{x1:.3f}" y2="{y1:.3f}"/>'
+    if kind == "CIRCLE":
+        return f'<circle cx="{(x0 + x1) / 2:.3f}" cy="{(y0 + y1) / 2:.3f}" r="{(x1 - x0) / 2:.3f}"/>'
+    return f'<rect x="{x0:.3f}" y="{y0:.3f}" width="{x1 - x0:.3f}" height="{y1 - y0:.3f}"/>'
+
+
+def test_exports_of_all_entities(spark, duck):
+    rows = duck.execute(f"{with_('entities')} SELECT doc_id, handle, type, layer, x0, y0, x1, y1 FROM entities").fetchall()
+    got = {(r["doc_id"], r["handle"]): r["svg"] for r in catalogue.QUERIES["svg_export_whole"](spark, DATA).collect()}
+    assert got == {r[:2]: drawn(r[2], *r[4:]) for r in rows} and any("<circle" in v for v in got.values())
+    got = {(r["doc_id"], r["handle"]): json.loads(r["json"]) for r in catalogue.QUERIES["json_export_whole"](spark, DATA).collect()}
+    assert got == {r[:2]: {"type": r[2], "handle": r[1], "layer": r[3], "geometry": dict(zip(("x0", "y0", "x1", "y1"), r[4:]))} for r in rows}
