@@ -6,11 +6,18 @@ slots; the first arrival at a slot wins it, so two documents agree in a slot wit
 of their shingles (Ertl, 2019), which at equal weights is that of the sets. A process ends once it is later than all
 slots of its document. Documents that agree in a band of slots are compared by the same similarity.
 
-Buckets may be of any size. Documents of one word sequence are one node. In a bucket all nodes meet its head, the node
-whose buckets hold the most nodes, which is the source of a group of near copies; in a small bucket all meet each
-other. Then, in the larger buckets, each node that is not yet joined to the head meets all nodes outside its
-component. So no link is lost to the size of a bucket, and a group of near copies costs about one comparison a node
-and band. A pair is compared in full only if a byte of each slot, and the numbers of shingles, admit the threshold.
+Bands are drawn from the slots by several permutations, so a slot serves in more than one and bands can be long: few
+documents of low similarity meet. Buckets may be of any size. Documents of one word sequence are one node.
+
+1. Each node meets one other, the node of most company among those of its buckets, which is the source in a group of
+   near copies, so a group costs a comparison a node, whatever its size. What links is contracted.
+2. In buckets that hold several components, nodes outside the component of the bucket's head meet the head.
+3. Nodes that are still apart meet all nodes of other components in their buckets. A bucket is compared in blocks:
+   first the sketches, then the shingles of the nodes whose sketches admit a link. A block returns only links that
+   join components, so pairs never become rows.
+
+So no link between components is lost to the size of a bucket. A pair is compared in full only if a byte of each slot,
+and the numbers of shingles, admit the threshold.
 """
 
 from __future__ import annotations
@@ -29,12 +36,12 @@ from plotweave.plans.durable import Scratch, release_shuffles
 
 WORDS = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 24, 4  # at similarity 0.8 a pair shares no band with probability 4e-6
+SLOTS, BANDS, ROWS = 96, 48, 6  # at similarity 0.8 a pair shares no band with probability 6e-5 (simulated), at 0.4 with 0.83
 SLACK = 0.16  # by which agreement of slots may fall short of the threshold: four standard deviations
-BLOCK = 512  # nodes of a large bucket that are compared with as many in one task
+BLOCK = 1024  # nodes of a bucket that are compared with as many at once
+CELL = 20_000  # rows of blocks that are handed to a Python worker together
 KNOWN = 200_000  # words whose hashes a Python worker remembers
 CHUNK = 1_000_000
-SMALL = 16  # members of a bucket that all meet each other
 
 _GOLD, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _known: dict[str, int] = {}
@@ -72,7 +79,7 @@ def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(total, return_counts=True)
 
 
-def signatures(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int, slots: int = BANDS * ROWS) -> np.ndarray:
+def signatures(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int, slots: int = SLOTS) -> np.ndarray:
     """(n, slots): the element that reaches each slot of each owner first; zeros for owners without elements."""
     first = np.full(n * slots, np.inf)
     winner = np.zeros(n * slots, np.uint64)
@@ -95,12 +102,21 @@ def signatures(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, n:
     return winner.reshape(n, slots)
 
 
+def _band_slots() -> np.ndarray:
+    """(BANDS, ROWS): the slots of each band, cut from permutations of all slots."""
+    draw, each = np.random.Generator(np.random.PCG64(11)), SLOTS // ROWS
+    return np.concatenate([draw.permutation(SLOTS)[: each * ROWS].reshape(each, ROWS) for _ in range(-(-BANDS // each))])[:BANDS]
+
+
+_OF_BAND = _band_slots()
+
+
 def bands(signature: np.ndarray) -> np.ndarray:
     """(n, BANDS) bucket keys."""
     out = np.zeros((len(signature), BANDS), np.uint64)
     with np.errstate(over="ignore"):
         for r in range(ROWS):
-            out = _mix(out * _GOLD + signature[:, r::ROWS][:, :BANDS])
+            out = _mix(out * _GOLD + signature[:, _OF_BAND[:, r]])
         out = _mix(out + np.arange(BANDS, dtype=np.uint64) * _GOLD)
     return out.view(np.int64)
 
@@ -115,7 +131,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sketch = bands(signature), (signature >> np.uint64(40)).astype(np.uint8).view(np.int8)
         digest = [blake2b(" ".join((t or "").lower().split()).encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
         lists = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * BANDS, pa.array(keys.ravel()))
-        bytes_ = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * (BANDS * ROWS), pa.array(sketch.ravel()))
+        bytes_ = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * SLOTS, pa.array(sketch.ravel()))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(digest, pa.binary()), pa.array(sizes), lists, bytes_], ["doc_id", "key", "digest", "size", "keys", "sketch"])
 
 
@@ -136,20 +152,24 @@ def _admitted(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame
     """The pairs (a, b) whose sizes and sketches admit ``threshold``; nodes has (node, size, sketch)."""
     side = lambda end, p: nodes.select(F.col("node").alias(end), F.col("size").alias(f"{p}_size"), F.col("sketch").alias(f"{p}_sketch"))
     near = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-    agree = F.aggregate(F.zip_with("x_sketch", "y_sketch", lambda p, q: (p == q).cast("int")), F.lit(0), lambda t, v: t + v) / float(BANDS * ROWS)
+    agree = F.aggregate(F.zip_with("x_sketch", "y_sketch", lambda p, q: (p == q).cast("int")), F.lit(0), lambda t, v: t + v) / float(SLOTS)
     admits = (F.least("x_size", "y_size") >= F.greatest("x_size", "y_size") * threshold) & (agree >= threshold - SLACK)
     return near.where(admits).select("a", "b").distinct()
 
 
-def _verified(near: DataFrame, docs: DataFrame, heads: DataFrame, threshold: float, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach ``threshold``; heads name the row
-    (head_id, head_key) of ``docs`` whose text stands for a node."""
-    near = scratch.write(near, f"{name}-near")
-    asked = heads.join(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), "node").select("node", "head_id", "head_key")
+def _sets(asked: DataFrame, docs: DataFrame, heads: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(node, shingles) of the nodes ``asked``; heads name the row (head_id, head_key) of ``docs`` whose text stands for a node."""
+    asked = heads.join(asked, "node").select("node", "head_id", "head_key")
     theirs = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("key") == F.col("head_key"))).select("node", "text")
     sets = scratch.write(theirs.mapInArrow(_shingled, "node long, shingles array<long>"), f"{name}-sets")
     if not sets.groupBy("node").count().where("count > 1").isEmpty():  # whole repeated rows
         sets = sets.dropDuplicates(["node"])
+    return sets
+
+
+def _verified(near: DataFrame, docs: DataFrame, heads: DataFrame, threshold: float, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) whose shingle sets reach ``threshold``."""
+    sets = _sets(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), docs, heads, scratch, name)
     both = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     out = scratch.write(both.where(jaccard(F.col("x"), F.col("y")) >= threshold).select("a", "b").distinct(), name)
     scratch.drop(f"{name}-sets")
@@ -157,43 +177,138 @@ def _verified(near: DataFrame, docs: DataFrame, heads: DataFrame, threshold: flo
     return out
 
 
-def _block_pairs(threshold: float):
-    def compare(table: pa.Table) -> pa.Table:
-        """Pairs of a row of the rest and a member of another component whose sizes and sketches admit the threshold."""
-        asks = table.column("asks").to_numpy()
-        node, home, size = (table.column(c).to_numpy() for c in ("node", "home", "size"))
-        sketch = table.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(node), BANDS * ROWS)
-        rest, other = np.flatnonzero(asks), np.flatnonzero(~asks)
-        need = (threshold - SLACK) * BANDS * ROWS
-        found = []
-        for at in range(0, len(rest), 32):
-            r = rest[at : at + 32]
-            good = (sketch[r][:, None] == sketch[other][None]).sum(2) >= need
-            good &= home[r][:, None] != home[other][None]
-            good &= np.minimum(size[r][:, None], size[other][None]) >= threshold * np.maximum(size[r][:, None], size[other][None])
-            x, y = np.nonzero(good)
-            found.append(np.column_stack([node[r[x]], node[other[y]]]))
-        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.zeros((0, 2), np.int64)
+def _blocks(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of each block of a table: those that ask, and those that are asked."""
+    keys = [table.column(c).to_numpy() for c in ("bucket", "i", "j")]
+    asks = table.column("asks").to_numpy(zero_copy_only=False)
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        new[1:] |= k[order[1:]] != k[order[:-1]]
+    for block in np.split(order, np.flatnonzero(new)):
+        yield block[asks[block]], block[~asks[block]]
+
+
+def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    node, home, size = (table.column(c).to_numpy() for c in ("node", "home", "size"))
+    return node, home, size, table.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(node), SLOTS)
+
+
+def _admits(r: np.ndarray, other: np.ndarray, home: np.ndarray, size: np.ndarray, sketch: np.ndarray, threshold: float) -> np.ndarray:
+    """(r, other): rows of different components whose sizes and sketches admit the threshold."""
+    good = (sketch[r][:, None] == sketch[other][None]).sum(2, dtype=np.int16) >= (threshold - SLACK) * SLOTS
+    good &= home[r][:, None] != home[other][None]
+    return good & (np.minimum(size[r][:, None], size[other][None]) >= threshold * np.maximum(size[r][:, None], size[other][None]))
+
+
+def _met(threshold: float):
+    def meet(table: pa.Table) -> pa.Table:
+        """The rows that have a partner on the other side of their block which the sketches admit."""
+        columns, hit = _columns(table)[1:], np.zeros(table.num_rows, bool)
+        for rest, other in _blocks(table):
+            for at in range(0, len(rest), 32):
+                r = rest[at : at + 32]
+                good = _admits(r, other, *columns, threshold)
+                hit[r] = good.any(1)
+                hit[other] |= good.any(0)
+        return table.filter(pa.array(hit))
+
+    return meet
+
+
+def _joining(threshold: float):
+    def join(table: pa.Table) -> pa.Table:
+        """Links by shingle sets; in a block, those between components that others have joined are left out."""
+        node, *columns = _columns(table)
+        home, size = columns[0], columns[1]
+        lists = table.column("shingles").combine_chunks()
+        _, flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        begin = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        mark, links = np.zeros(flat.max(initial=-1) + 1, bool), []
+        root: dict[int, int] = {}
+
+        def top(h: int) -> int:
+            while root.get(h, h) != h:
+                h = root[h]
+            return h
+
+        for rest, other in _blocks(table):
+            root.clear()
+            for at in range(0, len(rest), 32):
+                r = rest[at : at + 32]
+                good = _admits(r, other, *columns, threshold)
+                for k in np.flatnonzero(good.any(1)):
+                    x, y = r[k], other[good[k]]
+                    mark[flat[begin[x] : begin[x + 1]]] = True
+                    ends = np.cumsum(size[y])
+                    shared = np.cumsum(mark[flat[np.repeat(begin[y] - ends + size[y], size[y]) + np.arange(ends[-1])]])
+                    both = np.diff(shared[ends - 1], prepend=0)
+                    mark[flat[begin[x] : begin[x + 1]]] = False
+                    for z in y[both / (size[x] + size[y] - both) >= threshold].tolist():
+                        p, q = top(int(home[x])), top(int(home[z]))
+                        if p != q:
+                            root[p] = q
+                            links.append((min(node[x], node[z]), max(node[x], node[z])))
+        pairs = np.array(links, np.int64).reshape(-1, 2)
         return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return compare
+    return join
 
 
-def _rest_pairs(large: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Admitted pairs of nodes that aren't joined to the head of their bucket and the bucket's nodes of other components.
+def _rest_links(live: DataFrame, nodes: DataFrame, rows: DataFrame, heads: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """Links of nodes outside the component of their bucket's head with the bucket's nodes of other components.
 
     A bucket is cut into blocks of BLOCK nodes on both sides, and a pair of blocks is compared in one task, so no
-    bucket is ever together in one and pairs that are not admitted never become rows.
+    bucket is ever together in one.
     """
     apart = F.col("home") != F.col("head_home")
-    cut = lambda n: F.ceil(n / BLOCK).cast("int")
-    counts = large.groupBy("bucket").agg(cut(F.count_if(apart)).alias("rests"), cut(F.count(F.lit(1))).alias("all")).where("rests > 0")
-    rows = large.join(counts, "bucket").join(nodes.select("node", "size", "sketch"), "node")
+    cut = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    counts = live.groupBy("bucket").agg(F.count_if(apart).alias("n_rest"), F.count(F.lit(1)).alias("n")).withColumns({"rests": cut("n_rest"), "all": cut("n")})
+    counts = scratch.write(counts, "counts")
+    cells = 1 + (counts.agg(F.sum(F.expr("n_rest * all + n * rests"))).first()[0] or 0) // CELL
+    every = live.join(counts.select("bucket", "rests", "all"), "bucket").join(nodes.select("node", "size", "sketch"), "node")
     of = lambda n: F.pmod(F.xxhash64("node", "bucket"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asking = rows.where(apart).select("bucket", of("rests").alias("i"), every("all").alias("j"), F.lit(True).alias("asks"), "node", "home", "size", "sketch")
-    asked = rows.select("bucket", every("rests").alias("i"), of("all").alias("j"), F.lit(False).alias("asks"), "node", "home", "size", "sketch")
-    return asking.union(asked).groupBy("bucket", "i", "j").applyInArrow(_block_pairs(threshold), "a long, b long").distinct()
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = every.where(apart).select("bucket", of("rests").alias("i"), copies("all").alias("j"), F.lit(True).alias("asks"), "node", "home", "size", "sketch")
+    asked = every.select("bucket", copies("rests").alias("i"), of("all").alias("j"), F.lit(False).alias("asks"), "node", "home", "size", "sketch")
+    dealt = asking.union(asked).withColumn("cell", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(cells)))
+    met = scratch.write(dealt.groupBy("cell").applyInArrow(_met(threshold), dealt.schema), "met")
+    sets = _sets(met.select("node").distinct(), rows, heads, scratch, "rest")
+    return met.join(sets, "node").groupBy("cell").applyInArrow(_joining(threshold), "a long, b long").distinct()
+
+
+def _ordered(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _live(member: DataFrame, joined: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """bucket, node, home, head, head_home of the rows of buckets that hold several components."""
+    own = F.col("node") if joined is None else F.coalesce("component", "node")
+    rows = (member if joined is None else member.join(joined, "node", "left")).select("bucket", "node", "weight", own.alias("home"))
+    top = F.max(F.struct("weight", F.xxhash64("node"), "node", "home")).alias("top")
+    mixed = rows.groupBy("bucket").agg(top, F.min("home").alias("low"), F.max("home").alias("high")).where("low < high")
+    found = rows.join(mixed, "bucket").select("bucket", "node", "weight", "home", F.col("top.weight").alias("head_weight"), F.col("top.node").alias("head"), F.col("top.home").alias("head_home"))
+    return scratch.write(found, "live")
+
+
+def _linked(member: DataFrame, nodes: DataFrame, rows: DataFrame, heads: DataFrame, threshold: float, scratch: Scratch) -> DataFrame | None:
+    """(node, component) of the nodes that have a link."""
+    links = joined = tried = None
+    for step in ("source", "head", "rest"):
+        live = _live(member, joined, scratch)
+        if step == "source":
+            chosen = live.where("node != head").groupBy("node").agg(F.max(F.struct("head_weight", F.xxhash64("head"), "head")).alias("top"))
+            tried = scratch.write(_admitted(chosen.select(*_ordered("node", "top.head")).distinct(), nodes, threshold), "tried")
+            found = _verified(tried, rows, heads, threshold, scratch, step)
+        elif step == "head":
+            pairs = live.where("home != head_home").select(*_ordered("node", "head")).distinct().join(tried, ["a", "b"], "left_anti")
+            found = _verified(scratch.write(_admitted(pairs, nodes, threshold), "pairs"), rows, heads, threshold, scratch, step)
+        else:
+            found = scratch.write(_rest_links(live, nodes, rows, heads, threshold, scratch), step)
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            joined = connected_components(links, "a", "b")
+    return joined
 
 
 def _decided(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
@@ -211,23 +326,11 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
     member = nodes.select("node", F.explode("keys").alias("bucket"))
     sizes = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     member = scratch.write(member.join(sizes, "bucket"), "member")
-    popular = member.groupBy("node").agg(F.sum("size").alias("weight"))
-    rank = F.struct(F.col("weight"), F.xxhash64("node"), F.col("node"))
-    tops = member.join(popular, "node").groupBy("bucket").agg(F.max(rank).alias("top")).select("bucket", F.col("top.node").alias("head"))
-    member = scratch.write(member.join(tops, "bucket"), "headed")
-    ordered = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
-    star = member.where("node != head").withColumn("other", F.col("head")).select(*ordered)
-    little = member.where(f"size between 3 and {SMALL}").where("node != head")
-    small = little.join(little.select("bucket", F.col("node").alias("other")), "bucket").where("node < other").select(*ordered)
-    first = _verified(_admitted(star.union(small).distinct(), nodes, threshold), rows, heads, threshold, scratch, "first")
-    joined = connected_components(first, "a", "b")
-    home = lambda c: F.coalesce(f"{c}_home", c)
-    at = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"{c}_home"))
-    large = member.where(f"size > {SMALL}").join(at("node"), "node", "left").join(at("head"), "head", "left")
-    large = scratch.write(large.select("bucket", "node", "head", home("node").alias("home"), home("head").alias("head_home")), "large")
-    second = _verified(_rest_pairs(large, nodes, threshold), rows, heads, threshold, scratch, "second")
-    if not second.isEmpty():
-        joined = connected_components(first.union(second), "a", "b")
+    weights = member.groupBy("node").agg(F.sum("size").alias("weight"))
+    member = scratch.write(member.drop("size").join(weights, "node"), "member")
+    joined = _linked(member, nodes, rows, heads, threshold, scratch)
+    if joined is None:
+        joined = nodes.select("node", F.col("node").alias("component")).limit(0)
     grouped = scratch.write(heads.join(joined, "node", "left").select("digest", "head_id", "head_key", F.coalesce("component", "node").alias("component")), "grouped")
     least = F.min(F.struct(F.col("head_id").isNull().alias("none"), "head_id", "digest", "head_key")).alias("best")
     classes = grouped.select("digest", "component").join(grouped.groupBy("component").agg(least), "component").select("digest", "best")
