@@ -29,6 +29,7 @@ from plotweave.plans.durable import Scratch, release_shuffles
 LENGTH = 50
 GRAM = 16
 REACH = LENGTH - GRAM  # bytes before an anchor that a string holding it may cover
+HALF = REACH // 2  # a string holding an anchor reaches as far before or behind its gram
 BUCKET_BYTES = 4_000_000  # bytes of text for each bucket of anchors and of documents
 HELD = 600_000  # anchors that a task holds before it sends them
 CHUNK = 1_000_000
@@ -200,19 +201,23 @@ def _minimizers(text: Hashed, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return gram, np.where(owner[: len(least)] == owner[LENGTH - 1 :], least, np.uint64(0)), owner
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Key, hash of the surroundings, text and place of each anchor of the texts in ``data``."""
+def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key, hashes of the surroundings, of HALF bytes before and behind (0: a text's edge is nearer), text and place of each anchor of ``data``."""
     if not (np.diff(offsets) >= LENGTH).any():
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint64, np.uint64, np.int64, np.int64))
     text = Hashed(data)
     gram, least, owner = _minimizers(text, offsets)
     padded = np.concatenate([np.zeros(REACH, np.uint64), least, np.zeros(REACH, np.uint64)])
     chosen = np.flatnonzero(_slide(padded, REACH + 1, False) == gram)
     chosen = chosen[gram[chosen] > 0]
     mine = owner[chosen]
-    start, stop = np.maximum(chosen - REACH, offsets[mine]), np.minimum(chosen + LENGTH, offsets[mine + 1])
+    low, high = offsets[mine], offsets[mine + 1]
+    start, stop = np.maximum(chosen - REACH, low), np.minimum(chosen + LENGTH, high)
     around = _mix(text.of(start, stop) ^ _mix(((chosen - start) * 64 + (stop - chosen)).astype(np.uint64)))
-    return _mix(gram[chosen] + _BASE), around, mine, chosen - offsets[mine]
+    half = lambda inside, a, b: np.where(inside, _mix(text.of(a, b)) | np.uint64(1), np.uint64(0))
+    before = half(chosen - HALF >= low, np.maximum(chosen - HALF, low), chosen + GRAM)
+    behind = half(chosen + GRAM + HALF <= high, chosen, np.minimum(chosen + GRAM + HALF, high))
+    return _mix(gram[chosen] + _BASE), around, before, behind, mine, chosen - low
 
 
 def reach_of(text: Hashed, offsets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -257,17 +262,21 @@ def _concat(blobs: list[bytes | None], n_columns: int) -> list[np.ndarray]:
     return [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.uint64) for k in range(n_columns)]
 
 
-def _settled(key, around, doc):
-    """For entries sorted by (key, around, doc): which repeat the surroundings of a smaller document, and which must be told by bytes."""
-    new_key = np.concatenate([[True], key[1:] != key[:-1]])
-    new_both = new_key | np.concatenate([[True], around[1:] != around[:-1]])
-    run = np.cumsum(new_both) - 1
-    later = doc > doc[np.flatnonzero(new_both)][run]
-    key_run = np.cumsum(new_key) - 1
-    kinds = np.bincount(key_run, new_both)
-    heads = np.flatnonzero(new_key)
-    docs_differ = np.minimum.reduceat(doc, heads) < np.maximum.reduceat(doc, heads)
-    return later, ~later & (kinds > 1)[key_run] & docs_differ[key_run]
+def _settled(key: np.ndarray, around: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For entries sorted by (key, around, doc): which repeat the surroundings of a smaller document."""
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (around[1:] != around[:-1])])
+    return doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+
+
+def _shared(key: np.ndarray, half: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which entries another document has with the same key and the same bytes on one side."""
+    order = np.lexsort((half, key))
+    k, h = key[order], half[order]
+    heads = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])]))
+    several = np.minimum.reduceat(doc[order], heads) < np.maximum.reduceat(doc[order], heads)
+    out = np.zeros(len(key), bool)
+    out[order] = np.repeat(several, np.diff(np.append(heads, len(key))))
+    return out & (half > 0)
 
 
 def _doc_bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
@@ -286,20 +295,20 @@ def _sampler(buckets: int):
         count = 0
 
         def flush():
-            key, around, doc, place = (np.concatenate(c) for c in zip(*held))
+            columns = [np.concatenate(c) for c in zip(*held)]
             held.clear()
-            order = np.lexsort((doc, around, key))
-            key, around, doc, place = key[order], around[order], doc[order], place[order]
-            later, _ = _settled(key, around, doc)
+            order = np.lexsort((columns[4], columns[1], columns[0]))
+            key, around, before, behind, doc, place = (c[order] for c in columns)
+            later = _settled(key, around, doc)
             done = _pack(doc[later], place[later])
-            key, around, doc, place = key[~later], around[~later], doc[~later], place[~later]
+            key, around, before, behind, doc, place = (c[~later] for c in (key, around, before, behind, doc, place))
             bucket = (key % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            wide = [6, 5, _width(doc), _width(place)]
+            wide = [6, 5, 3, 3, _width(doc), _width(place)]
             for b in np.flatnonzero(edges[:-1] < edges[1:]):
                 rows = by[edges[b] : edges[b + 1]]
-                yield int(b), _packed([key[rows], around[rows], doc[rows], place[rows]], wide), None
+                yield int(b), _packed([c[rows] for c in (key, around, before, behind, doc, place)], wide), None
             if later.any():
                 yield int(doc[0] % buckets) if len(doc) else 0, None, done
 
@@ -309,9 +318,10 @@ def _sampler(buckets: int):
 
         for batch in chunks(batches, "text", CHUNK):
             ids = batch.column("doc").to_numpy()
-            key, around, mine, place = anchors(*utf8(batch.column("text")))
+            key, around, before, behind, mine, place = anchors(*utf8(batch.column("text")))
             if len(key):
-                held.append((key, around & np.uint64((1 << 40) - 1), ids[mine], place))
+                low = np.uint64((1 << 24) - 1)
+                held.append((key, around & np.uint64((1 << 40) - 1), before & low, behind & low, ids[mine], place))
                 count += len(key)
             if count > HELD:
                 count = 0
@@ -324,15 +334,21 @@ def _sampler(buckets: int):
 
 def _filer(doc_buckets: int):
     def filed(table: pa.Table) -> pa.Table:
-        key, around, doc, place = _concat(table.column("entries").to_pylist(), 4)
+        columns = _concat(table.column("entries").to_pylist(), 6)
         spans = _concat(table.column("done").to_pylist(), 2)
-        order = np.argsort(key, kind="stable")
-        near = key[order]
+        order = np.argsort(columns[0], kind="stable")
+        near = columns[0][order]
         again = np.concatenate([[False], near[1:] == near[:-1]])
-        order = order[again | np.append(again[1:], False)] if len(key) else order
-        order = order[np.lexsort((doc[order].view(np.int64), around[order], key[order]))]
-        key, around, doc, place = key[order], around[order], doc[order].view(np.int64), place[order]
-        later, open_ = _settled(key, around, doc) if len(key) else (np.zeros(0, bool), np.zeros(0, bool))
+        order = order[again | np.append(again[1:], False)] if len(order) else order
+        order = order[np.lexsort((columns[4][order].view(np.int64), columns[1][order], columns[0][order]))]
+        key, around, before, behind, doc, place = (c[order] for c in columns)
+        doc = doc.view(np.int64)
+        later = open_ = np.zeros(len(key), bool)
+        if len(key):
+            later = _settled(key, around, doc)
+            left = np.flatnonzero(~later)
+            open_ = np.zeros(len(key), bool)
+            open_[left] = _shared(key[left], before[left], doc[left]) | _shared(key[left], behind[left], doc[left])
         done_doc, done_at = np.concatenate([spans[0].view(np.int64), doc[later]]), np.concatenate([spans[1], place[later]])
         key, doc, place = key[open_], doc[open_], place[open_]
         a, b = _doc_bucket(done_doc, doc_buckets), _doc_bucket(doc, doc_buckets)
