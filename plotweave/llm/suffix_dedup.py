@@ -132,51 +132,49 @@ def suffix_sort(text: Hashed, starts: np.ndarray, group: np.ndarray, depth: int
     return order
 
 
-def _verified(text: Hashed, at: np.ndarray, like: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Whether the strings at ``at`` equal those at ``like``: they must fall together in the sorted suffixes."""
-    starts = np.concatenate([at, like])
-    order = suffix_sort(text, starts, np.concatenate([group, group]))
+def _common(data: np.ndarray, starts: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+    """Bytes, up to ``depth``, that each suffix of ``order`` has in common with the one before, counted on the bytes themselves."""
     x, y = starts[order[:-1]], starts[order[1:]]
-    same = text.extension(x, y, LENGTH) >= LENGTH
-    for k in range(LENGTH):  # equal hashes are verified by the bytes
-        same &= text.data[x + k] == text.data[y + k]
-    place = np.empty(len(starts), np.int64)
-    place[order] = np.concatenate([[0], np.cumsum(~same)])
-    return place[: len(at)] == place[len(at) :]
+    out, same = np.zeros(len(order), np.int64), np.ones(len(x), bool)
+    for k in range(depth):
+        same &= data[x + k] == data[y + k]
+        out[1:] += same
+    return out
 
 
-def settle_windows(data: np.ndarray, start: np.ndarray, doc: np.ndarray, group: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Which of the strings of LENGTH bytes at ``start`` equal one of a smaller document in their group.
+def settle_windows(data: np.ndarray, gram: np.ndarray, lead: np.ndarray, strings: np.ndarray, doc: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, left): strings of LENGTH bytes that equal one of a smaller document in their group.
 
-    Hashes propose for each string the one of the least document. Strings that follow each other and have partners
-    that do so too are a run: its first and last string, which cover it, are verified by the suffix sort.
+    An entry is a gram of ``data`` with ``lead`` bytes before it, from which ``strings`` strings start one after the
+    other; a string with ``left`` bytes before the gram has LENGTH - left from there. The suffixes at the grams are
+    sorted, and so are those that run backwards from there. Neighbours in either order are compared by their bytes, so
+    strings are equal where the entries are in one class of both orders, at the depths that the string has on each side.
     """
-    out = np.zeros(len(start), bool)
-    if not len(start):
-        return out
-    text = Hashed(data)
-    key = _mix(text.of(start, start + LENGTH) ^ _mix(group.astype(np.uint64)))
-    order = np.lexsort((doc, key))
-    new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-    partner = np.empty(len(start), np.int64)
-    partner[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    mine = np.flatnonzero(doc > doc[partner])
-    if not len(mine):
-        return out
-    shift = start[partner[mine]] - start[mine]
-    head = np.concatenate([[True], (mine[1:] != mine[:-1] + 1) | (owner[mine[1:]] != owner[mine[:-1]]) | (owner[partner[mine[1:]]] != owner[partner[mine[:-1]]]) | (shift[1:] != shift[:-1])])
-    first = np.flatnonzero(head)
-    last = np.append(first[1:], len(mine)) - 1
-    _, dense = np.unique(group[mine[first]], return_inverse=True)
-    ends = np.concatenate([mine[first], mine[last]])
-    good = _verified(text, start[ends], start[partner[ends]], np.concatenate([dense, dense]))
-    good = (good[: len(first)] & good[len(first) :])[np.cumsum(head) - 1]
-    out[mine[good]] = True
-    rest = mine[~good]  # only where hashes collide
-    if len(rest):
-        span = np.arange(LENGTH)
-        out[rest] = (data[start[rest, None] + span] == data[start[partner[rest], None] + span]).all(1)
-    return out
+    edge = np.zeros(LENGTH, np.uint8)
+    padded = np.concatenate([edge, data, edge])
+    ahead, back = gram + LENGTH, LENGTH + len(data) - gram
+    orders = []
+    for text, starts, depth in ((padded, ahead, LENGTH), (np.ascontiguousarray(padded[::-1]), back, REACH)):
+        order = suffix_sort(Hashed(text), starts, group, depth)
+        new = np.concatenate([[True], group[order[1:]] != group[order[:-1]]]) if len(order) else np.zeros(0, bool)
+        orders.append((order, np.where(new, -1, _common(text, starts, order, depth))))
+    (right, right_common), (left, left_common) = orders
+    by_doc, n = np.argsort(doc, kind="stable"), len(gram)
+    a, b = np.empty(n, np.int64), np.empty(n, np.int64)
+    entries, lefts = [], []
+    for reach in range(REACH + 1):
+        mine = by_doc[(lead[by_doc] >= reach) & (lead[by_doc] - reach < strings[by_doc])]
+        if not len(mine):
+            continue
+        a[right], b[left] = np.cumsum(right_common < LENGTH - reach), np.cumsum(left_common < reach)
+        both = a[mine] * (n + 1) + b[mine]
+        order = np.argsort(both, kind="stable")
+        heads = np.flatnonzero(np.concatenate([[True], both[order][1:] != both[order][:-1]]))
+        least = np.repeat(doc[mine[order[heads]]], np.diff(np.append(heads, len(mine))))
+        hit = mine[order[doc[mine[order]] > least]]
+        entries.append(hit)
+        lefts.append(np.full(len(hit), reach))
+    return (np.concatenate(entries), np.concatenate(lefts)) if entries else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def _slide(values: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -384,7 +382,7 @@ def _shower(buckets: int):
         if len(at):  # strings around that have another minimizer are told by that
             start, strings = reach_of(Hashed(data), offsets, at)
             some = strings > 0
-            key, doc, row, start, size = key[some], doc[some], row[some], start[some], strings[some] + LENGTH - 1
+            key, doc, place, row, start, size = key[some], doc[some], place[some], row[some], start[some], strings[some] + LENGTH - 1
         else:
             start = size = np.zeros(0, np.int64)
         bucket = (key % np.uint64(buckets)).astype(np.int64)
@@ -394,7 +392,8 @@ def _shower(buckets: int):
             sizes = size[own]
             shift = np.cumsum(sizes) - sizes
             text = data[np.repeat(start[own] - shift, sizes) + np.arange(sizes.sum())]
-            rows.append((b, _pack(key[own], doc[own], (start - offsets[row])[own], sizes), text.tobytes()))
+            lead = place[own] - (start - offsets[row])[own]
+            rows.append((b, _pack(key[own], doc[own], place[own], lead, sizes), text.tobytes()))
         return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "open", "text"])
 
     return shown
@@ -403,15 +402,11 @@ def _shower(buckets: int):
 def _teller(doc_buckets: int):
     def told(table: pa.Table) -> pa.Table:
         """Settle the open anchors of a bucket by the suffix sort of the bytes around them."""
-        key, doc, begin, size = _concat(table.column("open").to_pylist(), 4)
+        key, doc, place, lead, size = _concat(table.column("open").to_pylist(), 5)
         data = np.frombuffer(b"".join(table.column("text").to_pylist()), np.uint8)
-        doc, begin, size = doc.view(np.int64), begin.astype(np.int64), size.astype(np.int64)
-        first = np.cumsum(size) - size
-        strings = np.maximum(size - LENGTH + 1, 0)
-        owner = np.repeat(np.arange(len(size)), strings)
-        step = np.arange(len(owner)) - np.repeat(np.cumsum(strings) - strings, strings)
-        hit = settle_windows(data, first[owner] + step, doc[owner], key[owner], owner)
-        own, at = doc[owner[hit]], (begin[owner] + step)[hit]
+        doc, place, lead, size = doc.view(np.int64), place.astype(np.int64), lead.astype(np.int64), size.astype(np.int64)
+        entry, left = settle_windows(data, np.cumsum(size) - size + lead, lead, size - LENGTH + 1, doc, key)
+        own, at = doc[entry], place[entry] - left
         bucket = _doc_bucket(own, doc_buckets)
         rows = [(b, _pack(own[bucket == b], at[bucket == b])) for b in np.unique(bucket).tolist()]
         return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["doc_bucket", "told"])
