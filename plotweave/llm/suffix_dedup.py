@@ -3,15 +3,16 @@
 A byte goes if a string of LENGTH bytes covers it that also starts in a document with a smaller id.
 
 1. Each document is sampled at anchors: minimizers, so that every string of LENGTH bytes holds one, and equal strings
-   hold the same one at the same place. An anchor is filed by the hash of its gram with a hash of its surroundings,
-   as far as strings that hold it can reach. Equal surroundings in a smaller document settle an anchor at once.
-2. Anchors that are shared but whose surroundings differ, the ends of passages, are settled by their bytes: the
-   strings around them are sorted by mergesort, comparing suffixes by the longest common extension, which a binary
-   search over prefix polynomial hashes finds in logarithmic time. Neighbours of equal hash are verified byte by byte.
-3. Each document is cut by all settled spans.
-
-Anchors travel as packed blobs, one a bucket and map task; a map task settles what repeats inside it, so that a
-passage or copy, however frequent, is sent about once a map task.
+   hold the same one at the same place. An anchor is filed by the hash of its gram with hashes of its surroundings,
+   as far as strings that hold it can reach. A map task settles what repeats inside it, comparing bytes, so that a
+   passage or copy, however frequent, is sent about once a map task.
+2. Anchors whose surroundings have the hash of a smaller document's ask for proof: those that follow each other at
+   one distance from their partners are a run, whose bytes go to the partner and are compared with it.
+3. Other anchors that share the bytes on one side with another document, the ends of passages, are settled by suffix
+   sorts: the suffixes at the grams, and those that run backwards from there, are sorted by mergesort, comparing by
+   the longest common extension, which a binary search over prefix polynomial hashes finds in logarithmic time.
+   Neighbours are compared by their bytes.
+4. Each document is cut by all settled spans. No span rests on hashes alone.
 """
 
 from __future__ import annotations
@@ -132,14 +133,26 @@ def suffix_sort(text: Hashed, starts: np.ndarray, group: np.ndarray, depth: int
     return order
 
 
-def _common(data: np.ndarray, starts: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """Bytes, up to ``depth``, that each suffix of ``order`` has in common with the one before, counted on the bytes themselves."""
+def _common(data: np.ndarray, starts: np.ndarray, order: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes, up to ``depth``, that each suffix of ``order`` shares with the one before, counted on the bytes, and whether it is smaller."""
     x, y = starts[order[:-1]], starts[order[1:]]
-    out, same = np.zeros(len(order), np.int64), np.ones(len(x), bool)
+    out, same, less = np.zeros(len(order), np.int64), np.ones(len(x), bool), np.zeros(len(order), bool)
     for k in range(depth):
+        less[1:] |= same & (data[y + k] < data[x + k])
         same &= data[x + k] == data[y + k]
         out[1:] += same
-    return out
+    return out, less
+
+
+def sorted_suffixes(data: np.ndarray, starts: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of suffix_sort, and the bytes that each suffix shares with the one before, -1 at the first of a group."""
+    order = suffix_sort(Hashed(data), starts, group, depth)
+    new = np.concatenate([[True], group[order[1:]] != group[order[:-1]]])[: len(order)]
+    common, less = _common(data, starts, order, depth)
+    if (less & ~new).any():  # hashes have collided
+        order = np.array(sorted(range(len(starts)), key=lambda i: (group[i], data[starts[i] : starts[i] + depth].tobytes())), np.int64)
+        common, _ = _common(data, starts, order, depth)
+    return order, np.where(new, -1, common)
 
 
 def settle_windows(data: np.ndarray, gram: np.ndarray, lead: np.ndarray, strings: np.ndarray, doc: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,12 +166,8 @@ def settle_windows(data: np.ndarray, gram: np.ndarray, lead: np.ndarray, strings
     edge = np.zeros(LENGTH, np.uint8)
     padded = np.concatenate([edge, data, edge])
     ahead, back = gram + LENGTH, LENGTH + len(data) - gram
-    orders = []
-    for text, starts, depth in ((padded, ahead, LENGTH), (np.ascontiguousarray(padded[::-1]), back, REACH)):
-        order = suffix_sort(Hashed(text), starts, group, depth)
-        new = np.concatenate([[True], group[order[1:]] != group[order[:-1]]]) if len(order) else np.zeros(0, bool)
-        orders.append((order, np.where(new, -1, _common(text, starts, order, depth))))
-    (right, right_common), (left, left_common) = orders
+    right, right_common = sorted_suffixes(padded, ahead, group, LENGTH)
+    left, left_common = sorted_suffixes(np.ascontiguousarray(padded[::-1]), back, group, REACH)
     by_doc, n = np.argsort(doc, kind="stable"), len(gram)
     a, b = np.empty(n, np.int64), np.empty(n, np.int64)
     entries, lefts = [], []
@@ -260,10 +269,22 @@ def _concat(blobs: list[bytes | None], n_columns: int) -> list[np.ndarray]:
     return [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.uint64) for k in range(n_columns)]
 
 
-def _settled(key: np.ndarray, around: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For entries sorted by (key, around, doc): which repeat the surroundings of a smaller document."""
+def _before(key: np.ndarray, around: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For entries sorted by (key, around, doc): the last one of the same surroundings in a smaller document, else -1."""
+    n = np.arange(len(key))
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (around[1:] != around[:-1])])
-    return doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+    other = new | np.concatenate([[True], doc[1:] != doc[:-1]])
+    first, begin = np.maximum.accumulate(np.where(other, n, 0)), np.maximum.accumulate(np.where(new, n, 0))
+    return np.where(first > begin, first - 1, -1)
+
+
+def _same_around(data: np.ndarray, at: np.ndarray, like: np.ndarray, lead: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """Whether the bytes from ``lead`` before to ``tail`` behind are the same at both places."""
+    same, last = np.ones(len(at), bool), len(data) - 1
+    for k in range(-REACH, LENGTH):
+        inside = (k >= -lead) & (k < tail)
+        same &= ~inside | (data[np.clip(at + k, 0, last)] == data[np.clip(like + k, 0, last)])
+    return same
 
 
 def _shared(key: np.ndarray, half: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -290,25 +311,33 @@ def _doc_bucket_column(doc, buckets: int):
 def _sampler(buckets: int):
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        count = 0
+        texts: list[np.ndarray] = []
+        count = size = 0
 
         def flush():
-            columns = [np.concatenate(c) for c in zip(*held)]
-            held.clear()
+            """Settle what repeats among the texts held, by their bytes, and file the rest."""
+            columns, data = [np.concatenate(c) for c in zip(*held)], np.concatenate(texts)
+            held.clear(), texts.clear()
             order = np.lexsort((columns[4], columns[1], columns[0]))
-            key, around, before, behind, doc, place = (c[order] for c in columns)
-            later = _settled(key, around, doc)
+            key, around, before, behind, doc, place, at, high = (c[order] for c in columns)
+            partner = _before(key, around, doc)
+            later = np.flatnonzero(partner >= 0)
+            like = partner[later]
+            lead, tail = (np.minimum(x, y) for x, y in ((place, REACH), (high - at, LENGTH)))
+            later = later[(lead[later] == lead[like]) & (tail[later] == tail[like]) & _same_around(data, at[later], at[like], lead[later], tail[later])]
+            left = np.ones(len(key), bool)
+            left[later] = False
             done = _pack(doc[later], place[later])
-            key, around, before, behind, doc, place = (c[~later] for c in (key, around, before, behind, doc, place))
-            bucket = (key % np.uint64(buckets)).astype(np.int64)
+            entries = [c[left] for c in (key, around, before, behind, doc, place)]
+            bucket = (entries[0] % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            wide = [6, 5, 3, 3, _width(doc), _width(place)]
+            wide = [6, 5, 3, 3, _width(entries[4]), _width(entries[5])]
             for b in np.flatnonzero(edges[:-1] < edges[1:]):
                 rows = by[edges[b] : edges[b + 1]]
-                yield int(b), _packed([c[rows] for c in (key, around, before, behind, doc, place)], wide), None
-            if later.any():
-                yield int(doc[0] % buckets) if len(doc) else 0, None, done
+                yield int(b), _packed([c[rows] for c in entries], wide), None
+            if len(later):
+                yield int(doc[0] % buckets), None, done
 
         def out(rows):
             rows = list(rows)
@@ -316,22 +345,31 @@ def _sampler(buckets: int):
 
         for batch in chunks(batches, "text", CHUNK):
             ids = batch.column("doc").to_numpy()
-            key, around, before, behind, mine, place = anchors(*utf8(batch.column("text")))
+            data, offsets = utf8(batch.column("text"))
+            key, around, before, behind, mine, place = anchors(data, offsets)
             if len(key):
                 low = np.uint64((1 << 24) - 1)
-                held.append((key, around & np.uint64((1 << 40) - 1), before & low, behind & low, ids[mine], place))
-                count += len(key)
+                held.append((key, around & np.uint64((1 << 40) - 1), before & low, behind & low, ids[mine], place, size + offsets[mine] + place, size + offsets[mine + 1]))
+                texts.append(data)
+                count, size = count + len(key), size + len(data)
             if count > HELD:
-                count = 0
                 yield out(flush())
+                count = size = 0
         if held:
             yield out(flush())
 
     return sampled
 
 
+def _binaries(rows: list[tuple], name: str, *names: str) -> pa.Table:
+    """A table of a whole number and several binaries from rows."""
+    columns = list(zip(*rows)) or [()] * (len(names) + 1)
+    return pa.table([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], [name, *names])
+
+
 def _filer(doc_buckets: int):
     def filed(table: pa.Table) -> pa.Table:
+        """Entries that repeat a smaller document's surroundings ask for proof; those that share one side only are open."""
         columns = _concat(table.column("entries").to_pylist(), 6)
         spans = _concat(table.column("done").to_pylist(), 2)
         order = np.argsort(columns[0], kind="stable")
@@ -341,20 +379,20 @@ def _filer(doc_buckets: int):
         order = order[np.lexsort((columns[4][order].view(np.int64), columns[1][order], columns[0][order]))]
         key, around, before, behind, doc, place = (c[order] for c in columns)
         doc = doc.view(np.int64)
-        later = open_ = np.zeros(len(key), bool)
+        later = open_ = like = np.zeros(0, np.int64)
         if len(key):
-            later = _settled(key, around, doc)
-            left = np.flatnonzero(~later)
-            open_ = np.zeros(len(key), bool)
-            open_[left] = _shared(key[left], before[left], doc[left]) | _shared(key[left], behind[left], doc[left])
-        done_doc, done_at = np.concatenate([spans[0].view(np.int64), doc[later]]), np.concatenate([spans[1], place[later]])
-        key, doc, place = key[open_], doc[open_], place[open_]
-        a, b = _doc_bucket(done_doc, doc_buckets), _doc_bucket(doc, doc_buckets)
-        rows = []
-        for bucket in np.union1d(a, b).tolist():
-            x, y = a == bucket, b == bucket
-            rows.append((bucket, _pack(done_doc[x], done_at[x]) if x.any() else None, _pack(key[y], doc[y], place[y]) if y.any() else None))
-        return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["doc_bucket", "done", "open"])
+            partner = _before(key, around, doc)
+            later, left = np.flatnonzero(partner >= 0), np.flatnonzero(partner < 0)
+            like = partner[later]
+            open_ = left[_shared(key[left], before[left], doc[left]) | _shared(key[left], behind[left], doc[left])]
+        parts = [("done", [spans[0].view(np.int64), spans[1]]), ("asked", [doc[later], place[later], doc[like], place[like]]), ("open", [doc[open_], key[open_], place[open_]])]
+        found: dict[int, dict[str, bytes]] = {}
+        for name, (own, *more) in parts:
+            bucket = _doc_bucket(own, doc_buckets)
+            by = np.argsort(bucket, kind="stable")
+            for rows in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if len(by) else []:
+                found.setdefault(int(bucket[rows[0]]), {})[name] = _pack(own[rows], *(c[rows] for c in more))
+        return _binaries([(b, *(v.get(n) for n in ("done", "asked", "open"))) for b, v in found.items()], "doc_bucket", "done", "asked", "open")
 
     return filed
 
@@ -368,37 +406,80 @@ def _rows_of(ids: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return which, order[np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + low[which]]
 
 
-def _shower(buckets: int):
-    def shown(docs: pa.Table, asked: pa.Table) -> pa.Table:
-        """The bytes around the anchors that are open, packed by their keys."""
-        key, doc, place = _concat(asked.column("open").to_pylist(), 3)
-        doc, place = doc.view(np.int64), place.astype(np.int64)
+def _cut_out(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of several pieces, one after the other."""
+    shift = np.cumsum(size) - size
+    return data[np.repeat(begin - shift, size) + np.arange(size.sum())]
+
+
+def _runs(doc: np.ndarray, place: np.ndarray, other: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last anchor of each run, in which anchors of one document overlap and have partners as far apart; the order comes sorted."""
+    shift = place - there
+    order = np.lexsort((place, shift, other, doc))
+    new = np.zeros(len(order), bool)
+    for c in (doc, other, shift):
+        new[1:] |= c[order[1:]] != c[order[:-1]]
+    new[1:] |= place[order[1:]] - place[order[:-1]] > REACH + LENGTH
+    heads = np.concatenate([[0], np.flatnonzero(new)]) if len(order) else np.zeros(0, np.int64)
+    return order[heads], order[np.append(heads[1:], len(order)) - 1] if len(order) else heads
+
+
+def _shower(buckets: int, doc_buckets: int):
+    def shown(docs: pa.Table, filed: pa.Table) -> pa.Table:
+        """The bytes around the anchors that are open, packed by their keys, and those that ask for proof, by their partners."""
+        key_doc, key, place = _concat(filed.column("open").to_pylist(), 3)
+        doc, place = key_doc.view(np.int64), place.astype(np.int64)
         data, offsets = utf8(docs.column("text"))
-        which, row = _rows_of(docs.column("doc").to_numpy(), doc)
-        inside = place[which] < np.diff(offsets)[row]
+        ids, sizes = docs.column("doc").to_numpy(), np.diff(offsets)
+        which, row = _rows_of(ids, doc)
+        inside = place[which] < sizes[row]
         which, row = which[inside], row[inside]
         key, doc, place = key[which], doc[which], place[which]
-        at = offsets[row] + place
-        if len(at):  # strings around that have another minimizer are told by that
-            start, strings = reach_of(Hashed(data), offsets, at)
-            some = strings > 0
-            key, doc, place, row, start, size = key[some], doc[some], place[some], row[some], start[some], strings[some] + LENGTH - 1
-        else:
-            start = size = np.zeros(0, np.int64)
-        bucket = (key % np.uint64(buckets)).astype(np.int64)
         rows = []
+        if len(key):  # strings around that have another minimizer are told by that
+            start, strings = reach_of(Hashed(data), offsets, offsets[row] + place)
+            some = strings > 0
+            key, doc, place, start, size = key[some], doc[some], place[some], start[some], strings[some] + LENGTH - 1
+            lead = offsets[row[some]] + place - start
+            bucket = (key % np.uint64(buckets)).astype(np.int64)
+            for b in np.unique(bucket).tolist():
+                own = np.flatnonzero(bucket == b)
+                rows.append((b, _pack(key[own], doc[own], place[own], lead[own], size[own]), None, _cut_out(data, start[own], size[own]).tobytes()))
+        doc, place, other, there = (c.view(np.int64) for c in _concat(filed.column("asked").to_pylist(), 4))
+        first, last = _runs(doc, place, other, there)
+        which, row = _rows_of(ids, doc[first])
+        begin, end = np.maximum(place[first][which] - REACH, 0), np.minimum(place[last][which] + LENGTH, sizes[row])
+        whole = np.flatnonzero(place[last][which] + GRAM <= sizes[row])
+        first, begin, size, row = first[which][whole], begin[whole], (end - begin)[whole], row[whole]
+        shift = place[first] - there[first]
+        bucket = _doc_bucket(other[first], doc_buckets)
         for b in np.unique(bucket).tolist():
-            own = np.flatnonzero(bucket == b)
-            sizes = size[own]
-            shift = np.cumsum(sizes) - sizes
-            text = data[np.repeat(start[own] - shift, sizes) + np.arange(sizes.sum())]
-            lead = place[own] - (start - offsets[row])[own]
-            rows.append((b, _pack(key[own], doc[own], place[own], lead, sizes), text.tobytes()))
-        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "open", "text"])
+            own = np.flatnonzero((bucket == b) & (begin >= shift))
+            rows.append((b, None, _pack(doc[first[own]], begin[own], size[own], other[first[own]], (begin - shift)[own]), _cut_out(data, offsets[row[own]] + begin[own], size[own]).tobytes()))
+        return _binaries(rows, "bucket", "open", "runs", "text")
 
     return shown
 
 
+def _prover(doc_buckets: int):
+    def proved(docs: pa.Table, shown: pa.Table) -> pa.Table:
+        """The runs whose bytes are those of their partners."""
+        doc, begin, size, other, there = (c.view(np.int64) for c in _concat(shown.column("runs").to_pylist(), 5))
+        text = np.frombuffer(b"".join(shown.column("text").to_pylist()), np.uint8)
+        first = np.cumsum(size) - size
+        data, offsets = utf8(docs.column("text"))
+        which, row = _rows_of(docs.column("doc").to_numpy(), other)
+        fits = there[which] + size[which] <= np.diff(offsets)[row]
+        which, row = which[fits], row[fits]
+        n = size[which]
+        same = _cut_out(text, first[which], n) == _cut_out(data, offsets[row] + there[which], n)
+        good = which[np.logical_and.reduceat(same, np.cumsum(n) - n)] if len(which) else which
+        bucket = _doc_bucket(doc[good], doc_buckets)
+        return _binaries([(b, _pack(doc[own], begin[own], size[own])) for b in np.unique(bucket).tolist() for own in [good[bucket == b]]], "doc_bucket", "proved")
+
+    return proved
+
+
 def _teller(doc_buckets: int):
     def told(table: pa.Table) -> pa.Table:
         """Settle the open anchors of a bucket by the suffix sort of the bytes around them."""
@@ -408,8 +489,7 @@ def _teller(doc_buckets: int):
         entry, left = settle_windows(data, np.cumsum(size) - size + lead, lead, size - LENGTH + 1, doc, key)
         own, at = doc[entry], place[entry] - left
         bucket = _doc_bucket(own, doc_buckets)
-        rows = [(b, _pack(own[bucket == b], at[bucket == b])) for b in np.unique(bucket).tolist()]
-        return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["doc_bucket", "told"])
+        return _binaries([(b, _pack(own[bucket == b], at[bucket == b])) for b in np.unique(bucket).tolist()], "doc_bucket", "told")
 
     return told
 
@@ -419,14 +499,12 @@ def _cut(docs: pa.Table, spans: pa.Table) -> pa.Table:
     data, offsets = utf8(docs.column("text"))
     ids = docs.column("doc").to_numpy()
     mask = np.zeros(len(data) + 1, np.int32)
-    for name, before in (("done", REACH), ("told", 0)):
-        doc, place = _concat(spans.column(name).to_pylist(), 2)
-        doc, place = doc.view(np.int64), place.astype(np.int64)
+    done, told, proved = ([c.view(np.int64) for c in _concat(spans.column(name).to_pylist(), n)] for name, n in (("done", 2), ("told", 2), ("proved", 3)))
+    for doc, begin, end in ((done[0], done[1] - REACH, done[1] + LENGTH), (told[0], told[1], told[1] + LENGTH), (proved[0], proved[1], proved[1] + proved[2])):
         which, row = _rows_of(ids, doc)
-        at = offsets[row] + place[which]
         low, high = offsets[row], offsets[row + 1]
-        np.add.at(mask, np.clip(at - before, low, high), 1)
-        np.subtract.at(mask, np.clip(at + LENGTH, low, high), 1)
+        np.add.at(mask, np.clip(low + begin[which], low, high), 1)
+        np.subtract.at(mask, np.clip(low + end[which], low, high), 1)
     covered = np.cumsum(mask[:-1]) > 0
     total = np.concatenate([[0], np.cumsum(covered)])
     begins = covered & ~np.concatenate([[False], covered[:-1]])
@@ -438,7 +516,7 @@ def _cut(docs: pa.Table, spans: pa.Table) -> pa.Table:
     n = docs.num_rows
     view = memoryview(np.ascontiguousarray(kept))
     digest = [hashlib.sha256(view[left[i] : left[i + 1]]).hexdigest() for i in range(n)]
-    return pa.table([docs.column("doc"), pa.array(np.diff(offsets)), pa.array(total[offsets[1:]] - total[offsets[:-1]]), pa.array(runs[offsets[1:]] - runs[offsets[:-1]]), pa.array(digest, pa.string()), pa.array([bytes(view[left[i] : left[i + 1]]) for i in range(n)], pa.binary())], ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+    return pa.table([docs.column("doc_id"), pa.array(np.diff(offsets)), pa.array(total[offsets[1:]] - total[offsets[:-1]]), pa.array(runs[offsets[1:]] - runs[offsets[:-1]]), pa.array(digest, pa.string()), pa.array([bytes(view[left[i] : left[i + 1]]) for i in range(n)], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def _cut_digests(docs: pa.Table, spans: pa.Table) -> pa.Table:
@@ -449,23 +527,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes that stay) of every row of ``docs``.
 
     Null texts are empty; texts under LENGTH bytes lose nothing. Rows of one id are one document: spans found
-    in any of them are cut from each, as far as it reaches. A null id is smaller than none. Other columns are not read.
+    in any of them are cut from each, as far as it reaches. A null id is larger than all others. Other columns are
+    not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), text.alias("text"))
+    own = F.col(id_col).cast("long")
+    rows = docs.select(own.alias("doc_id"), F.coalesce(own, F.lit(_NO_ID)).alias("doc"), text.alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, total // BUCKET_BYTES)
-    sampled = rows.mapInArrow(_sampler(buckets), "bucket int, entries binary, done binary")
-    filed = scratch.write(sampled.groupBy("bucket").applyInArrow(_filer(buckets), "doc_bucket long, done binary, open binary"), "filed")
+    sampled = rows.drop("doc_id").mapInArrow(_sampler(buckets), "bucket int, entries binary, done binary")
+    filed = scratch.write(sampled.groupBy("bucket").applyInArrow(_filer(buckets), "doc_bucket long, done binary, asked binary, open binary"), "filed")
     del sampled
     release_shuffles(spark)
     placed = rows.withColumn("doc_bucket", _doc_bucket_column(F.col("doc"), buckets))
-    shown = placed.groupBy("doc_bucket").cogroup(filed.where("open is not null").select("doc_bucket", "open").groupBy("doc_bucket")).applyInArrow(_shower(buckets), "bucket int, open binary, text binary")
-    told = shown.groupBy("bucket").applyInArrow(_teller(buckets), "doc_bucket long, told binary")
+    asking = filed.where("asked is not null or open is not null").select("doc_bucket", "asked", "open")
+    shown = placed.groupBy("doc_bucket").cogroup(asking.groupBy("doc_bucket")).applyInArrow(_shower(buckets, buckets), "bucket long, open binary, runs binary, text binary")
+    shown = scratch.write(shown, "shown")
+    told = shown.where("open is not null").groupBy("bucket").applyInArrow(_teller(buckets), "doc_bucket long, told binary")
+    proved = placed.groupBy("doc_bucket").cogroup(shown.where("runs is not null").select(F.col("bucket").alias("doc_bucket"), "runs", "text").groupBy("doc_bucket")).applyInArrow(_prover(buckets), "doc_bucket long, proved binary")
     none = F.lit(None).cast("binary")
-    spans = filed.where("done is not null").select("doc_bucket", "done", none.alias("told")).union(told.select("doc_bucket", none.alias("done"), "told"))
-    schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else "")
-    cut = placed.groupBy("doc_bucket").cogroup(spans.groupBy("doc_bucket")).applyInArrow(_cut if with_bytes else _cut_digests, schema)
-    return cut.withColumn("doc_id", F.when(F.col("doc") != _NO_ID, F.col("doc"))).select("doc_id", *[c for c in cut.columns if c != "doc"])
+    spans = filed.where("done is not null").select("doc_bucket", "done", none.alias("told"), none.alias("proved"))
+    spans = spans.union(told.select("doc_bucket", none, "told", none)).union(proved.select("doc_bucket", none, none, "proved"))
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else "")
+    return placed.groupBy("doc_bucket").cogroup(spans.groupBy("doc_bucket")).applyInArrow(_cut if with_bytes else _cut_digests, schema)

@@ -177,10 +177,10 @@ def test_suffix_sort_orders_and_collisions_are_verified(monkeypatch):
     keys = [(group[i], data[starts[i] : starts[i] + 50].tobytes()) for i in order]
     assert keys == sorted(keys)
     monkeypatch.setattr(suffix_dedup, "_BYTES", np.ones(256, np.uint64))  # all strings of a length collide
-    start = np.array([0, 100, 200])
+    start, one = np.array([0, 100, 200]), np.ones(3, np.int64)
     data[200:250] = data[0:50]
-    out = suffix_dedup.settle_windows(data, start, np.array([1, 2, 3]), np.zeros(3, np.int64), np.arange(3))
-    assert out.tolist() == [False, False, True]
+    entry, left = suffix_dedup.settle_windows(data, start, 0 * one, one, np.array([1, 2, 3]), 0 * one)
+    assert entry.tolist() == [2] and left.tolist() == [0]
 
 
 def test_embeddings(spark):
