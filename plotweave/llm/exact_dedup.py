@@ -1,6 +1,7 @@
 """Exact dedup by skew-safe combining, with DataFrame functions alone.
 
-1. Rows are deduplicated inside each map task: the partial aggregation on (salt, digest, text).
+0. Digests are counted; only rows of digests that occur more than once, where there is something to compare, go on.
+1. These are deduplicated inside each map task: the partial aggregation on (salt, digest, text).
 2. Groups of one salt are merged after a shuffle on (salt, digest); a group of copies, however large,
    sends at most one row per map task.
 3. The winners of the salts are combined after a shuffle on the digest.
@@ -31,10 +32,11 @@ def normalised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "doc_id", "norm", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("digest"))
 
 
-def winners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """(digest, keep_id, group_size, n_texts) of each distinct normalised text."""
-    rows = normalised(docs, id_col, text_col).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    by_salt = rows.groupBy("salt", "digest", "norm").agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n"))
+def winners(rows: DataFrame, salts: int = 16) -> DataFrame:
+    """(digest, keep_id, group_size, n_texts) of each digest that occurs more than once in ``rows`` (doc_id, norm, digest)."""
+    repeated = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+    salted = rows.join(repeated, "digest", "left_semi").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    by_salt = salted.groupBy("salt", "digest", "norm").agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n"))
     merged = by_salt.repartition("digest").groupBy("digest", "norm").agg(F.max("top").alias("keep_id"), F.sum("n").alias("group_size"))
     return merged.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.count(F.lit(1)).alias("n_texts"))
 
@@ -48,11 +50,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Other columns of ``docs`` are not read, so their names can't clash. An empty table gives an empty result.
     Two different texts of one SHA-256 digest stop the query rather than being merged.
     """
-    groups = winners(docs, id_col, text_col, salts).select(
+    rows = normalised(docs, id_col, text_col)
+    groups = winners(rows, salts).select(
         F.lower(F.hex("digest")).alias("text_sha256"), "keep_id", "group_size", F.assert_true(F.col("n_texts") == 1, F.lit("two texts share a SHA-256 digest")).alias("checked"))
-    rows = normalised(docs, id_col, text_col).select("doc_id", F.lower(F.hex("digest")).alias("text_sha256"))
-    return rows.join(groups, "text_sha256").where(F.col("checked").isNull()).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    found = rows.select("doc_id", F.lower(F.hex("digest")).alias("text_sha256")).join(groups, "text_sha256", "left").where(F.col("checked").isNull())
+    alone = F.col("group_size").isNull()
+    keep_id = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
+    return found.select("doc_id", keep_id.alias("keep_id"), F.when(alone, 1).otherwise(F.col("group_size")).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep_id).alias("kept"), "text_sha256")
 
 
 def one_each(docs: DataFrame, id_col: str, key: Column, decided: DataFrame, name: str) -> DataFrame:
