@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from plotweave.llm.arrow_text import chunks, utf8
-from plotweave.plans.durable import Scratch, release_shuffles
+from plotweave.plans.durable import Scratch
 
 LENGTH = 50
 GRAM = 16
@@ -332,7 +332,7 @@ def _sampler(buckets: int):
             bucket = (entries[0] % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            wide = [6, 5, 3, 3, _width(entries[4]), _width(entries[5])]
+            wide = [6, 4, 2, 2, _width(entries[4]), _width(entries[5])]
             for b in np.flatnonzero(edges[:-1] < edges[1:]):
                 rows = by[edges[b] : edges[b + 1]]
                 yield int(b), _packed([c[rows] for c in entries], wide), None
@@ -348,8 +348,8 @@ def _sampler(buckets: int):
             data, offsets = utf8(batch.column("text"))
             key, around, before, behind, mine, place = anchors(data, offsets)
             if len(key):
-                low = np.uint64((1 << 24) - 1)
-                held.append((key, around & np.uint64((1 << 40) - 1), before & low, behind & low, ids[mine], place, size + offsets[mine] + place, size + offsets[mine + 1]))
+                low = np.uint64((1 << 16) - 1)
+                held.append((key, around & np.uint64((1 << 32) - 1), before & low, behind & low, ids[mine], place, size + offsets[mine] + place, size + offsets[mine + 1]))
                 texts.append(data)
                 count, size = count + len(key), size + len(data)
             if count > HELD:
@@ -539,8 +539,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = max(16, total // BUCKET_BYTES)
     sampled = rows.drop("doc_id").mapInArrow(_sampler(buckets), "bucket int, entries binary, done binary")
     filed = scratch.write(sampled.groupBy("bucket").applyInArrow(_filer(buckets), "doc_bucket long, done binary, asked binary, open binary"), "filed")
-    del sampled
-    release_shuffles(spark)
     placed = rows.withColumn("doc_bucket", _doc_bucket_column(F.col("doc"), buckets))
     asking = filed.where("asked is not null or open is not null").select("doc_bucket", "asked", "open")
     shown = placed.groupBy("doc_bucket").cogroup(asking.groupBy("doc_bucket")).applyInArrow(_shower(buckets, buckets), "bucket long, open binary, runs binary, text binary")
