@@ -7,21 +7,25 @@ Local checkpoints are never used.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where the setting is unset."""
+    """The shared folder of the session; a temporary one only on one machine (master ``local``) where the setting is unset."""
     folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING, None)
     if not folder:
-        current = spark.sparkContext.getCheckpointDir()
-        folder = current or "file://" + tempfile.mkdtemp(prefix="plotweave-")
+        folder = spark.sparkContext.getCheckpointDir()
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{_SETTING} must name a folder that all executors share")
+        folder = folder or "file://" + tempfile.mkdtemp(prefix="plotweave-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -33,10 +37,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of plans that are no longer referenced, before the next large shuffle."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def _own_shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that start in here delete their shuffle files when they end."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 class Scratch:
@@ -53,7 +62,8 @@ class Scratch:
         self.written += 1
         path = f"{self.root}/{name}-{self.written}"
         schema = df.schema
-        df.write.parquet(path)
+        with _own_shuffles_removed(self.spark):
+            df.write.parquet(path)
         self.drop(name)
         self.paths[name] = path
         return self.spark.read.schema(schema).parquet(path)
