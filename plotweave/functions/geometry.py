@@ -25,6 +25,12 @@ def near(a: str, b: str, tol: float) -> Column:
     return (axis_gap(a, b, "x") <= tol) & (axis_gap(a, b, "y") <= tol)
 
 
+def overlaps(a: str, b: str, tol: float) -> Column:
+    """The boxes meet once one of them is grown by ``tol``."""
+    apart = lambda axis: (F.col(f"{a}{axis}1") + tol < F.col(f"{b}{axis}0")) | (F.col(f"{b}{axis}1") + tol < F.col(f"{a}{axis}0"))
+    return ~(apart("x") | apart("y"))
+
+
 def distance(a: str, b: str) -> Column:
     """Euclidean distance of two boxes, 0 where they meet."""
     zero = F.lit(0.0)
@@ -102,3 +108,30 @@ def placed_box(w: Column, h: Column, tx: Column, ty: Column, sx: Column, sy: Col
         xs.append(tx + u * c - v * s)
         ys.append(ty + u * s + v * c)
     return [F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys)]
+
+
+def ellipse_point(cx: Column, cy: Column, major: Column, minor: Column, turn: Column, t: Column) -> tuple[Column, Column]:
+    """The point of a turned ellipse at parameter ``t``; angles in radians."""
+    u, v = major * F.cos(t), minor * F.sin(t)
+    return cx + u * F.cos(turn) - v * F.sin(turn), cy + u * F.sin(turn) + v * F.cos(turn)
+
+
+def ellipse_box(cx: Column, cy: Column, major: Column, minor: Column, turn: Column, samples: int = 100) -> dict[str, Column]:
+    """Box of ``samples`` points of an ellipse, as far apart in the parameter."""
+    ts = F.sequence(F.lit(0), F.lit(samples - 1))
+    at = lambda k: ellipse_point(cx, cy, major, minor, turn, k * (6.283185307179586 / samples))
+    xs, ys = F.transform(ts, lambda k: at(k)[0]), F.transform(ts, lambda k: at(k)[1])
+    return {"x0": F.array_min(xs), "y0": F.array_min(ys), "x1": F.array_max(xs), "y1": F.array_max(ys)}
+
+
+def arc_ends(cx: Column, cy: Column, r: Column, start_deg: Column, stop_deg: Column) -> list[Column]:
+    """x and y of an arc's start and of its end."""
+    return [f for a in (start_deg, stop_deg) for f in (cx + r * F.cos(F.radians(a)), cy + r * F.sin(F.radians(a)))]
+
+
+def turned_pattern_line(angle_deg: Column, x: Column, y: Column, dx: Column, dy: Column, move: tuple[Column, Column], scale: Column, turn_deg: Column) -> dict[str, Column]:
+    """A line of a hatch pattern after scaling, turning and moving; dashes only scale."""
+    c, s = F.cos(F.radians(turn_deg)), F.sin(F.radians(turn_deg))
+    turned = lambda u, v: ((u * c - v * s) * scale, (u * s + v * c) * scale)
+    (bx, by), (ox, oy) = turned(x, y), turned(dx, dy)
+    return {"angle": angle_deg + turn_deg, "x": bx + move[0], "y": by + move[1], "dx": ox, "dy": oy}

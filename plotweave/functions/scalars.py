@@ -135,16 +135,21 @@ def plain_lines(text: Column) -> Column:
     return F.split(text, r"\r\n|\r|\n|\\P")
 
 
+_MARKS = r"\\\\[{}]|\\[\\{}]|\\[AcCfFhHp][^;]*;|\\[Pn]|\\|[{}]|[^\\{}]+"
+
+
 def plain_text(text: Column) -> Column:
-    """Marked-up text without its marks.
+    """Marked-up text without its marks, read from left to right.
 
-    Paragraph marks become line ends; marks with an argument up to a semicolon go, as do braces; of any other
-    escape only the backslash goes.
+    An escaped backslash or brace is that character; paragraph marks become line ends; marks with an argument go up to
+    their semicolon, as do braces; of any other escape the backslash alone goes. A backslash at the very end stays.
     """
-    out = F.regexp_replace(text, r"\\P|\\n", "\n")
-    out = F.regexp_replace(out, r"\\[ACcFfHpQTW][^;\\{}]*;", "")
-    out = F.regexp_replace(out, r"(?<!\\)[{}]", "")
-    return F.regexp_replace(out, r"\\(.)", "$1")
+    def read(t: Column) -> Column:
+        plain = F.when(t.isin("{", "}", "\\"), "").when(t.isin("\\P", "\\n"), "\n").when(t.rlike(r"^\\[\\{}]"), F.substring(t, 2, 2))
+        return plain.when(t.startswith("\\"), "").otherwise(t)
+
+    tokens = F.regexp_extract_all(text, F.lit(_MARKS), F.lit(0))
+    return F.concat(F.array_join(F.transform(tokens, read), ""), F.when(F.try_element_at(tokens, F.lit(-1)) == "\\", "\\").otherwise(""))
 
 
 def letter_signature(text: Column) -> Column:
@@ -176,10 +181,44 @@ def approximate_index(r: Column, g: Column, b: Column) -> Column:
     return F.coalesce(*tests, F.lit(0))
 
 
-def measured(kind: Column, dx: Column, dy: Column, turn_deg: Column) -> Column:
-    """Length of a dimension: aligned takes the distance, linear its part along the dimension's direction."""
-    along = F.abs(dx * F.cos(F.radians(turn_deg)) + dy * F.sin(F.radians(turn_deg)))
-    return F.when(kind == "linear", along).otherwise(F.sqrt(dx * dx + dy * dy))
+def measured(kind: Column, dx: Column, dy: Column, turn_deg: Column, dz: Column | None = None) -> Column:
+    """Measurement of a dimension between two points that are (dx, dy, dz) apart.
+
+    Aligned, radius and diameter take the distance, linear its part along the dimension's direction, and ordinate the
+    part across the axis that it doesn't measure: ordinate_x across the turned y axis, ordinate_y across the turned x axis.
+    """
+    c, s = F.cos(F.radians(turn_deg)), F.sin(F.radians(turn_deg))
+    along = F.abs(dx * c + dy * s)
+    across = F.abs(dy * c - dx * s)
+    distance = F.sqrt(dx * dx + dy * dy + (dz * dz if dz is not None else 0))
+    return F.when(kind.isin("linear", "ordinate_x"), along).when(kind == "ordinate_y", across).otherwise(distance)
+
+
+def angle_between(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """The angle of two vectors in degrees; 180 where one has no length."""
+    size = F.sqrt((ax * ax + ay * ay) * (bx * bx + by * by))
+    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (ax * bx + ay * by) / size))
+    return F.when(size == 0, 180.0).otherwise(F.degrees(F.acos(cosine)))
+
+
+def scientific(value: Column, places: int) -> Column:
+    """A number as ``1.25E+03``."""
+    return F.format_string(f"%.{places}E", value.cast("double"))
+
+
+def radian_text(radians: Column, places: int = 2) -> Column:
+    return F.concat(decimal_text(radians, places), F.lit("r"))
+
+
+def engineering(inches: Column, places: int) -> Column:
+    """Feet and decimal inches, as ``1'-2.50"``."""
+    feet = F.floor(F.abs(inches) / 12)
+    return F.concat(F.when(inches < 0, "-").otherwise(""), feet.cast("string"), F.lit("'-"), decimal_text(F.abs(inches) - feet * 12, places), F.lit('"'))
+
+
+def paper_unit(unit: Column) -> Column:
+    """Drawing unit of a paper unit: inches and millimetres; all others have none."""
+    return F.when(unit.isin("Inches", "Millimeters"), unit).otherwise("Unitless")
 
 
 #: Lengths in millimetres of the line weights by index: fixed values of the format, in hundredths.

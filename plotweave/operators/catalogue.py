@@ -360,12 +360,12 @@ _HAMMING = "(bit_count(xor(c.high, r.high)) + bit_count(xor(c.low, r.low)))::INT
 
 @query(f"{with_('points')}, {_CENTRED} SELECT shape, bin, n FROM rad")
 def radial_histogram(spark, sf):
-    return matching.radial_counts(matching.centred(p.points(spark, sf)))
+    return matching.radial_counts(p.points(spark, sf))
 
 
 @query(f"{with_('points')}, {_CENTRED} SELECT shape, bin, n FROM pw")
 def pairwise_histogram(spark, sf):
-    return matching.pairwise_counts(matching.centred(p.points(spark, sf)))
+    return matching.pairwise_counts(p.points(spark, sf))
 
 
 def _hashes(spark, sf):

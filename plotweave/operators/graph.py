@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from plotweave.plans.durable import checkpointed
+from plotweave.plans.durable import Scratch
 
 
 def _to_least(edges: DataFrame, keep) -> DataFrame:
@@ -20,20 +20,21 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """(node, component) for every node of ``edges``; component is the least node that is reachable.
 
     Large-star and small-star steps alternate until the edges stay as they are, which takes O(log n) rounds on the
-    graphs met here. Each round is checkpointed to the shared folder, so lineage stays short and a lost executor
-    costs one round at most. Loops only name a node; edges with a null end are left out.
+    graphs met here. Each round is written to the shared folder, so lineage stays short and a lost executor
+    costs one round at most; the table of the round before goes once it stands. Loops only name a node; edges with a null end are left out.
     """
     all_edges = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     own = all_edges.select(F.col("u").alias("node")).union(all_edges.select("v")).distinct()
-    own = checkpointed(own)
-    now = checkpointed(all_edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    scratch = Scratch(edges.sparkSession, "components")
+    own = scratch.write(own, "nodes")
+    now = scratch.write(all_edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _to_least(both, F.col("v") > F.col("u")).where("u != v").distinct()  # (v, m), m <= u < v
         small = _to_least(large, F.col("v") != F.col("m"))
         heads = large.groupBy("u").agg(F.min("v").alias("v"))
-        now = checkpointed(small.union(heads).where("u != v").distinct())
+        now = scratch.write(small.union(heads).where("u != v").distinct(), "edges")
         found = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(found) == mark:
             break

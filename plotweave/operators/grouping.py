@@ -31,24 +31,22 @@ def endpoint_components(ends: DataFrame, tol: float) -> DataFrame:
     return connected_components(keyed.join(heads, ["doc_id", "kx", "ky"]).select(F.col("handle").alias("src"), F.col("head").alias("dst")))
 
 
-def merge_until_stable(boxes: DataFrame, gap: float, ratio: float | None = None, cell: float = 32.0, rounds: int = 50) -> DataFrame:
+def merge_until_stable(boxes: DataFrame, gap: float, ratio: float | None = None, cell: float = 32.0) -> DataFrame:
     """doc_id, handle, x0, y0, x1, y1, n: boxes merged again and again until none is close to another.
 
     A round joins the boxes, unites each component and writes the result; handle is the least of a group and n its
-    members; boxes that bring an ``n`` count as so many.
+    members; boxes that bring an ``n`` count as so many. Each round but the last leaves fewer boxes, so this ends.
     """
     scratch = Scratch(boxes.sparkSession, "merge")
-    now = scratch.write(boxes.select("doc_id", "handle", *g.BOX, (F.col("n") if "n" in boxes.columns else F.lit(1)).cast("long").alias("n")), "boxes-0")
-    count = now.count()
-    for k in range(1, rounds + 1):
+    now = scratch.write(boxes.select("doc_id", "handle", *g.BOX, (F.col("n") if "n" in boxes.columns else F.lit(1)).cast("long").alias("n")), "boxes")
+    count, left = -1, now.count()
+    while left != count:
+        count = left
         close = g.merges("l_", "r_", gap, ratio) & (F.col("l_handle") < F.col("r_handle"))
         named = components(now, band_join(now, now, ["doc_id"], cell, gap, close))
         merged = named.groupBy("doc_id", "component").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum("n").alias("n"))
-        now = scratch.write(merged.select("doc_id", F.col("component").alias("handle"), *g.BOX, "n"), f"boxes-{k}")
-        scratch.drop(f"boxes-{k - 1}")
-        if (left := now.count()) == count:
-            return now
-        count = left
+        now = scratch.write(merged.select("doc_id", F.col("component").alias("handle"), *g.BOX, "n"), "boxes")
+        left = now.count()
     return now
 
 

@@ -43,9 +43,9 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 def pairs(files: DataFrame) -> DataFrame:
     """The pairs of files given as (file, value)."""
     lines = files.select("file", F.split("value", r"\r\n|\n|\r").alias("lines"))
-    each = lines.select("file", "lines", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.size("lines") / 2).cast("int") - 1))).alias("pos"))
-    out = each.select("file", "pos", F.expr("try_cast(trim(lines[2 * pos]) AS INT)").alias("code"), F.expr("lines[2 * pos + 1]").alias("value"))
-    return out.where("code is not null")
+    halves = F.expr("transform(sequence(0, greatest(0, size(lines) div 2 - 1)), i -> struct(get(lines, 2 * i) AS code, get(lines, 2 * i + 1) AS value))")
+    each = lines.select("file", F.posexplode(halves).alias("pos", "pair"))  # the pairs alone become rows, not the file beside each
+    return each.select("file", "pos", F.expr("try_cast(trim(pair.code) AS INT)").alias("code"), "pair.value").where("code is not null")
 
 
 def records(found: DataFrame) -> DataFrame:

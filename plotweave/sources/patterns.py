@@ -18,8 +18,8 @@ def hatch_patterns(lines: DataFrame) -> DataFrame:
     at = lambda k: F.element_at(parts, k)
     head = F.split("title", ",", 2)
     return named.select(
-        F.substring(F.trim(head[0]), 2, 1000).alias("name"), F.trim(F.try_element_at(head, F.lit(2))).alias("description"), F.row_number().over(W.partitionBy("file", "title").orderBy("pos")).alias("line"),
-        at(1).alias("angle"), at(2).alias("x"), at(3).alias("y"), at(4).alias("shift"), at(5).alias("offset"), F.slice(parts, 6, 1000).alias("dashes"))
+        F.regexp_replace(F.trim(head[0]), r"^\*", "").alias("name"), F.trim(F.try_element_at(head, F.lit(2))).alias("description"), F.row_number().over(W.partitionBy("file", "title").orderBy("pos")).alias("line"),
+        at(1).alias("angle"), at(2).alias("x"), at(3).alias("y"), at(4).alias("shift"), at(5).alias("offset"), F.slice(parts, F.lit(6), F.size(parts)).alias("dashes"))
 
 
 def as_json(entities: DataFrame) -> DataFrame:

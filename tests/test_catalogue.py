@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from plotweave.operators import catalogue
+from plotweave.operators import catalogue, catalogue_rules  # noqa: F401 (registers its queries)
 from plotweave.plans.projection import with_
 from tests.conftest import DATA, same_rows
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plotweave.functions import geometry as g, scalars as s
-from plotweave.operators import classify, grouping, spatial
+from plotweave.operators import classify, grouping, matching, selections, spatial
 from plotweave.operators.graph import connected_components
 from plotweave.sources import dxf
 
@@ -94,9 +94,9 @@ def test_gap_is_strict_for_merging_and_inclusive_for_nearness(spark):
     assert row.select(g.near("l_", "r_", 5.0).alias("a"), g.merges("l_", "r_", 5.0).alias("b")).first() == (True, False)
 
 
-@pytest.mark.parametrize("step,want", [(0.0, 42.3645788954), (0.0001, 42.3646), (0.0005, 42.3645), (0.25, 42.25), (1, 42), (10, 40)])
+@pytest.mark.parametrize("step,want", [(0.0, 17.6183), (0.001, 17.618), (0.5, 17.5), (3, 18), (20, 20)])
 def test_rounding(spark, step, want):
-    assert one(spark, s.rounded_to(F.lit(42.3645788954), step)) == pytest.approx(want)
+    assert one(spark, s.rounded_to(F.lit(17.6183), step)) == pytest.approx(want)
 
 
 @pytest.mark.parametrize("value,want", [(0.5, "1/2"), (1.25, "1 1/4"), (3.0, "3"), (-0.75, "-3/4")])
@@ -104,7 +104,7 @@ def test_fraction(spark, value, want):
     assert one(spark, s.fraction(F.lit(value), 4)) == want
 
 
-@pytest.mark.parametrize("places,leading,trailing,want", [(2, False, False, "0.00"), (5, False, True, "0.#####"), (1, True, True, "#.#"), (1, True, False, "#.0")])
+@pytest.mark.parametrize("places,leading,trailing,want", [(3, False, False, "0.000"), (4, False, True, "0.####"), (2, True, True, "#.##"), (2, True, False, "#.00"), (0, False, False, "0")])
 def test_zero_mask(places, leading, trailing, want):
     assert s.zero_mask(places, leading, trailing) == want
 
@@ -112,7 +112,8 @@ def test_zero_mask(places, leading, trailing, want):
 def test_text(spark):
     assert one(spark, s.dms(F.lit(90.0))) == "90°"
     assert one(spark, s.gradians(F.lit(1.5707963267948966))) == "100.00g"
-    assert one(spark, s.plain_text(F.lit("- Color text {\\C3;green}, {\\C21;\\c5872631;TrueColor}\\P"))) == "- Color text green, TrueColor\n"
+    assert one(spark, s.plain_text(F.lit("pump {\\H1.5x;{\\C4;no. \\{7\\}}}\\Pc:\\\\Pipes \\q\\"))) == "pump no. {7}\nc:\\Pipes q\\"
+    assert one(spark, s.plain_text(F.lit(""))) == "" and one(spark, s.plain_text(F.lit(None).cast("string"))) is None
     assert one(spark, s.sanitised(F.lit(" a / b、c  "))) == "a_b_c"
     assert one(spark, s.sanitised(F.lit("  "))) == "SYM"
 
@@ -155,3 +156,35 @@ def test_refine_shrinks_and_keeps_counts(spark):
     df = spark.createDataFrame(rows, "doc_id int, handle long, x0 double, y0 double, x1 double, y1 double")
     got = sorted(map(tuple, grouping.refine_and_merge(df, 3.0, 0.25).select("handle", "x0", "x1", "n").collect()))
     assert got == [(1, -0.25, 3.25, 2), (3, 49.75, 51.25, 1)]
+
+
+def test_libraries_are_matched_in_parts(spark, monkeypatch):
+    rows = [(k, [(int(x), int(y)) for x, y in zip([0, 7 * k % 11, 5, k % 4], [0, 3, k % 5, 9])]) for k in range(24)]
+    shapes = spark.createDataFrame(rows, "shape long, pts array<struct<x: long, y: long>>")
+    found = {}
+    for size in (matching.LIBRARY, 5):
+        monkeypatch.setattr(matching, "LIBRARY", size)
+        hashes = matching.phash(shapes)
+        found[size] = [sorted(map(tuple, f.collect())) for f in (matching.best_match(hashes, hashes), matching.best_rotation(shapes, shapes.where("shape < 12")), matching.best_descriptor(shapes, shapes))]
+    assert len(found) == 2 and found[5] == found[matching.LIBRARY if matching.LIBRARY != 5 else 10_000]
+
+
+def test_histograms_of_odd_shapes(spark):
+    rows = [(1, [(0, 0), (4, 0)]), (2, [(3, 3)]), (3, []), (4, [(0, 0), (0, 4), (0, 8)])]
+    got = {r["shape"]: list(r["counts"]) for r in matching.histograms(spark.createDataFrame(rows, "shape long, pts array<struct<x: long, y: long>>")).collect()}
+    assert {k: sum(v) for k, v in got.items()} == {1: 2 + 1, 2: 1, 3: 0, 4: 3 + 3}
+    assert got[1][15] == 2 and got[1][16 + 47] == 1 and got[2][0] == 1
+
+
+
+
+def test_tables_and_names(spark):
+    layers = spark.createDataFrame([("Walls",), ("0",)], "name string")
+    new = spark.createDataFrame([("WALLS",), ("Doors",), ("doors",)], "name string")
+    assert sorted(r["name"].lower() for r in selections.with_entries(layers, new).collect()) == ["0", "doors", "walls"]
+    left = selections.without_entries(layers, spark.createDataFrame([("walls",), ("0",)], "name string"), ["0"])
+    assert [r["name"] for r in left.collect()] == ["0"]
+    moved = selections.fallen_back(spark.createDataFrame([(1, "WALLS"), (2, "0"), (3, None)], "handle long, layer string"), left, "0")
+    assert sorted(map(tuple, moved.select("handle", "layer").collect())) == [(1, "0"), (2, "0"), (3, "0")]
+    assert one(spark, selections.valid_name(F.lit("a|b"))) is False and one(spark, selections.valid_name(F.lit(None).cast("string"))) is False
+    assert one(spark, selections.allowed(F.lit("PUMP_1"), (), ("^PUMP",), ("PUMP_2",))) is True and one(spark, selections.allowed(F.lit("PUMP_2"), (), (), ("PUMP_2",))) is False
