@@ -18,8 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]")
-_FOUND = re.compile(r"(\\*)(" + "|".join(map(re.escape, CONTROL)) + ")")
-_TRAILING = re.compile(r"\\+\Z")
+_FOUND = re.compile(r"(?<!\\)(\\*+)(" + "|".join(map(re.escape, CONTROL)) + ")")
 _SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
 READ_BACK = T.StructType([
     T.StructField("n_turns", T.LongType()), T.StructField("turns_sha256", T.StringType()), T.StructField("loss_chars", T.LongType()),
@@ -32,9 +31,12 @@ class Malformed(ValueError):
 
 
 def escaped(content: str) -> str:
-    """Control strings in ``content`` made literal; backslashes that would touch the next marker are doubled."""
+    """Control strings in ``content`` made literal; backslashes that would touch the next marker are doubled.
+
+    Each run of backslashes is read once, so the time is linear in the text.
+    """
     content = _FOUND.sub(lambda m: m[1] * 2 + "\\" + m[2], content)
-    return _TRAILING.sub(lambda m: m[0] * 2, content)
+    return content + "\\" * (len(content) - len(content.rstrip("\\")))
 
 
 def _content(text: str, at: int, end: str) -> tuple[str, int, int]:

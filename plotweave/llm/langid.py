@@ -149,8 +149,8 @@ class Model:
 
 
 def held_out():
-    """True for rows that must not be learnt from."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    """True for rows that must not be learnt from; false without an id."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
 def learn(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, chars_per_doc: int = CHARS_PER_DOC, chars_per_lang: int = CHARS_PER_LANG) -> dict[str, str]:
@@ -158,7 +158,7 @@ def learn(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, chars_per_doc: in
 
     At most about 2 x docs_per_lang rows of chars_per_doc characters a language reach the driver.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").where(~held_out()).where("lang is not null and text is not null")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").where(~held_out()).where("doc_id is not null and lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return {}

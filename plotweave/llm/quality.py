@@ -96,8 +96,8 @@ def featured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def held_out(folds: int, fold: int):
-    """True for rows that no classifier may learn from."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == fold
+    """True for rows that no classifier may learn from; false without an id, which has no label either."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
 
 def fit(rows: DataFrame, labels: DataFrame, target: str = "quality") -> Discriminant:

@@ -318,7 +318,7 @@ def _encoder(shared, keep: list[str]):
             texts = batch.column("text").to_pylist()
             ids, offsets = codec.encode(texts)
             data, at = codec.decode(ids, offsets)
-            source, of = utf8(pa.array([(t or "").replace(MARK, " ") for t in texts], pa.large_string()))
+            source, of = utf8(pa.array([t or "" for t in texts], pa.large_string()))
             same = np.diff(at) == np.diff(of)
             if not (same.all() and np.array_equal(data, source)):
                 same = np.array([s and np.array_equal(data[at[i] : at[i + 1]], source[of[i] : of[i + 1]]) for i, s in enumerate(same)], bool)
@@ -331,7 +331,7 @@ def _encoder(shared, keep: list[str]):
 def encode_documents(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids, n_tokens, round_trip of every row of ``docs``; ids are those of the model's own encoder.
 
-    round_trip: decoding the ids gives the text. A literal blank mark in a text is read as a blank, as the model has
+    round_trip: decoding the ids gives the text, which fails where it holds a literal blank mark: that is read as a blank, as the model has
     no other sign for it. A null text has no ids. Repeated rows are repeated; other columns are not read. The model
     is read on the driver and sent once to each executor; its size doesn't depend on the data.
     """

@@ -84,7 +84,7 @@ def test_tokens_equal_the_library(kind):
 def test_token_rows(spark):
     docs = spark.createDataFrame([(1, "some words here", "x"), (2, None, "x"), (2, "", "x"), (3, "▁ é", "x")], "doc_id long, text string, ids string")
     rows = sp.encode_documents(docs)
-    assert all(r["round_trip"] for r in rows.collect())
+    assert {(r["doc_id"], r["round_trip"]) for r in rows.collect()} == {(1, True), (2, True), (3, False)}  # the mark reads back as a blank
     assert sorted((r["doc_id"], r["text"]) for r in sp.decode_documents(rows).collect()) == [(1, "some words here"), (2, ""), (2, ""), (3, "  é")]
 
 
@@ -192,3 +192,12 @@ def test_pipeline(spark):
     codec = sp.Codec(sp.read_pieces())
     for r in rows[:20]:
         assert codec.decode(np.array(r["ids"]), np.array([0, len(r["ids"])]))[0].tobytes().decode() == text[r["doc_id"]]
+
+
+def test_chat_is_linear_in_backslashes():
+    import time
+
+    text = "\\" * 1_000_000 + "x" + "\\" * 300_000 + "</s>" + "\\" * 1_000_000
+    begin = time.perf_counter()
+    turns = chat.parse(chat.render("user", text))
+    assert [t[:2] for t in turns] == [("user", text)] and time.perf_counter() - begin < 2
