@@ -1,14 +1,14 @@
 """Language identification by cross-parsing entropy.
 
-A suffix automaton of labelled text per language gives, from any place of a text, the longest match; the text is
+A suffix automaton of labelled text per language gives, from any place of a text, the longest match; the whole text is
 parsed greedily into such phrases (Ziv and Merhav, 1993). The language that needs the fewest phrases, normalised by
-the size of its text and the length parsed, wins. All windows of a batch advance together, one character a step.
+the size of its text and the length parsed, wins. Windows of all texts of a batch advance together, one letter a step;
+a phrase may cross windows, as each window is then parsed on from where the phrase before it ends.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,11 +18,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from plotweave.llm.arrow_text import chunks, code_points, utf8
 
-DOCS_PER_LANG = 60  # bounds of the sample that is learnt from
-CHARS_PER_DOC = 1_200
-CHARS_PER_LANG = 30_000
-WINDOW = 256  # phrases end at ends of windows, so that all windows have one length
-SYMBOLS = 64
+PASSAGES_PER_LANG = 60  # bound of the sample that is learnt from: passages of labelled rows, drawn from all their text
+PASSAGE = 1_000  # characters of a passage
+WINDOW = 840  # divisible by 1 to 8, so that windows of texts of one short period agree about phrases at once
 UNKNOWN = "und"
 
 
@@ -43,73 +41,151 @@ def letters(text: str) -> str:
 
 
 class Automaton:
-    """The suffix automaton of a text, as a table of transitions (state, symbol) -> state, -1 for none."""
+    """The suffix automaton of a text; transitions (state, symbol) -> state lie in a hash table that numpy probes."""
 
     def __init__(self, symbols: list[int], alphabet: int):
-        n = 2 * len(symbols) + 2
-        table = [[-1] * alphabet]
+        moves: list[dict[int, int]] = [{}]
         link, length, last = [-1], [0], 0
         for c in symbols:
-            table.append([-1] * alphabet)
+            moves.append({})
             link.append(0)
             length.append(length[last] + 1)
-            new, p = len(table) - 1, last
-            while p >= 0 and table[p][c] < 0:
-                table[p][c] = new
+            new, p = len(moves) - 1, last
+            while p >= 0 and c not in moves[p]:
+                moves[p][c] = new
                 p = link[p]
             if p >= 0:
-                q = table[p][c]
+                q = moves[p][c]
                 if length[p] + 1 == length[q]:
                     link[new] = q
                 else:
-                    table.append(table[q][:])
+                    clone = len(moves)
+                    moves.append(dict(moves[q]))
                     link.append(link[q])
                     length.append(length[p] + 1)
-                    clone = len(table) - 1
-                    while p >= 0 and table[p][c] == q:
-                        table[p][c] = clone
+                    while p >= 0 and moves[p].get(c) == q:
+                        moves[p][c] = clone
                         p = link[p]
                     link[q] = link[new] = clone
             last = new
-        assert len(table) <= n
-        self.next = np.array(table, np.int32)
         self.size = max(len(symbols), 2)
+        self.alphabet = alphabet
+        self.root = np.zeros(alphabet, np.int64)  # a symbol that the language lacks is a phrase of its own
+        self.root[list(moves[0])] = list(moves[0].values())
+        keys = np.array([state * alphabet + c for state, m in enumerate(moves) for c in m], np.int64)
+        values = np.array([to for m in moves for to in m.values()], np.int64)
+        self.bits = max(4, int(4 * len(keys) + 1).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
+        slots, left = self._slot(keys), np.arange(len(keys))
+        while len(left):  # each free slot takes the last of the keys that want it; the others go on to the next slot
+            free = left[self.keys[slots[left]] < 0]
+            self.keys[slots[free]] = keys[free]
+            left = left[self.keys[slots[left]] != keys[left]]
+            slots[left] = (slots[left] + 1) & ((1 << self.bits) - 1)
+        self.values[slots] = values
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The state after each symbol; -1 where there is no transition."""
+        key = state * self.alphabet
+        key += symbol
+        slot = self._slot(key)
+        found = self.keys.take(slot)
+        out = self.values.take(slot)
+        miss = found != key
+        out[miss] = -1
+        left = np.flatnonzero(miss & (found >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            found = self.keys[slot[left]]
+            hit = found == key[left]
+            out[left[hit]] = self.values[slot[left[hit]]]
+            left = left[~hit & (found >= 0)]
+        return out
+
+    def _advance(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The state after each symbol, and whether a phrase starts at it."""
+        to = self.step(state, symbol)
+        stop = np.flatnonzero(to < 0)
+        begins = state == 0
+        begins[stop] = True
+        to[stop] = self.root[symbol[stop]]
+        return to, begins
+
+    def phrases(self, symbols: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> np.ndarray:
+        """The number of phrases of the greedy parse of each text; texts are ``symbols`` between ``offsets``."""
+        n = len(offsets) - 1
+        per = -(-np.diff(offsets) // window)
+        owner = np.repeat(np.arange(n), per)
+        if not len(owner):
+            return np.zeros(n, np.int64)
+        rank = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
+        start, end = offsets[owner] + rank * window, offsets[owner + 1]
+        stop = np.minimum(start + window, end)
+        order = np.argsort(start - stop, kind="stable")
+        sizes = (stop - start)[order]
+        longer = np.searchsorted(-sizes, -np.arange(int(sizes[0])), side="left")  # windows longer than each place
+        at, mark = start[order], np.zeros(len(symbols) + 1, np.int8)  # 1 where a phrase starts, if one starts with its window
+        state = np.zeros(len(order), np.int64)
+        for j in range(int(sizes[0])):
+            k = longer[j]
+            state[:k], mark[at[:k]] = self._advance(state[:k], symbols[at[:k]])
+            at[:k] += 1
+        ahead = np.zeros(len(order), np.int64)
+        ahead[order] = state
+        before = np.concatenate([[0], np.cumsum(mark, dtype=np.int64)])
+        counts = before[stop] - before[start]
+        leave = self._last_phrase(symbols, ahead, stop, end)
+        usual, entry = leave.copy(), start.copy()
+        follows = np.flatnonzero(rank > 0)
+        while True:  # until each window is parsed from where the phrase before it ends
+            late = follows[leave[follows - 1] != entry[follows]]
+            if not len(late):
+                return np.bincount(owner, counts, n).astype(np.int64)
+            entry[late] = leave[late - 1]
+            counts[late], leave[late] = 0, entry[late]
+            rows = late[entry[late] < stop[late]]
+            at, state = entry[rows], np.zeros(len(rows), np.int64)
+            while len(rows):
+                state, begins = self._advance(state, symbols[at])
+                out = begins & (at >= stop[rows])
+                leave[rows[out]] = at[out]
+                same = begins & ~out & (mark[at] > 0)  # from here on the parse is the one that is known
+                counts[rows[same]] += before[stop[rows[same]]] - before[at[same]]
+                leave[rows[same]] = usual[rows[same]]
+                counts[rows[begins & ~out & ~same]] += 1
+                at = at + 1
+                ended = ~out & ~same & (at == end[rows])
+                leave[rows[ended]] = at[ended]
+                on = ~(out | same | ended)
+                rows, at, state = rows[on], at[on], state[on]
+
+    def _last_phrase(self, symbols: np.ndarray, state: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Where the phrase ends that is open, with ``state``, before each place ``at``."""
+        leave = at.copy()
+        rows = np.flatnonzero(at < end)
+        state, at = state[rows], at[rows]
+        while len(rows):
+            state, begins = self._advance(state, symbols[at])
+            at = at + ~begins
+            leave[rows] = at
+            on = ~begins & (at < end[rows])
+            rows, state, at = rows[on], state[on], at[on]
+        return leave
 
 
 class Model:
-    """Automata of all languages over one alphabet: the most frequent symbols, and one for the rest."""
+    """Automata of all languages over one alphabet: all letters of their texts, and one symbol for those of none."""
 
     def __init__(self, texts: dict[str, str]):
         self.langs = sorted(texts)
-        seen = Counter(" ")
-        for t in texts.values():
-            seen.update(t)
-        common = sorted(seen, key=lambda c: (-seen[c], c))[: SYMBOLS - 1]
-        self.symbol = np.full(0x110000, len(common), np.uint8)
-        for k, c in enumerate(common):
-            self.symbol[ord(c)] = k
-        code = {c: k for k, c in enumerate(common)}
-        self.automata = [Automaton([code.get(c, len(common)) for c in texts[lang]], len(common) + 1) for lang in self.langs]
-
-    def phrases(self, windows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Phrases of each row of ``windows`` (symbols) for each language; rows are sorted by falling length."""
-        counts = np.zeros((len(self.automata), len(windows)), np.int32)
-        columns = np.ascontiguousarray(windows.T)
-        alive = np.searchsorted(-lengths, -np.arange(windows.shape[1]), side="left")  # rows longer than each column
-        for a, automaton in enumerate(self.automata):
-            flat, width = automaton.next.ravel(), automaton.next.shape[1]
-            root = np.maximum(automaton.next[0], 0)  # a symbol that the language lacks is a phrase of its own
-            state = np.zeros(len(windows), np.int32)
-            for j in range(windows.shape[1]):
-                k = alive[j]
-                if not k:
-                    break
-                c, now = columns[j, :k], state[:k]
-                to = flat[now * width + c]
-                stop = to < 0
-                counts[a, :k] += stop | (now == 0)
-                state[:k] = np.where(stop, root[c], to)
-        return counts
+        seen = sorted({" ", *(c for t in texts.values() for c in t)})
+        code = {c: k for k, c in enumerate(seen)}
+        self.symbol = np.full(0x110000, len(seen), np.int32)
+        self.symbol[[ord(c) for c in seen]] = np.arange(len(seen))
+        self.automata = [Automaton([code[c] for c in texts[lang]], len(seen) + 1) for lang in self.langs]
 
     def predict(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The language index (-1 for none) and score of each text."""
@@ -122,23 +198,17 @@ class Model:
         keep[firsts] = ~blank[firsts]
         kept = np.zeros(len(low) + 1, np.int64)
         np.cumsum(keep, out=kept[1:])
+        low, offsets = low[keep], kept[offsets]
+        lasts = offsets[1:][offsets[:-1] < offsets[1:]] - 1
+        keep = np.ones(len(low), bool)
+        keep[lasts] = low[lasts] != 32  # no blank at either end, as in ``letters``
+        kept = np.zeros(len(low) + 1, np.int64)
+        np.cumsum(keep, out=kept[1:])
         offsets, symbols = kept[offsets], self.symbol[low[keep]]
         size = np.diff(offsets)
-        per = -(-size // WINDOW)
-        owner = np.repeat(np.arange(n), per)
-        if not len(owner) or not self.langs:
+        if not len(symbols) or not self.langs:
             return np.full(n, -1), np.zeros(n)
-        rank = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
-        start = offsets[owner] + rank * WINDOW
-        length = np.minimum(WINDOW, offsets[owner + 1] - start)
-        order = np.argsort(-length, kind="stable")
-        padded = np.concatenate([symbols, np.zeros(WINDOW, np.uint8)])
-        counts = np.zeros((len(self.langs), n))
-        for i in range(0, len(order), 4096):
-            rows = order[i : i + 4096]
-            found = self.phrases(padded[start[rows, None] + np.arange(WINDOW)], length[rows])
-            for a in range(len(self.langs)):
-                counts[a] += np.bincount(owner[rows], found[a], n)
+        counts = np.array([x.phrases(symbols, offsets) for x in self.automata], np.float64)
         rate = counts * np.array([math.log2(x.size) for x in self.automata])[:, None] / np.maximum(size, 1)
         best = rate.argmin(0)
         low_rate = rate.min(0)
@@ -153,26 +223,31 @@ def held_out():
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, chars_per_doc: int = CHARS_PER_DOC, chars_per_lang: int = CHARS_PER_LANG) -> dict[str, str]:
-    """Training text of each language: a bounded sample of labelled rows, taken by a hash of the id.
+def learn(docs: DataFrame, passages_per_lang: int = PASSAGES_PER_LANG, passage: int = PASSAGE) -> dict[str, str]:
+    """Training text of each language: a bounded sample of labelled rows, taken by a hash of id and place.
 
-    At most about 2 x docs_per_lang rows of chars_per_doc characters a language reach the driver.
+    All texts are cut into passages of ``passage`` characters and each passage of a language, wherever it lies in its
+    text, is as likely to be taken. About 1.5 x passages_per_lang of them a language reach the driver; those of the
+    least hashes are used. The driver also holds one count a language, as the model holds an automaton of each.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").where(~held_out()).where("doc_id is not null and lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(~held_out()).where("doc_id is not null and lang is not null and length(text) > 0")
+    pieces = F.ceil(F.length("text") / F.lit(passage)).cast("long")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(pieces).alias("n")).collect()}
     if not counts:
         return {}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30))
     share = F.lit(0)
     for lang, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, 1.5 * docs_per_lang / n) * (1 << 30)))).otherwise(share)
-    sample = rows.where(draw < share).select("lang", draw.alias("draw"), F.substring("text", 1, chars_per_doc).alias("text")).collect()
+        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, 1.5 * passages_per_lang / n) * (1 << 30)))).otherwise(share)
+    draw = lambda k: F.pmod(F.xxhash64("doc_id", k, F.lit(17)), F.lit(1 << 30))
+    drawn = F.filter(F.sequence(F.lit(0).cast("long"), pieces - 1), lambda k: draw(k) < share)
+    cut = F.transform(drawn, lambda k: F.struct(draw(k).alias("draw"), F.substring("text", (k * passage + 1).cast("int"), F.lit(passage)).alias("text")))
+    sample = rows.select("lang", F.explode(cut).alias("p")).select("lang", "p.*").collect()
     texts: dict[str, list[str]] = {}
     for r in sorted(sample, key=lambda r: (r["lang"], r["draw"], r["text"])):
         own = texts.setdefault(r["lang"], [])
-        if (t := letters(r["text"])) and t not in own and sum(map(len, own)) < chars_per_lang and len(own) < docs_per_lang:
+        if (t := letters(r["text"])) and t not in own and len(own) < passages_per_lang:
             own.append(t)
-    return {lang: " ".join(own)[:chars_per_lang] for lang, own in texts.items() if own}
+    return {lang: " ".join(own) for lang, own in texts.items() if own}
 
 
 _MODELS: dict[str, Model] = {}
@@ -203,7 +278,8 @@ def identify(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
 
     ``texts``: training text by language; by default learnt from ``docs``. A null text or one without a letter is
     ``und`` with score 0. Ties go to the language whose name sorts first. Rows of one id are told apart by nothing
-    and each gets its own row. Without any labelled text all rows are ``und``. Other columns are not read.
+    and each gets its own row; a row without an id is not learnt from. Without any labelled text all rows are ``und``;
+    an empty table gives an empty result. Other columns are not read.
     """
     texts = learn(docs) if texts is None else texts
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

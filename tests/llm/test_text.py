@@ -21,30 +21,51 @@ def test_query_equals_sql(spark, duck, name):
 
 def brute_phrases(text, train):
     n, at = 0, 0
-    for w in range(0, len(text), langid.WINDOW):
-        part, at = text[w : w + langid.WINDOW], 0
-        while at < len(part):
-            size = 1
-            while at + size < len(part) and part[at : at + size + 1] in train:
-                size += 1
-            n, at = n + 1, at + size
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in train:
+            size += 1
+        n, at = n + 1, at + size
     return n
 
 
-def test_cross_parsing_counts():
+@pytest.mark.parametrize("window", [1, 2, 7, 64, langid.WINDOW])
+def test_cross_parsing_counts(window):
+    """Phrases of whole texts, also where they cross windows, in texts of short periods and in other scripts."""
     rng = random.Random(0)
-    train = {k: "".join(rng.choice(a) for _ in range(800)) for k, a in (("x", "abcd "), ("y", "cdef "))}
-    train = {k: langid.letters(t) for k, t in train.items()}
+    train = {k: "".join(rng.choice(a) for _ in range(800)) for k, a in (("x", "abcd "), ("y", "cdef "), ("z", "漢字仮名交文 "))}
+    train = {k: langid.letters(t) + "q" * 7 for k, t in train.items()}
     model = langid.Model(train)
-    texts = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (1, 5, 300, 700)]
+    texts = ["", *("".join(rng.choice("abcdefgh 漢字") for _ in range(n)) for n in (1, 5, 300, 2000)), "q" * 200, "ab" * 100, train["x"], train["x"] * 3, "", train["z"][:90] + train["z"][3:99], "Ж" * 40]
     rows = [langid.letters(t) for t in texts]
-    for t in rows:
-        codes = model.symbol[np.frombuffer(t.encode("utf-32-le"), np.uint32)]
-        got = np.zeros(2)
-        for w in range(0, len(t), langid.WINDOW):
-            c = codes[w : w + langid.WINDOW]
-            got += model.phrases(np.pad(c, (0, langid.WINDOW - len(c)))[None], np.array([len(c)]))[:, 0]
-        assert got.tolist() == [brute_phrases(t, train[k]) for k in model.langs]
+    symbols = model.symbol[np.frombuffer("".join(rows).encode("utf-32-le"), np.uint32)]
+    offsets = np.cumsum([0, *map(len, rows)])
+    for k, automaton in zip(model.langs, model.automata):
+        assert automaton.phrases(symbols, offsets, window).tolist() == [brute_phrases(t, train[k]) for t in rows]
+
+
+def test_language_decision_is_the_fewest_normalised_phrases(spark):
+    train = {"en": "the cat sat on the mat and the dog", "fr": "le chat est sur le tapis et le chien"}
+    texts = ["The cat, and the dog!", "le chien est le chat", "dog", "zzz", "Le 3e chat: sur the mat", "é"]
+    docs = spark.createDataFrame([(i, t, "clash", 1.0) for i, t in enumerate(texts)] * 2, "doc_id long, text string, lang_pred string, score double")
+    rows = langid.identify(docs, train).collect()
+    assert len(rows) == 2 * len(texts)
+    for r in rows:
+        t = langid.letters(texts[r["doc_id"]])
+        rate = {k: brute_phrases(t, v) * np.log2(len(v)) / len(t) for k, v in train.items()}
+        one, two = sorted(rate.values())
+        assert r["lang_pred"] == min(train, key=lambda k: (rate[k], k)) and r["score"] == pytest.approx(1 - one / two)
+
+
+def test_language_sample_is_drawn_from_whole_texts(spark):
+    text = "".join(chr(97 + k // 26) + chr(97 + k % 26) + " " for k in range(676)) * 20
+    docs = spark.createDataFrame([(i, text, "xx") for i in range(1, 30)] + [(None, "no id", "yy"), (40, "", "yy"), (41, None, "yy"), (42, "no label", None)], "doc_id long, text string, lang string")
+    found = langid.learn(docs, passages_per_lang=10, passage=50)
+    assert set(found) == {"xx"}
+    places = [langid.letters(text).find(found["xx"][k : k + 12]) for k in range(0, len(found["xx"]) - 12, 50)]
+    assert max(places) > 600 and len(found["xx"]) <= 10 * 51
+    whole = langid.learn(docs.where("doc_id is null or doc_id > 39"), 10, 50)
+    assert whole == {}
 
 
 def test_language_accuracy_and_edges(spark):
