@@ -146,6 +146,74 @@ def test_raking_meets_targets(spark):
     assert here.keys() == there.keys() and all(abs(here[k] - there[k]) < 1e-8 for k in here)
 
 
+def brute_mix(rows, targets):
+    """Probabilities by plain loops; ``rows``: (source, lang, topic, tokens)."""
+    cells = {}
+    for *cell, n in rows:
+        cells[tuple(cell)] = cells.get(tuple(cell), 0.0) + n
+    total, want = sum(cells.values()), []
+    for k, m in enumerate(mixing.MARGINS):
+        share = {}
+        for cell, n in cells.items():
+            share[cell[k]] = share.get(cell[k], 0.0) + n / total
+        given = {v: w for v, w in targets.get(m, {}).items() if v in share}
+        rest = sum(x**mixing.TEMPERATURE for v, x in share.items() if v not in given)
+        want.append({v: given[v] if v in given else x**mixing.TEMPERATURE / rest * (1 - sum(given.values())) for v, x in share.items()})
+    fit = {cell: n / total for cell, n in cells.items()}
+    for _ in range(300):
+        for k in range(3):
+            now = {}
+            for cell, x in fit.items():
+                now[cell[k]] = now.get(cell[k], 0.0) + x
+            fit = {cell: x * want[k][cell[k]] / now[cell[k]] for cell, x in fit.items()}
+    ratio = {cell: fit[cell] / cells[cell] for cell in cells}
+    each = sorted(x for cell, x in ratio.items() for _ in range(int(cells[cell])))
+    at = (len(each) - 1) * (1 - mixing.WHOLE)
+    top = each[int(at)] + (at - int(at)) * (each[min(int(at) + 1, len(each) - 1)] - each[int(at)])
+    return want, {cell: min(1.0, x / top) for cell, x in ratio.items()}
+
+
+@pytest.mark.parametrize("targets", [{}, {"lang": {"en": 0.5}, "source": {"s0": 0.2, "none such": 0.1}}])
+def test_mixing_equals_brute_force(spark, targets):
+    words = ["a b c", "the license of it", "write to a@b", "x | y | z"]
+    docs = spark.createDataFrame([(i, words[i * 7 % 4] + " w" * (i % 11), f"s{i * i % 5}", ("en", "de", "fr")[i % 3]) for i in range(3000)], "doc_id long, text string, source string, lang string")
+    got = mixing.mix(docs, targets=targets).cache()
+    rows = got.collect()
+    want, p = brute_mix([(r["source"], r["lang"], r["topic"], r["tokens"]) for r in rows], targets)
+    assert all(r["tokens"] == docs_tokens for r, docs_tokens in ((r, 1 + (words[r["doc_id"] * 7 % 4] + " w" * (r["doc_id"] % 11)).count(" ")) for r in rows))
+    for r in rows:
+        assert r["probability"] == pytest.approx(p[(r["source"], r["lang"], r["topic"])], rel=1e-6)
+    report = {(r["margin"], r["value"]): r for r in mixing.marginals(got, targets=targets).collect()}
+    kept = sum(r["tokens"] for r in rows if r["sampled"])
+    for k, m in enumerate(mixing.MARGINS):
+        for v, t in want[k].items():
+            r = report[(m, v)]
+            assert r["target"] == pytest.approx(t, abs=1e-9)
+            assert r["achieved"] == pytest.approx(sum(x["tokens"] for x in rows if x["sampled"] and x[m] == v) / kept)
+            assert abs(r["expected"] - t) < 0.05 and abs(r["achieved"] - r["expected"]) < 0.05  # clipped cells miss a little
+
+
+def test_targets_alike_on_both_paths(spark):
+    cells = spark.createDataFrame([(f"s{a}", f"l{b}", f"t{c}", float(a + b + c + 1)) for a in range(4) for b in range(3) for c in range(2)], "source string, lang string, topic string, weight double")
+    targets = {"source": {"s1": 0.5}, "topic": {"t0": 0.3, "t1": 0.3}}
+    here = {tuple(r)[:3]: r["fitted"] for r in mixing._rake_here(cells, mixing.MARGINS, 0.9, targets).collect()}
+    there = {tuple(r)[:3]: r["fitted"] for r in mixing._rake_spark(cells, mixing.MARGINS, 0.9, targets).collect()}
+    assert all(abs(here[k] - there[k]) < 1e-8 for k in here)
+    assert sum(x for k, x in here.items() if k[0] == "s1") == pytest.approx(0.5) and sum(x for k, x in here.items() if k[2] == "t0") == pytest.approx(0.5)
+    with pytest.raises(ValueError):
+        mixing._rake_here(cells, mixing.MARGINS, 0.9, {"lang": {"l0": 0.8, "l1": 0.4}})
+
+
+def test_mixing_columns_and_clashes(spark):
+    docs = spark.createDataFrame([(1, "a", "s", "en", "x", 3.0, 1), (1, "a", "s", "en", "x", 3.0, 1), (None, None, None, None, None, None, 2), (4, "y " * 200000, "s", "de", "y", 0.0, 3)], "doc_id long, text string, source string, lang string, topic string, p double, row int")
+    rows = mixing.mix(docs, topic_col="topic", tokens_col="p").collect()
+    assert sorted((r["topic"], r["tokens"]) for r in rows) == [("", 0.0), ("x", 3.0), ("x", 3.0), ("y", 0.0)]
+    kept = mixing.keep_sampled(docs)
+    assert kept.columns == docs.columns and kept.count() <= 4
+    nothing = mixing.mix(docs, tokens_col="row", topic_col="topic", targets={"source": {"other": 1.0}}).collect()
+    assert len(nothing) == 4
+
+
 def test_mixing_rows(spark):
     docs = spark.createDataFrame([(i, None if i % 5 == 0 else "a b " * (i % 7), None if i % 4 == 0 else f"s{i % 3}", "en" if i % 2 else None, 0.5) for i in range(200)], "doc_id long, text string, source string, lang string, probability double")
     rows = mixing.mix(docs).collect()
