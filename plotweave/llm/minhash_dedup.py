@@ -40,6 +40,7 @@ SLOTS, BANDS, ROWS = 96, 48, 6  # at similarity 0.8 a pair shares no band with p
 SLACK = 0.16  # by which agreement of slots may fall short of the threshold: four standard deviations
 BLOCK = 1024  # nodes of a bucket that are compared with as many at once
 CELL = 20_000  # rows of blocks that are handed to a Python worker together
+ELEMENTS = 1_000_000  # shingles, about, that a side of a block holds, and that a Python worker gets together
 KNOWN = 200_000  # words whose hashes a Python worker remembers
 CHUNK = 1_000_000
 
@@ -219,12 +220,12 @@ def _joining(threshold: float):
     def join(table: pa.Table) -> pa.Table:
         """Links by shingle sets; in a block, those between components that others have joined are left out."""
         node, *columns = _columns(table)
-        home, size = columns[0], columns[1]
+        home = columns[0]
         lists = table.column("shingles").combine_chunks()
-        _, flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-        begin = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-        mark, links = np.zeros(flat.max(initial=-1) + 1, bool), []
+        values, lengths = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+        starts = np.cumsum(lengths) - lengths
         root: dict[int, int] = {}
+        links: list[tuple[int, int]] = []
 
         def top(h: int) -> int:
             while root.get(h, h) != h:
@@ -233,21 +234,28 @@ def _joining(threshold: float):
 
         for rest, other in _blocks(table):
             root.clear()
+            here = np.concatenate([rest, other])
+            n = lengths[here]
+            end = np.cumsum(n)
+            begin = end - n
+            _, flat = np.unique(np.concatenate([values[starts[k] : starts[k] + lengths[k]] for k in here]), return_inverse=True)
+            mark = np.zeros(flat.max(initial=-1) + 1, bool)
             for at in range(0, len(rest), 32):
-                r = rest[at : at + 32]
-                good = _admits(r, other, *columns, threshold)
+                good = _admits(rest[at : at + 32], other, *columns, threshold)
                 for k in np.flatnonzero(good.any(1)):
-                    x, y = r[k], other[good[k]]
-                    mark[flat[begin[x] : begin[x + 1]]] = True
-                    ends = np.cumsum(size[y])
-                    shared = np.cumsum(mark[flat[np.repeat(begin[y] - ends + size[y], size[y]) + np.arange(ends[-1])]])
-                    both = np.diff(shared[ends - 1], prepend=0)
-                    mark[flat[begin[x] : begin[x + 1]]] = False
-                    for z in y[both / (size[x] + size[y] - both) >= threshold].tolist():
-                        p, q = top(int(home[x])), top(int(home[z]))
+                    x, met = at + k, np.flatnonzero(good[k])
+                    y = len(rest) + met
+                    mark[flat[begin[x] : end[x]]] = True
+                    stop = np.cumsum(n[y])
+                    shared = np.cumsum(mark[flat[np.repeat(begin[y] - stop + n[y], n[y]) + np.arange(stop[-1])]])
+                    both = np.diff(shared[stop - 1], prepend=0)
+                    mark[flat[begin[x] : end[x]]] = False
+                    a = rest[x]
+                    for b in other[met[both / (n[x] + n[y] - both) >= threshold]].tolist():
+                        p, q = top(int(home[a])), top(int(home[b]))
                         if p != q:
                             root[p] = q
-                            links.append((min(node[x], node[z]), max(node[x], node[z])))
+                            links.append((min(node[a], node[b]), max(node[a], node[b])))
         pairs = np.array(links, np.int64).reshape(-1, 2)
         return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
@@ -257,23 +265,28 @@ def _joining(threshold: float):
 def _rest_links(live: DataFrame, nodes: DataFrame, rows: DataFrame, heads: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """Links of nodes outside the component of their bucket's head with the bucket's nodes of other components.
 
-    A bucket is cut into blocks of BLOCK nodes on both sides, and a pair of blocks is compared in one task, so no
-    bucket is ever together in one.
+    A bucket is cut into blocks on both sides, of BLOCK nodes or, where texts are long, of about ELEMENTS shingles. A
+    pair of blocks is compared in one task, so no bucket is ever together in one. Workers get pairs of blocks by rows
+    while sketches are compared, and by shingles afterwards.
     """
     apart = F.col("home") != F.col("head_home")
-    cut = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    counts = live.groupBy("bucket").agg(F.count_if(apart).alias("n_rest"), F.count(F.lit(1)).alias("n")).withColumns({"rests": cut("n_rest"), "all": cut("n")})
-    counts = scratch.write(counts, "counts")
+    sized = live.join(nodes.select("node", "size", "sketch"), "node")
+    step = F.least(F.lit(BLOCK), F.greatest(F.lit(1), F.floor(ELEMENTS / F.avg("size"))))
+    counts = sized.groupBy("bucket").agg(F.count_if(apart).alias("n_rest"), F.count(F.lit(1)).alias("n"), step.alias("step"))
+    cut = lambda n: F.ceil(F.col(n) / F.col("step")).cast("int")
+    counts = scratch.write(counts.withColumns({"rests": cut("n_rest"), "all": cut("n")}), "counts")
     cells = 1 + (counts.agg(F.sum(F.expr("n_rest * all + n * rests"))).first()[0] or 0) // CELL
-    every = live.join(counts.select("bucket", "rests", "all"), "bucket").join(nodes.select("node", "size", "sketch"), "node")
+    every = sized.join(counts.select("bucket", "rests", "all"), "bucket")
     of = lambda n: F.pmod(F.xxhash64("node", "bucket"), F.col(n)).cast("int")
     copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asking = every.where(apart).select("bucket", of("rests").alias("i"), copies("all").alias("j"), F.lit(True).alias("asks"), "node", "home", "size", "sketch")
     asked = every.select("bucket", copies("rests").alias("i"), of("all").alias("j"), F.lit(False).alias("asks"), "node", "home", "size", "sketch")
-    dealt = asking.union(asked).withColumn("cell", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(cells)))
+    cell = lambda n: F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(n))
+    dealt = asking.union(asked).withColumn("cell", cell(cells))
     met = scratch.write(dealt.groupBy("cell").applyInArrow(_met(threshold), dealt.schema), "met")
     sets = _sets(met.select("node").distinct(), rows, heads, scratch, "rest")
-    return met.join(sets, "node").groupBy("cell").applyInArrow(_joining(threshold), "a long, b long").distinct()
+    loads = 1 + (met.agg(F.sum("size")).first()[0] or 0) // ELEMENTS
+    return met.withColumn("cell", cell(loads)).join(sets, "node").groupBy("cell").applyInArrow(_joining(threshold), "a long, b long").distinct()
 
 
 def _ordered(x: str, y: str) -> list[Column]:

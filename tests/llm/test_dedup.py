@@ -119,6 +119,31 @@ def test_near_large_group_and_empty(spark):
     assert minhash_dedup.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("block, elements", [(1024, 1_000_000), (4, 1_000_000), (1024, 700)])
+def test_near_blocks_of_one_bucket(spark, monkeypatch, block, elements):
+    """All of one bucket are apart at first; links of all blocks together join what brute force joins."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+    monkeypatch.setattr(minhash_dedup, "ELEMENTS", elements)
+    rng = random.Random(3)
+    texts = [words(rng, 50)]
+    for size in (40, 90, 90, 900):
+        base = words(rng, size)
+        for k in range(7):
+            texts.append([f"w{k}" if i == 11 * k % size else w for i, w in enumerate(base)])
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([(i, hashlib.sha256(t.encode()).digest(), t) for i, t in rows], "doc_id long, key binary, text string")
+    signed = docs.mapInArrow(minhash_dedup._signed, "node long, key binary, digest binary, size long, keys array<long>, sketch array<tinyint>")
+    nodes = signed.toDF("node", "key", "digest", "size", "keys", "sketch").select("node", "size", "sketch")
+    live = spark.createDataFrame([(7, i, i, 0, 0) for i, _ in rows], "bucket long, node long, home long, head long, head_home long")
+    heads = docs.selectExpr("doc_id node", "doc_id head_id", "key head_key")
+    links = minhash_dedup._rest_links(live, nodes, docs, heads, 0.8, minhash_dedup.Scratch(spark, "test")).collect()
+    want, got = near_classes(rows), {i: i for i, _ in rows}
+    for _ in rows:
+        for a, b in links:
+            got[a] = got[b] = min(got[a], got[b])
+    assert got == want and len(set(want.values())) < len(rows) - 15
+
+
 @pytest.mark.parametrize("times", [30, 1000])
 def test_near_with_a_repeated_line(spark, times):
     rng = random.Random(times)
