@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plotweave.llm import chat, embedding_dedup, exact_dedup, langid, minhash_dedup, mixing, quality, sentencepiece_codec, sharding, suffix_dedup
+from plotweave.llm import chat, embedding_dedup, exact_dedup, langid, merkle, minhash_dedup, mixing, packing, periodic_runs, quality, sentencepiece_codec, sharding, suffix_dedup
 from plotweave.plans.tables import table
 
 
@@ -46,6 +46,18 @@ def op10_sharding(spark, sf_dir):
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark, sf_dir):
+    return periodic_runs.digests(periodic_runs.find_runs(periodic_runs.with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
+def op12_packing(spark, sf_dir):
+    return packing.digests(packing.pack(table(spark, sf_dir, "documents")))
+
+
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle.verified(merkle.document_manifest(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_language_id": op2_language_id,
@@ -57,6 +69,9 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_packing": op12_packing,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -64,6 +79,37 @@ _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 #: Backslashes that escape the control strings of a text, for texts without a backslash of their own.
 _ESCAPES = " + ".join(f"(length(text) - length(replace(text, '{c}', ''))) // {len(c)}" for c in chat.CONTROL)
 
+#: CRC-32 of the decimal form of an id, bit by bit (reflected polynomial 0xEDB88320).
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i::INT, 1))::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, z: xor(a >> 1, 3988292384::BIGINT * (a & 1)))), 4294967295::BIGINT)"""
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
+
+
+def _levels(before: str, name: str, rounds: int) -> str:
+    """Rounds of hashing every 16 nodes (part, pos, digest) of a part while it has several; b is what is left and right of a node in its run."""
+    out = ""
+    for k in range(rounds):
+        below = before if k == 0 else f"{name}{k - 1}"
+        out += f"""
+        {name}r{k} AS (SELECT part, pos // 16 AS run, string_agg(digest, '' ORDER BY pos) AS joined, max(total) AS total FROM (SELECT *, count(*) OVER (PARTITION BY part) AS total FROM {below}) GROUP BY part, pos // 16),
+        {name}{k} AS (SELECT part, run AS pos, CASE WHEN total > 1 THEN sha256(joined) ELSE joined END AS digest FROM {name}r{k}),"""
+    return out
+
+
+def _fold(rows: str, name: str, rounds: int, part: str) -> str:
+    """The rows (with place, proof, fold) led through the rounds of ``name``."""
+    out = ""
+    for k in range(rounds):
+        out += f"""
+        {name}f{k} AS (SELECT f.* REPLACE (f.place // 16 AS place,
+            CASE WHEN r.total > 1 THEN f.proof || substr(r.joined, 1, 64 * (f.place % 16)) || substr(r.joined, 64 * (f.place % 16) + 65) ELSE f.proof END AS proof,
+            CASE WHEN r.total > 1 THEN sha256(substr(r.joined, 1, 64 * (f.place % 16)) || f.fold || substr(r.joined, 64 * (f.place % 16) + 65)) ELSE f.fold END AS fold)
+            FROM {rows if k == 0 else f"{name}f{k - 1}"} f JOIN {name}r{k} r ON {part} IS NOT DISTINCT FROM r.part AND f.place // 16 = r.run),"""
+    return out
+
+
 SQL = {
     "op1_embedding_dedup": """
         WITH RECURSIVE v AS (
@@ -111,4 +157,13 @@ SQL = {
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.norm) AS text_sha256
         FROM d JOIN g ON d.norm = g.norm""",
+    "op13_merkle_manifest": f"""
+        WITH d AS (SELECT doc_id, source, {_LEAF} AS leaf, CASE WHEN doc_id IS NOT NULL AND {_CRC} % 5 = 0 THEN {_LEAF.replace("text", f"translate(text, {_AZ})")} ELSE {_LEAF} END AS tampered FROM documents),
+        n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, tampered) - 1 AS place FROM d),
+        l AS (SELECT source AS part, place AS pos, leaf AS digest FROM n),{_levels("l", "i", 6)}
+        s AS (SELECT '' AS part, row_number() OVER (ORDER BY part NULLS FIRST) - 1 AS pos, digest, part AS source FROM i5),{_levels("s", "o", 3)}
+        a AS (SELECT doc_id, source, leaf, place, '' AS proof, tampered AS fold FROM n),{_fold("a", "i", 6, "f.source")}
+        b AS (SELECT i.doc_id, i.leaf, s.digest AS subroot, s.pos AS place, i.proof, i.fold FROM if5 i JOIN s ON i.source IS NOT DISTINCT FROM s.source),{_fold("b", "o", 3, "''")}
+        e AS (SELECT digest AS root FROM o2)
+        SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified FROM of2, e""",
 }
