@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-BINARY = b"AutoCAD Binary DXF\r\n\x1a\x00"
+from plotweave.sources.dxf_stream import BINARY, CODE_KINDS
 
 
 def is_binary(content):
@@ -18,14 +18,8 @@ def is_binary(content):
 
 def code_type(code):
     """Type of a group code's value."""
-    ranges = [
-        ("string", ((0, 4), (6, 9), (100, 102), (300, 309), (410, 419), (430, 439), (470, 479), (999, 1003))), ("handle", ((5, 5), (105, 105), (320, 329), (480, 481), (1005, 1009))),
-        ("pointer", ((330, 369), (390, 399))), ("point", ((10, 39),)), ("double", ((40, 59), (110, 149), (210, 239), (460, 469), (1010, 1059))),
-        ("short", ((60, 79), (170, 179), (270, 289), (370, 389), (400, 409), (1060, 1070))), ("int", ((90, 99), (420, 429), (440, 459), (1071, 1071))),
-        ("long", ((160, 169),)), ("bool", ((290, 299),)), ("binary", ((310, 319), (1004, 1004))),
-    ]  # fixed values of the format
     out = None
-    for kind, spans in ranges:
+    for kind, spans in CODE_KINDS:
         test = None
         for a, b in spans:
             one = code.between(a, b)
