@@ -16,6 +16,9 @@ Blocks form inside a Spark partition, from consecutive documents, so nothing is
 from __future__ import annotations
 
 import heapq
+import os
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,51 +32,96 @@ MODEL = "/opt/tokenizers/word_bpe_49k.json"
 WINDOW = 4096
 END = 2  # the id that closes a document
 BLOCK = 256  # windows of a block
-FINE = ((64, 8, 6), (8, 64, 1))  # (tokens of an item, a block's share that is cut so is one in so many, windows at least)
+FINE = ((64, 16, 4), (8, 128, 1))  # (tokens of an item, a block's share that is cut so is one in so many, windows at least)
 SLACK = 16  # tokens a window that stay free in a block
 CHUNK = 1_000_000  # bytes of text that are worked on together
-KNOWN = 16_000_000  # bytes of words whose ids a Python worker remembers
+KNOWN = 8_000_000  # characters of words whose ids a Python worker remembers
+_PIECE = re.compile(r"[^\W\d_]+|\d|(?:[^\w \n\t]|_)+[^\W\d_]*")  # letters, a digit, or marks and the letters after them
 
 
-class Words(dict):
-    """Numbers of words, and flat tables of their ids; words that are new are encoded together."""
+class _Known(dict):
+    """Numbers of strings in the order in which they are first asked for."""
 
-    def __init__(self, path: str):
-        import os
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        number = self[key] = len(self)
+        self.fresh.append(key)
+        return number
+
+    def numbers(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
+
+
+class _Ids:
+    """Ids of numbered strings in one flat array."""
+
+    def __init__(self):
+        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.flat = np.concatenate([self.flat, flat])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
 
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the strings, one after another, and the size of each."""
+        sizes = self.ends[numbers + 1] - self.ends[numbers]
+        stop = np.cumsum(sizes)
+        return self.flat[np.repeat(self.ends[numbers] - (stop - sizes), sizes) + np.arange(stop[-1] if len(stop) else 0)], sizes
+
+
+class Words:
+    """Ids of texts by their words. A word that is new is cut into pieces, and the pieces that are new are encoded together.
+
+    Tokens of this kind of model span neither blanks, nor the place before or after a digit, nor that between a letter
+    and a mark, so texts may be cut there. A text that isn't in the normal form C, or may hold the name of a special
+    token, is encoded as a whole instead.
+    """
+
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.model = Tokenizer.from_file(path)
         self.forget()
 
     def forget(self) -> None:
-        self.clear()
-        self.fresh: list[str] = []
-        self.bytes, self.flat, self.sizes = 0, np.zeros(0, np.uint32), np.zeros(0, np.int64)
-
-    def __missing__(self, word: str) -> int:
-        number = self[word] = len(self)
-        self.fresh.append(word)
-        self.bytes += len(word)
-        return number
+        self.words, self.pieces, self.word_ids, self.piece_ids, self.bytes = _Known(), _Known(), _Ids(), _Ids(), 0
+
+    def _learn(self) -> None:
+        fresh, self.words.fresh = self.words.fresh, []
+        cut = [_PIECE.findall(w) for w in fresh]
+        numbers = self.pieces.numbers([p for c in cut for p in c])
+        new, self.pieces.fresh = self.pieces.fresh, []
+        if new:
+            found = self.model.encode(" ".join(new), add_special_tokens=False)
+            ends = np.cumsum([len(p) + 1 for p in new])
+            of = np.searchsorted(ends, np.fromiter((o[0] for o in found.offsets), np.int64, len(found)), side="right")
+            self.piece_ids.add(np.array(found.ids, np.uint32), np.bincount(of, minlength=len(new)))
+        flat, sizes = self.piece_ids.of(numbers)
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        ends = np.cumsum([len(c) for c in cut])
+        self.word_ids.add(flat, np.diff(total[ends], prepend=0))
+        self.bytes += sum(map(len, fresh))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts and the offsets of each. No token of this kind of model spans a blank, so words are encoded apart."""
+        """Ids of all texts and the offsets of each."""
         if self.bytes > KNOWN:
             self.forget()
-        numbers = [np.fromiter(map(self.__getitem__, t.split(" ")), np.int64) for t in texts]
-        if self.fresh:
-            ids = [np.array(e.ids, np.uint32) for e in self.model.encode_batch(self.fresh, add_special_tokens=False)]
-            self.sizes = np.concatenate([self.sizes, [len(i) for i in ids]]).astype(np.int64)
-            self.flat = np.concatenate([self.flat, *ids])
-            self.fresh = []
-        number = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
-        size, starts = self.sizes[number], (np.cumsum(self.sizes) - self.sizes)[number]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        of_text = ends[np.concatenate([[0], np.cumsum([len(n) for n in numbers])]).astype(np.int64)]
-        return self.flat[np.repeat(starts - ends[:-1], size) + np.arange(ends[-1])], of_text
+        whole = [k for k, t in enumerate(texts) if "<|" in t or not unicodedata.is_normalized("NFC", t)]
+        odd = dict(zip(whole, (e.ids for e in self.model.encode_batch([texts[k] for k in whole], add_special_tokens=False)))) if whole else {}
+        cut = [[] if k in odd else t.split(" ") for k, t in enumerate(texts)]
+        numbers = self.words.numbers([w for c in cut for w in c])
+        if self.words.fresh:
+            self._learn()
+        flat, sizes = self.word_ids.of(numbers)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64)]
+        if not odd:
+            return flat, ends
+        parts = [np.array(odd[k], np.uint32) if k in odd else flat[ends[k] : ends[k + 1]] for k in range(len(texts))]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
 def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
