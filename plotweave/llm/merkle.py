@@ -22,6 +22,7 @@ from plotweave.plans.durable import Scratch
 
 FAN = 16  # nodes that share a parent
 HEIGHT = 3  # levels of a block, which has FAN^HEIGHT nodes
+BATCH = 256  # rows with proofs that are handed to Spark together
 _STEP = "array<struct<left: string, right: string>>"
 
 
@@ -76,7 +77,9 @@ def _descend(table: pa.Table, above: pa.Table) -> pa.Table:
     rest = above.column("proof")[0].as_py()
     out = {c: table.column(c) for c in table.column_names if c not in ("block", "of")}
     out |= {c: pa.repeat(above.column(c)[0], len(nodes)) for c in above.column_names if c not in ("own_part", "place", "proof")}
-    return pa.table(out | {"proof": pa.array([path + rest for path in walk(nodes, height)[1]], pa.list_(pa.struct([("left", pa.string()), ("right", pa.string())])))})
+    paths, kind = walk(nodes, height)[1], pa.list_(pa.struct([("left", pa.string()), ("right", pa.string())]))
+    proofs = [pa.array([path + rest for path in paths[k : k + BATCH]], kind) for k in range(0, len(paths), BATCH)]  # a batch each, as proofs are long
+    return pa.table(out | {"proof": pa.chunked_array(proofs, kind)})
 
 
 def _numbered(rows: DataFrame, order: list[str], scratch: Scratch) -> DataFrame:
