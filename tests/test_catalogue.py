@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from plotweave.operators import catalogue, catalogue_files, catalogue_rules  # noqa: F401 (register their queries)
+from plotweave.operators import catalogue, catalogue_files, catalogue_rules, catalogue_shapes  # noqa: F401 (register their queries)
 from plotweave.plans.projection import with_
 from tests.conftest import DATA, same_rows
 
