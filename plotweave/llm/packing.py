@@ -72,38 +72,66 @@ class _Ids:
         return self.flat[np.repeat(self.ends[numbers] - (stop - sizes), sizes) + np.arange(stop[-1] if len(stop) else 0)], sizes
 
 
+def _bytes_as_letters() -> dict[int, str]:
+    """Characters from 128 to 255 as the vocabulary writes their UTF-8 bytes: visible ones stand for themselves, the others follow from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {b: chr(b) for b in seen} | {b: chr(256 + n) for n, b in enumerate(sorted(set(range(256)) - set(seen)))}
+    return {c: "".join(letters[b] for b in chr(c).encode()) for c in range(128, 256)}
+
+
+_LETTERS = _bytes_as_letters()
+
+
 class Words:
     """Ids of texts by their words. A word that is new is cut into pieces, and the pieces that are new are encoded together.
 
     Tokens of this kind of model span neither blanks, nor the place before or after a digit, nor that between a letter
     and a mark, so texts may be cut there. A text that isn't in the normal form C, or may hold the name of a special
-    token, is encoded as a whole instead.
+    token, is encoded as a whole instead. Pieces of Latin letters need no normalising and no cutting by the tokenizer,
+    so its merges alone are asked for them.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.model = Tokenizer.from_file(path)
+        self.model, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.merges.normalizer, self.merges.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        names = self.model.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
         self.words, self.pieces, self.word_ids, self.piece_ids, self.bytes = _Known(), _Known(), _Ids(), _Ids(), 0
 
+    def _encoded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, one after another, and the number of each."""
+        plain = np.fromiter((p.isalpha() and (p.isascii() or max(p) <= "\xff") for p in new), bool, len(new))
+        letters, odd = [p for p, k in zip(new, plain) if k], [p for p, k in zip(new, plain) if not k]
+        found = _Ids()
+        if letters:
+            ids = np.array(self.merges.encode_batch_fast([" ".join(letters).lower().translate(_LETTERS)], add_special_tokens=False)[0].ids, np.uint32)
+            found.add(ids, np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0))
+        if odd:
+            whole = self.model.encode(" ".join(odd), add_special_tokens=False)
+            starts = np.fromiter((o[0] for o in whole.offsets), np.int64, len(whole))
+            of = np.searchsorted(np.cumsum([len(p) + 1 for p in odd]), starts, side="right")
+            found.add(np.array(whole.ids, np.uint32), np.bincount(of, minlength=len(odd)))
+        place = np.empty(len(new), np.int64)
+        place[plain], place[~plain] = np.arange(len(letters)), len(letters) + np.arange(len(odd))
+        return found.of(place)
+
     def _learn(self) -> None:
         fresh, self.words.fresh = self.words.fresh, []
         cut = [_PIECE.findall(w) for w in fresh]
         numbers = self.pieces.numbers([p for c in cut for p in c])
         new, self.pieces.fresh = self.pieces.fresh, []
         if new:
-            found = self.model.encode(" ".join(new), add_special_tokens=False)
-            ends = np.cumsum([len(p) + 1 for p in new])
-            of = np.searchsorted(ends, np.fromiter((o[0] for o in found.offsets), np.int64, len(found)), side="right")
-            self.piece_ids.add(np.array(found.ids, np.uint32), np.bincount(of, minlength=len(new)))
+            self.piece_ids.add(*self._encoded(new))
         flat, sizes = self.piece_ids.of(numbers)
         total = np.concatenate([[0], np.cumsum(sizes)])
-        ends = np.cumsum([len(c) for c in cut])
-        self.word_ids.add(flat, np.diff(total[ends], prepend=0))
+        self.word_ids.add(flat, np.diff(total[np.cumsum([len(c) for c in cut])], prepend=0))
         self.bytes += sum(map(len, fresh))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -213,10 +241,13 @@ class _Packer:
             step, grain = grain or len(ids), grain or FINE[0][0]
             left -= len(ids)
             for start in range(0, len(ids), step):
-                part = ids[start : start + step]
-                loose.append((doc_id, at + start, part, total))
-                glued += len(part)
-                if glued >= grain:  # smaller rests share an item
+                piece = (doc_id, at + start, ids[start : start + step], total)
+                if len(piece[2]) >= grain:
+                    items.append([piece])
+                    continue
+                loose.append(piece)  # smaller rests share an item
+                glued += len(piece[2])
+                if glued >= grain:
                     items.append(loose)
                     loose, glued = [], 0
         if loose:
@@ -267,9 +298,15 @@ class _Packer:
         return pa.RecordBatch.from_arrays([long(0), long(1), pa.array([len(o[2]) for o in out], pa.int64()), ids, long(3), long(4), long(5)], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
 
+_words: dict[str, Words] = {}  # of a Python worker, which serves task after task
+
+
 def _packed(path: str, window: int, block: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer = Words(path), _Packer(TaskContext.get().partitionId() << 40, window, block)
+        if path not in _words:
+            _words[path] = Words(path)
+        words = _words[path]
+        packer = _Packer(TaskContext.get().partitionId() << 40, window, block)
         for batch in chunks(batches, "text", CHUNK):
             flat, offsets = words.encode([t or "" for t in batch.column("text").to_pylist()])
             for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):

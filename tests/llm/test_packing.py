@@ -43,6 +43,17 @@ def test_count_rises_with_capacity():
     assert k == 3 and sorted(window.tolist()) == [0, 1, 2]
 
 
+def test_small_rests_do_not_grow_large_items():
+    packer = packing._Packer(0, 4096, 256)
+    for k in range(400):
+        packer.add(k, np.zeros(4095 if k % 2 else 30, np.uint32))
+    packer.finish()
+    filled = {}
+    for piece in packer.out:
+        filled[piece[4]] = filled.get(piece[4], 0) + len(piece[2])
+    assert max(filled.values()) <= 4096 and sum(filled.values()) == 200 * 4125
+
+
 def corpus():
     rng = random.Random(3)
     vocabulary = ["the", "Window's", "naïve", "été", "ÀB", "x1y22", "don't", "...!?", "日本語", "<|endoftext|>", "a b", "́x", "ΑΣ", "\x1c", "İ"]
