@@ -129,3 +129,84 @@ def snapped_segments(spark, sf):
 def detected_arrows(spark, sf):
     found = snapping.arrows(_drawing_segments(spark, sf))
     return found.select("drawing", "tip", "first", "second", "tip_x", "tip_y", (F.round("dir_x", 6) + 0.0).alias("dir_x"), (F.round("dir_y", 6) + 0.0).alias("dir_y"))
+
+
+# --- matching: every shape against all others by hash, clusters of three entities against a symbol for each part ---
+
+
+def _hashed_stats(spark, sf, key):
+    from plotweave.operators import matching
+
+    pts = p.points(spark, sf)
+    count = lambda test: F.size(F.filter("pts", test)).cast("int")
+    stats = pts.select("shape", count(lambda q: q["x"] > 0).alias("n_line"), count(lambda q: q["y"] > 0).alias("n_arc"), count(lambda q: q["x"] > q["y"]).alias("n_circle"), F.when(F.col("label") % 5 == 0, F.concat(F.lit("L"), F.col("label").cast("string"))).alias("sig"))
+    return matching.phash(pts).join(stats, "shape").select(F.col("shape").alias(key), "high", "low", (F.col("n_line") + F.col("n_arc")).alias("n_primitives"), "n_line", "n_arc", "n_circle", "sig")
+
+
+def _hash_sql():
+    from plotweave.operators.catalogue import _CENTRED, _HAMMING, _HASHES
+
+    return f"""{with_('points')}, {_CENTRED}, {_HASHES}, stats AS (SELECT shape, count(*) FILTER (x > 0) AS n_line, count(*) FILTER (y > 0) AS n_arc, count(*) FILTER (x > y) AS n_circle, max(CASE WHEN label % 5 = 0 THEN 'L' || label END) AS sig FROM points GROUP BY shape),
+    h AS (SELECT hashes.shape, high, low, n_line + n_arc AS n_primitives, n_line, n_arc, n_circle, sig FROM hashes JOIN stats ON stats.shape = hashes.shape),
+    met AS (SELECT c.shape AS cand, r.shape AS ref, {_HAMMING} AS distance, (abs(c.n_primitives - r.n_primitives) + abs(c.n_line - r.n_line) + abs(c.n_arc - r.n_arc) + abs(c.n_circle - r.n_circle))::INT AS stats_distance
+        FROM h c JOIN h r ON c.shape <> r.shape AND (r.sig IS NULL OR r.sig = c.sig) AND (c.n_primitives = 0 OR r.n_primitives = 0 OR c.n_primitives::DOUBLE / r.n_primitives BETWEEN 0.5 AND 2.0))"""
+
+
+@query(f"{_hash_sql()}, ranked AS (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY distance, stats_distance, ref) AS n FROM met WHERE distance <= 12) SELECT cand, ref, distance, stats_distance FROM ranked WHERE n = 1")
+def gated_best_match(spark, sf):
+    """Of all other shapes within 12 bits the best that the gates admit."""
+    from plotweave.operators import match_pipeline
+
+    pairs = match_pipeline.gated_pairs(_hashed_stats(spark, sf, "cand"), _hashed_stats(spark, sf, "ref"), 12).where("cand <> ref")
+    return pairs.groupBy("cand").agg(F.min(F.struct("distance", "stats_distance", "ref")).alias("best")).select("cand", "best.ref", "best.distance", "best.stats_distance")
+
+
+def _members(rows, key, k, w, h):
+    """Members of three kinds that follow each other, ``rows`` being numbered by k; each is about 20 from the one before."""
+    x = (F.col("at") * 20).cast("double")
+    spot = lambda u, v: F.struct((F.lit(1.0) * u).alias("x"), (F.lit(1.0) * v).alias("y"))
+    kind = F.element_at(F.array(*map(F.lit, p.TYPES)), (k % 7 + 1).cast("int"))
+    middle = F.array(spot(x + w / 2, h / 2))
+    shapes = F.when(kind == "LINE", F.array(spot(x, F.lit(0.0)), spot(x + w, h))).when(kind == "LWPOLYLINE", F.array(spot(x, F.lit(0.0)), spot(x + w, F.lit(0.0)), spot(x + w, h), spot(x, h))).when(kind.isin("CIRCLE", "ARC"), middle)
+    return rows.select(key.alias("key"), F.col("at").cast("long").alias("seq"), kind.alias("type"), F.coalesce(shapes, F.slice(middle, 1, 0)).alias("pts"), (kind == "LWPOLYLINE").alias("closed"), F.when(kind.isin("CIRCLE", "ARC"), w / 2).alias("radius"),
+                       F.when(kind == "ARC", 0.0).alias("start_deg"), F.when(kind == "ARC", 200.0).alias("stop_deg"))
+
+
+def _cluster_members(spark, sf):
+    e = p.entities(spark, sf).withColumn("at", F.col("handle") % 3)
+    h = F.col("handle")
+    return _members(e, F.floor(h / 3), h, F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+
+
+def _symbol_members(spark, sf):
+    s = table(spark, sf, "part").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("at")).withColumn("k", F.col("p_partkey") * 3 + F.col("at"))
+    k = F.col("k")
+    return _members(s, F.col("p_partkey"), k, (1 + k % 13).cast("double"), (1 + (k * 7) % 11).cast("double"))
+
+
+@query()
+def symbol_matches(spark, sf):
+    """The whole pipeline: descriptors, the nearest five symbols, Chamfer distance. Tested by a loop over all pairs."""
+    from plotweave.operators import match_pipeline
+
+    return match_pipeline.symbol_matches(_cluster_members(spark, sf), _symbol_members(spark, sf))
+
+
+_MEMBERS_SQL = f"""{with_('entities')}, e AS (SELECT handle // 3 AS key, handle % 3 AS at_, handle AS k, x1 - x0 AS w, y1 - y0 AS h FROM entities),
+    s AS (SELECT p_partkey AS key, r.i AS at_, p_partkey * 3 + r.i AS k, (1 + (p_partkey * 3 + r.i) % 13)::DOUBLE AS w, (1 + ((p_partkey * 3 + r.i) * 7) % 11)::DOUBLE AS h FROM part, unnest(range(0, 3)) AS r(i)),
+    m AS (SELECT 'c' AS side, * FROM e UNION ALL SELECT 's', * FROM s),
+    typed AS (SELECT side, key, k % 7 AS kind, at_ * 20.0::DOUBLE AS x, w, h FROM m),
+    box AS (SELECT side, key, max(CASE WHEN kind IN (0, 3) THEN x + w WHEN kind IN (1, 2) THEN x + w / 2 + w / 2 END) - min(CASE WHEN kind IN (0, 3) THEN x WHEN kind IN (1, 2) THEN x + w / 2 - w / 2 END) AS bw,
+        max(CASE WHEN kind IN (0, 3) THEN h WHEN kind IN (1, 2) THEN h / 2 + w / 2 END) - min(CASE WHEN kind IN (0, 3) THEN 0 WHEN kind = 1 THEN h / 2 - w / 2 WHEN kind = 2 THEN h / 2 + w / 2 * sin(radians(200)) END) AS bh FROM typed GROUP BY side, key),
+    counts AS (SELECT side, key, [count(*) FILTER (kind = 0), count(*) FILTER (kind = 1), count(*) FILTER (kind = 2), count(*) FILTER (kind = 3), 0, count(*) FILTER (kind = 5)]::INT[] AS counts FROM typed GROUP BY side, key)"""
+
+
+@query(f"""{_MEMBERS_SQL} SELECT c.key, array_to_string(c.counts, ',') AS counts, round_even(bw / greatest(bw, bh) / 0.01, 0)::INT AS width, round_even(bh / greatest(bw, bh) / 0.01, 0)::INT AS height, array_to_string(list_sort(coalesce(r.radii, [])), ',') AS radii
+    FROM counts c JOIN box b ON b.side = c.side AND b.key = c.key LEFT JOIN (SELECT t.side, t.key, list(round_even(t.w / 2 / greatest(bw, bh) / 0.01, 0)::INT) AS radii FROM typed t JOIN box b ON b.side = t.side AND b.key = t.key WHERE kind IN (1, 2) GROUP BY t.side, t.key) r
+    ON r.side = c.side AND r.key = c.key WHERE c.side = 's' AND greatest(bw, bh) > 0""")
+def symbol_descriptors(spark, sf):
+    """Counts, sizes and radii of the symbols' descriptors."""
+    from plotweave.operators import match_pipeline
+
+    d = match_pipeline.descriptors(match_pipeline.grouped(_symbol_members(spark, sf)))
+    return d.select("key", F.array_join("counts", ",").alias("counts"), F.col("size")[0].alias("width"), F.col("size")[1].alias("height"), F.array_join("radii", ",").alias("radii"))
