@@ -243,3 +243,13 @@ def test_lattice_decoding():
     d = ((y - z) ** 2).sum(1)
     for r in embedding_dedup.ROOTS:  # no neighbour is nearer
         assert (d <= ((y - z - r) ** 2).sum(1) + 1e-9).all()
+
+
+def test_embeddings_with_null_and_repeated_ids(spark):
+    near = lambda k: [1.0, 0.001 * k, 0.0]
+    rows = [(1, near(0)), (1, near(1)), (2, near(2)), (None, near(3)), (5, [0.0, 1e200, 0.0]), (6, [0.0, 2e200, 0.0]), (7, [0.0, 0.0, 1e-200]), (None, [0.0, 0.0, 3e-200]), (None, [0.0, -1.0, 0.0]), (None, [0.0, -1.0, 0.0]), (None, None), (8, [])]
+    df = spark.createDataFrame([(i, e, 4) for i, e in rows], "vec_id long, embedding array<double>, label int")
+    got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in embedding_dedup.near_duplicates(df).collect())
+    want = [("1", 3, "1", True), ("1", 3, "1", True), ("2", 3, "1", False), ("None", 3, "1", False), ("5", 1, "5", True), ("6", 1, "5", False), ("7", 1, "7", True), ("None", 1, "7", False)]
+    assert got == sorted(want + [("None", 1, "None", True)] * 2 + [("None", 0, "None", True), ("8", 0, "8", True)])
+    assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
