@@ -1,14 +1,17 @@
 """Exact dedup by skew-safe combining, with DataFrame functions alone.
 
-0. Digests are counted; only rows of digests that occur more than once, where there is something to compare, go on.
-1. These are deduplicated inside each map task: the partial aggregation on (salt, digest, text).
-2. Groups of one salt are merged after a shuffle on (salt, digest); a group of copies, however large,
+0. Digests are counted, which moves no text; only rows of digests that occur more than once, where there is something
+   to compare, go on. They are told by a broadcast of those digests if these are at most BROADCAST, so that rows stay
+   where they are; beyond that all rows go on.
+1. Rows are deduplicated inside each map task: the partial aggregation on (salt, digest, text), the salt being the
+   input partition's number modulo ``salts``.
+2. Groups of one salt are merged after a shuffle on (salt, digest, text); a group of copies, however large,
    sends at most one row per map task.
 3. The winners of the salts are combined after a shuffle on the digest.
 
 The whole normalised text is a grouping key at every stage, so rows are equal only if their contents are.
-The decision comes back to the rows by an equi-join on the hex digest, which carries no text. As neither side is
-dealt by that key before, AQE may split the rows of a large group.
+The decision comes back to the rows by an equi-join on the hex digest, which carries no text: broadcast within the
+same bound, else a join in which neither side is dealt by that key before, so AQE may split the rows of a large group.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plotweave.plans.durable import Scratch
 
+BROADCAST = 500_000  # digests of 32 bytes that are broadcast at most
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -32,13 +36,25 @@ def normalised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "doc_id", "norm", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("digest"))
 
 
-def winners(rows: DataFrame, salts: int = 16) -> DataFrame:
+def repeated_digests(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """The digests that occur more than once in ``rows``, and whether they are few enough to be broadcast."""
+    found = scratch.write(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "repeated")
+    return found, found.count() <= BROADCAST
+
+
+def salted(rows: DataFrame, salts: int) -> DataFrame:
+    """salt, digest, norm, top, n: the copies of each text in the input partitions of a salt, combined in each map task first."""
+    own = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    return own.groupBy("salt", "digest", "norm").agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n"))
+
+
+def winners(rows: DataFrame, repeated: DataFrame, few: bool, salts: int = 16) -> DataFrame:
     """(digest, keep_id, group_size, n_texts) of each digest that occurs more than once in ``rows`` (doc_id, norm, digest)."""
-    repeated = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    salted = rows.join(repeated, "digest", "left_semi").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    by_salt = salted.groupBy("salt", "digest", "norm").agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n"))
-    merged = by_salt.repartition("digest").groupBy("digest", "norm").agg(F.max("top").alias("keep_id"), F.sum("n").alias("group_size"))
-    return merged.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.count(F.lit(1)).alias("n_texts"))
+    if few:
+        rows = rows.join(F.broadcast(repeated), "digest", "left_semi")  # at most BROADCAST digests
+    merged = salted(rows, salts).repartition("digest").groupBy("digest", "norm").agg(F.max("top").alias("keep_id"), F.sum("n").alias("group_size"))
+    found = merged.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.count(F.lit(1)).alias("n_texts"))
+    return found.where("group_size > 1")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
@@ -51,8 +67,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Two different texts of one SHA-256 digest stop the query rather than being merged.
     """
     rows = normalised(docs, id_col, text_col)
-    groups = winners(rows, salts).select(
+    scratch = Scratch(docs.sparkSession, "exact")
+    repeated, few = repeated_digests(rows, scratch)
+    groups = winners(rows, repeated, few, salts).select(
         F.lower(F.hex("digest")).alias("text_sha256"), "keep_id", "group_size", F.assert_true(F.col("n_texts") == 1, F.lit("two texts share a SHA-256 digest")).alias("checked"))
+    if few:
+        groups = F.broadcast(groups)  # a row for each of the repeated digests
     found = rows.select("doc_id", F.lower(F.hex("digest")).alias("text_sha256")).join(groups, "text_sha256", "left").where(F.col("checked").isNull())
     alone = F.col("group_size").isNull()
     keep_id = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))

@@ -253,3 +253,22 @@ def test_embeddings_with_null_and_repeated_ids(spark):
     want = [("1", 3, "1", True), ("1", 3, "1", True), ("2", 3, "1", False), ("None", 3, "1", False), ("5", 1, "5", True), ("6", 1, "5", False), ("7", 1, "7", True), ("None", 1, "7", False)]
     assert got == sorted(want + [("None", 1, "None", True)] * 2 + [("None", 0, "None", True), ("8", 0, "8", True)])
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [exact_dedup.BROADCAST, 0])
+def test_exact_copies_are_combined_where_they_are(spark, monkeypatch, most):
+    monkeypatch.setattr(exact_dedup, "BROADCAST", most)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(i, "hot text") for i in range(4000)] + [(i, f"own {i}") for i in range(4000, 4400)] + [(5000, "x" * 300_000), (5001, "X" * 300_000), (5002, "x" * 299_999)]
+        docs = docs_of(spark, rows).repartition(8)
+        norm = exact_dedup.normalised(docs)
+        repeated, few = exact_dedup.repeated_digests(norm, exact_dedup.Scratch(spark, "test"))
+        own = norm.join(exact_dedup.F.broadcast(repeated), "digest", "left_semi") if few else norm
+        hot = exact_dedup.salted(own, 16).where("norm = 'hot text'")
+        assert few == (most > 0) and hot.count() == 8 and hot.agg({"n": "sum"}).first()[0] == 4000
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(docs).collect()}
+        assert got[0] == (3999, 4000, False) and got[3999] == (3999, 4000, True) and got[4000] == (4000, 1, True) and len(got) == len(rows)
+        assert got[5000] == (5001, 2, False) and got[5001] == (5001, 2, True) and got[5002] == (5002, 1, True)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
