@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -32,10 +33,10 @@ MODEL = "/opt/tokenizers/word_bpe_49k.json"
 WINDOW = 4096
 END = 2  # the id that closes a document
 BLOCK = 256  # windows of a block
-FINE = ((64, 16, 4), (8, 128, 1))  # (tokens of an item, a block's share that is cut so is one in so many, windows at least)
+FINE = ((64, 32, 4), (8, 256, 1))  # (tokens of an item, a block's share that is cut so is one in so many, windows at least)
 SLACK = 16  # tokens a window that stay free in a block
-CHUNK = 1_000_000  # bytes of text that are worked on together
-KNOWN = 8_000_000  # characters of words whose ids a Python worker remembers
+CHUNK = 4_000_000  # bytes of text that are worked on together
+KNOWN = 16_000_000  # characters of words whose ids a Python worker remembers
 _PIECE = re.compile(r"[^\W\d_]+|\d|(?:[^\w \n\t]|_)+[^\W\d_]*")  # letters, a digit, or marks and the letters after them
 
 
@@ -80,6 +81,7 @@ def _bytes_as_letters() -> dict[int, str]:
 
 
 _LETTERS = _bytes_as_letters()
+_LATIN = re.compile("[\x00-\xff]*").fullmatch
 
 
 class Words:
@@ -111,7 +113,7 @@ class Words:
         letters, odd = [p for p, k in zip(new, plain) if k], [p for p, k in zip(new, plain) if not k]
         found = _Ids()
         if letters:
-            ids = np.array(self.merges.encode_batch_fast([" ".join(letters).lower().translate(_LETTERS)], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.array(self.merges.encode_batch_fast([" ".join(p.lower() if p.isascii() else p.lower().translate(_LETTERS) for p in letters)], add_special_tokens=False)[0].ids, np.uint32)
             found.add(ids, np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0))
         if odd:
             whole = self.model.encode(" ".join(odd), add_special_tokens=False)
@@ -138,14 +140,16 @@ class Words:
         """Ids of all texts and the offsets of each."""
         if self.bytes > KNOWN:
             self.forget()
-        whole = [k for k, t in enumerate(texts) if "<|" in t or not unicodedata.is_normalized("NFC", t)]
+        whole = [k for k, t in enumerate(texts) if not t.isascii() and not unicodedata.is_normalized("NFC", t) or "<|" in t]
         odd = dict(zip(whole, (e.ids for e in self.model.encode_batch([texts[k] for k in whole], add_special_tokens=False)))) if whole else {}
-        cut = [[] if k in odd else t.split(" ") for k, t in enumerate(texts)]
-        numbers = self.words.numbers([w for c in cut for w in c])
+        plain = ["" if k in odd else t.lower() if t.isascii() or _LATIN(t) else t for k, t in enumerate(texts)]  # in Latin letters, cases of a word share an entry
+        lists = pc.split_pattern(pa.array(plain, pa.string()), " ")
+        found = lists.flatten().dictionary_encode()  # so that Python sees each word of the texts once
+        numbers = self.words.numbers(found.dictionary.to_pylist())[found.indices.to_numpy()]
         if self.words.fresh:
             self._learn()
         flat, sizes = self.word_ids.of(numbers)
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64)]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)]
         if not odd:
             return flat, ends
         parts = [np.array(odd[k], np.uint32) if k in odd else flat[ends[k] : ends[k + 1]] for k in range(len(texts))]
