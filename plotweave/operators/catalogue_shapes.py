@@ -210,3 +210,108 @@ def symbol_descriptors(spark, sf):
 
     d = match_pipeline.descriptors(match_pipeline.grouped(_symbol_members(spark, sf)))
     return d.select("key", F.array_join("counts", ",").alias("counts"), F.col("size")[0].alias("width"), F.col("size")[1].alias("height"), F.array_join("radii", ",").alias("radii"))
+
+
+# --- frames: entities of a drawing with the corners of their boxes as connection points; two long lines at its edges are added ---
+
+
+def _items(spark, sf):
+    e = p.entities(spark, sf)
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    boxes = e.select(F.col("doc_id").alias("drawing"), F.col("handle") * 4, "x0", "y0", "x1", "y1")
+    ends = e.groupBy("doc_id").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.min("handle").alias("least"))
+    sides = ends.select("doc_id", F.inline(F.array(F.struct((F.col("least") * 4 + 1).alias("handle"), "x0", "y0", "x1", F.col("y0").alias("y1")), F.struct((F.col("least") * 4 + 2).alias("handle"), "x0", "y0", F.col("x0").alias("x1"), F.col("y1").alias("y1")))))
+    items = boxes.toDF("drawing", "handle", "x0", "y0", "x1", "y1").union(sides.toDF("drawing", "handle", "x0", "y0", "x1", "y1"))
+    return items.withColumn("points", F.array(corner("x0", "y0"), corner("x1", "y1"))), ends.select(F.col("doc_id").alias("drawing"), "x0", "y0", "x1", "y1")
+
+
+_FRAME_TOL = 25.0
+_EPS = 2 * _FRAME_TOL  # how far from an edge counts as at it
+_FRAMES = f"""{with_('entities')}, ends AS (SELECT doc_id AS drawing, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, min(handle) AS least FROM entities GROUP BY doc_id),
+    items AS (SELECT doc_id AS drawing, handle * 4 AS handle, x0, y0, x1, y1 FROM entities UNION ALL SELECT drawing, least * 4 + 1, x0, y0, x1, y0 FROM ends UNION ALL SELECT drawing, least * 4 + 2, x0, y0, x0, y1 FROM ends),
+    spots AS (SELECT drawing, handle, round_even(x0 / {_FRAME_TOL}, 0)::BIGINT AS u, round_even(y0 / {_FRAME_TOL}, 0)::BIGINT AS v FROM items UNION SELECT drawing, handle, round_even(x1 / {_FRAME_TOL}, 0)::BIGINT, round_even(y1 / {_FRAME_TOL}, 0)::BIGINT FROM items),
+    m AS (SELECT i.*, e.x0 AS ex0, e.y0 AS ey0, e.x1 AS ex1, e.y1 AS ey1, i.x1 - i.x0 > (e.x1 - e.x0) * 0.8 AS wide, i.y1 - i.y0 > (e.y1 - e.y0) * 0.8 AS high, abs(i.x0 - e.x0) < {_EPS} AS at_x0, abs(i.y0 - e.y0) < {_EPS} AS at_y0, abs(i.x1 - e.x1) < {_EPS} AS at_x1, abs(i.y1 - e.y1) < {_EPS} AS at_y1,
+        abs(i.x1 - e.x0) < {_EPS} AS flat_x0, abs(i.y1 - e.y0) < {_EPS} AS flat_y0, abs(i.x0 - e.x1) < {_EPS} AS flat_x1, abs(i.y0 - e.y1) < {_EPS} AS flat_y1 FROM items i JOIN ends e ON e.drawing = i.drawing),
+    flood AS (SELECT drawing, handle FROM m WHERE (at_y0 OR at_y1) AND wide OR (at_x0 OR at_x1) AND high OR at_x0 AND at_y0 AND at_x1 AND at_y1
+        UNION SELECT b.drawing, b.handle FROM flood f JOIN spots a ON a.drawing = f.drawing AND a.handle = f.handle JOIN spots b ON b.drawing = a.drawing AND b.u = a.u AND b.v = a.v),
+    marked AS (SELECT m.*, f.handle IS NOT NULL AS in_frame, f.handle IS NOT NULL AND (wide AND (at_y0 AND flat_y0 OR at_y1 AND flat_y1) OR high AND (at_x0 AND flat_x0 OR at_x1 AND flat_x1) OR at_x0 AND at_y0 AND at_x1 AND at_y1) AS on_border FROM m LEFT JOIN flood f ON f.drawing = m.drawing AND f.handle = m.handle),
+    zoned AS (SELECT *, (NOT bool_or(in_frame) OVER (PARTITION BY drawing) OR in_frame AND NOT on_border) AND (x0 + x1) * 0.5 >= ex1 - (ex1 - ex0) * 0.3 - {_EPS} AND (y0 + y1) * 0.5 <= ey0 + (ey1 - ey0) * 0.3 + {_EPS} AS in_title FROM marked WHERE ex1 > ex0 AND ey1 > ey0)"""
+
+
+@query(f"{_FRAMES} SELECT drawing, handle, in_frame, on_border, in_title FROM zoned")
+def drawing_frames(spark, sf):
+    from plotweave.operators import frames
+
+    return frames.frames(*_items(spark, sf), _FRAME_TOL)
+
+
+@query(f"""{_FRAMES}, t AS (SELECT drawing, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, max(ex1 - ex0) AS w, max(ey1 - ey0) AS h FROM zoned WHERE in_title GROUP BY drawing)
+    SELECT drawing, x0, y0, x1, y1 FROM t WHERE x1 - x0 <= w * 0.8 AND y1 - y0 <= h * 0.8""")
+def title_blocks(spark, sf):
+    from plotweave.operators import frames
+
+    return frames.title_blocks(*_items(spark, sf), _FRAME_TOL)
+
+
+# --- documents: orders are objects that refer to a half, a triple and a neighbour of their number, some of which don't exist ---
+
+
+def _document(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
+    doc = F.floor(F.col("k") / 1024)
+    inside = lambda c: doc * 1024 + F.pmod(c, F.lit(1024))
+    ends = F.array(inside(F.floor(F.col("k") % 1024 / 2)), F.when(F.col("k") % 5 == 0, inside(F.col("k") * 3 + 1)), F.when(F.col("k") % 7 == 0, inside(F.col("k") + 1)), F.when(F.col("k") % 11 == 0, F.lit(0).cast("long")))
+    objects = o.where("k % 13 <> 0").select(doc.alias("doc"), F.col("k").alias("handle"))
+    refs = o.where("k % 13 <> 0").select(doc.alias("doc"), F.col("k").alias("src"), F.explode(ends).alias("dst"))
+    roots = o.groupBy(doc.alias("doc")).agg(F.max("k").alias("handle"))
+    return roots, objects, refs
+
+
+_CLOSURE = """WITH RECURSIVE o AS (SELECT o_orderkey AS k, o_orderkey // 1024 AS doc FROM orders), objects AS (SELECT doc, k AS handle FROM o WHERE k % 13 <> 0),
+    refs AS (SELECT doc, k AS src, unnest([doc * 1024 + (k % 1024 // 2) % 1024, CASE WHEN k % 5 = 0 THEN doc * 1024 + (k * 3 + 1) % 1024 END, CASE WHEN k % 7 = 0 THEN doc * 1024 + (k + 1) % 1024 END, CASE WHEN k % 11 = 0 THEN 0 END]) AS dst FROM o WHERE k % 13 <> 0),
+    roots AS (SELECT doc, max(k) AS handle FROM o GROUP BY doc),
+    walk AS (SELECT doc, handle, 0 AS depth FROM roots SEMI JOIN objects USING (doc, handle) UNION SELECT r.doc, r.dst, w.depth + 1 FROM walk w JOIN refs r ON r.doc = w.doc AND r.src = w.handle JOIN objects x ON x.doc = r.doc AND x.handle = r.dst WHERE r.dst <> 0 AND w.depth < 40),
+    seen AS (SELECT doc, handle, min(depth) AS depth FROM walk GROUP BY doc, handle)"""
+
+
+@query(f"{_CLOSURE} SELECT doc, handle, depth FROM seen")
+def document_closure(spark, sf):
+    from plotweave.operators import closure
+
+    return closure.reachable(*_document(spark, sf))[0]
+
+
+@query(f"""{_CLOSURE} SELECT doc, handle, count(*) AS n FROM (SELECT r.doc, r.dst AS handle FROM seen s JOIN refs r ON r.doc = s.doc AND r.src = s.handle WHERE r.dst <> 0 UNION ALL SELECT doc, handle FROM roots) a ANTI JOIN objects USING (doc, handle) GROUP BY doc, handle""")
+def unresolved_handles(spark, sf):
+    from plotweave.operators import closure
+
+    return closure.reachable(*_document(spark, sf))[1]
+
+
+def _dictionaries(spark, sf):
+    o = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), "p_brand")
+    doc = F.floor(F.col("k") / 64)
+    entries = o.where("k % 64 <> 0").select(doc.alias("doc"), (doc * 64 + F.floor(F.col("k") % 64 / 3)).alias("handle"), F.concat_ws("_", "p_brand", F.col("k").cast("string")).alias("name"), F.col("k").alias("target"))
+    back = o.where("k % 64 = 21").select(doc.alias("doc"), F.col("k").alias("handle"), F.lit("ROOT").alias("name"), (doc * 64).alias("target"))
+    return o.select(doc.alias("doc"), (doc * 64).alias("handle")).distinct(), entries.union(back)
+
+
+@query("""WITH RECURSIVE e AS (SELECT p_partkey // 64 AS doc, (p_partkey // 64) * 64 + (p_partkey % 64) // 3 AS handle, p_brand || '_' || p_partkey AS name, p_partkey AS target FROM part WHERE p_partkey % 64 <> 0
+        UNION ALL SELECT p_partkey // 64, p_partkey, 'ROOT', (p_partkey // 64) * 64 FROM part WHERE p_partkey % 64 = 21),
+    w AS (SELECT DISTINCT p_partkey // 64 AS doc, '' AS path, (p_partkey // 64) * 64 AS handle, [(p_partkey // 64) * 64] AS way, false AS again FROM part
+        UNION ALL SELECT w.doc, CASE WHEN w.path = '' THEN e.name ELSE w.path || '/' || e.name END, e.target, list_append(w.way, e.target), list_contains(w.way, e.target) FROM w JOIN e ON e.doc = w.doc AND e.handle = w.handle WHERE NOT w.again)
+    SELECT doc, path, handle FROM w WHERE path <> ''""")
+def dictionary_paths(spark, sf):
+    from plotweave.operators import closure
+
+    return closure.dictionary_paths(*_dictionaries(spark, sf))
+
+
+@query()
+def geometry_ids(spark, sf):
+    """The canonical form and SHA-1 id of each symbol. Tested against json.dumps and hashlib."""
+    from plotweave.operators import geometry_ids as ids
+
+    m = _symbol_members(spark, sf)
+    bulged = F.transform("pts", lambda q: F.struct(q["x"], q["y"], (F.col("seq") % 2 * 0.5).alias("bulge")))
+    return ids.geometry_ids(m.withColumn("pts", bulged))
