@@ -315,3 +315,55 @@ def geometry_ids(spark, sf):
     m = _symbol_members(spark, sf)
     bulged = F.transform("pts", lambda q: F.struct(q["x"], q["y"], (F.col("seq") % 2 * 0.5).alias("bulge")))
     return ids.geometry_ids(m.withColumn("pts", bulged))
+
+
+# --- curves as points: polylines with bulges that alternate, arcs of entities ---
+
+
+def _bulged(spark, sf):
+    from plotweave.operators import curve_paths
+
+    return curve_paths.gathered_vertices(p.vertices(spark, sf).withColumn("bulge", ((F.col("seq") % 3 - 1) * 0.5).cast("double")))
+
+
+_BULGED_SEGMENTS = f"""{with_('vertices')}, seg AS (SELECT owner, seq, x, y, (seq % 3 - 1) * 0.5::DOUBLE AS bulge, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM vertices WINDOW w AS (PARTITION BY owner ORDER BY seq))"""
+
+
+@query(f"""{_BULGED_SEGMENTS}, any_ AS (SELECT owner, bool_or(bulge <> 0) AS bulged FROM seg GROUP BY owner),
+    pts AS (SELECT owner, x, y FROM seg UNION ALL
+        SELECT owner, cx + (x - cx) * cos(a) - (y - cy) * sin(a), cy + (x - cx) * sin(a) + (y - cy) * cos(a) FROM (
+            SELECT s.owner, s.x, s.y, (x + nx) / 2 - (ny - y) * (1 - bulge * bulge) / (4 * bulge) AS cx, (y + ny) / 2 + (nx - x) * (1 - bulge * bulge) / (4 * bulge) AS cy, 4 * atan(bulge) * k / 254.0::DOUBLE AS a
+            FROM seg s, unnest(range(1, 254)) AS r(k) WHERE nx IS NOT NULL AND bulge <> 0 AND (nx <> x OR ny <> y)))
+    SELECT owner, round(min(x), 4) AS x0, round(min(y), 4) AS y0, round(max(x), 4) AS x1, round(max(y), 4) AS y1 FROM pts GROUP BY owner""")
+def bulged_polyline_boxes(spark, sf):
+    from plotweave.operators import curve_paths
+
+    box = curve_paths.polyline_box(F.col("vertices"), F.lit(False))
+    return _bulged(spark, sf).select("owner", *(F.round(c, 4).alias(n) for n, c in box.items()))
+
+
+@query(f"""{with_('vertices')}, seg AS (SELECT owner, seq, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM vertices WINDOW w AS (PARTITION BY owner ORDER BY seq)),
+    l AS (SELECT *, sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y)) AS d FROM seg WHERE nx IS NOT NULL),
+    cut AS (SELECT owner, seq, x, y, (nx - x) / d AS ux, (ny - y) / d AS uy, c.k * 40.0::DOUBLE + t.at_ AS a, least(d, c.k * 40.0::DOUBLE + t.at_ + t.long) AS b FROM l, unnest(range(0, greatest(1, ceil(d / 40.0))::BIGINT)) AS c(k), (VALUES (0.0::DOUBLE, 20.0::DOUBLE), (30.0, 0.5)) AS t(at_, long) WHERE d > 0 AND c.k * 40.0::DOUBLE + t.at_ < d)
+    SELECT owner, count(*) AS n, round(sum(b - a), 3) AS drawn, round(sum(x + ux * a), 2) AS sum_x0, round(sum(y + uy * b), 2) AS sum_y1 FROM cut GROUP BY owner""")
+def dashes_along(spark, sf):
+    """Dashes of 20, gaps of 10 and dots of 0.5 along each polyline."""
+    from plotweave.operators import curve_paths
+
+    v = _bulged(spark, sf).withColumn("pts", F.transform("vertices", lambda q: F.struct(q["x"], q["y"])))
+    pattern = F.array(*map(F.lit, (20.0, -10.0, 0.0, -10.0)))
+    d = v.select("owner", F.inline(curve_paths.dashes(F.col("pts"), F.lit(False), pattern, 0.5)))
+    return d.groupBy("owner").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))), 3).alias("drawn"), F.round(F.sum("x0"), 2).alias("sum_x0"), F.round(F.sum("y1"), 2).alias("sum_y1"))
+
+
+@query(f"""{with_('entities')}, a AS (SELECT handle, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, (x1 - x0) / 2 AS r, handle * 7 % 360 AS s, (1 + handle * 11 % 359)::DOUBLE AS turn FROM entities WHERE type = 'ARC')
+    SELECT handle, round(min(cx + r * cos(radians(s + turn * k / 255.0::DOUBLE))), 4) AS x0, round(min(cy + r * sin(radians(s + turn * k / 255.0::DOUBLE))), 4) AS y0, round(max(cx + r * cos(radians(s + turn * k / 255.0::DOUBLE))), 4) AS x1, round(max(cy + r * sin(radians(s + turn * k / 255.0::DOUBLE))), 4) AS y1
+    FROM a, unnest(range(0, 256)) AS q(k) GROUP BY handle""")
+def arc_polygon_boxes(spark, sf):
+    from plotweave.operators import curve_paths
+
+    e = p.entities(spark, sf).where("type = 'ARC'")
+    h = F.col("handle")
+    start, turn = (h * 7 % 360).cast("double"), (1 + h * 11 % 359).cast("double")
+    points = curve_paths.arc_polygon((F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2, (F.col("x1") - F.col("x0")) / 2, start, start + turn, curve_paths.ARC_PRECISION)
+    return e.select("handle", points.alias("pts")).select("handle", *(F.round(c, 4).alias(n) for n, c in curve_paths.box_of(F.col("pts")).items()))
