@@ -526,9 +526,10 @@ def _cut_digests(docs: pa.Table, spans: pa.Table) -> pa.Table:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes that stay) of every row of ``docs``.
 
-    Null texts are empty; texts under LENGTH bytes lose nothing. Rows of one id are one document: spans found
-    in any of them are cut from each, as far as it reaches. A null id is larger than all others. Other columns are
-    not read. An empty table gives an empty result.
+    Null texts are empty; texts under LENGTH bytes lose nothing. A null id is larger than all others. Rows of one id,
+    or without an id, are documents of their own, ordered by the digests of their texts, and of whole repeated rows
+    the first is the smallest, so a text stays in one row at least. Other columns are not read. An empty table gives
+    an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
@@ -537,6 +538,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(own.alias("doc_id"), F.coalesce(own, F.lit(_NO_ID)).alias("doc"), text.alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, total // BUCKET_BYTES)
+    if not rows.groupBy("doc").count().where("count > 1").isEmpty():
+        order = [F.asc_nulls_last("doc_id"), F.sha2(F.col("text").cast("binary"), 256)]
+        numbered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("doc", F.monotonically_increasing_id())  # rises with the order
+        rows = scratch.write(numbered, "numbered")
     sampled = rows.drop("doc_id").mapInArrow(_sampler(buckets), "bucket int, entries binary, done binary")
     filed = scratch.write(sampled.groupBy("bucket").applyInArrow(_filer(buckets), "doc_bucket long, done binary, asked binary, open binary"), "filed")
     placed = rows.withColumn("doc_bucket", _doc_bucket_column(F.col("doc"), buckets))

@@ -272,3 +272,16 @@ def test_exact_copies_are_combined_where_they_are(spark, monkeypatch, most):
         assert got[5000] == (5001, 2, False) and got[5001] == (5001, 2, True) and got[5002] == (5002, 1, True)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_suffix_with_null_and_repeated_ids(spark):
+    rng = random.Random(9)
+    a, b, c, shared = (" ".join(words(rng, 20)) for _ in range(4))
+    rows = [(1, a), (2, a), (2, b), (None, b + " " + shared), (None, c + " " + shared), (5, c), (5, c), (7, shared), (8, None), (8, None)]
+    rng.shuffle(rows)
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).hexdigest()))
+    want = brute_cut([(k, t) for k, (_, t) in enumerate(order)])
+    got = suffix_dedup.remove_repeats(docs_of(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), *tuple(r)[1:5]) for r in got) == sorted((str(i), *want[k]) for k, (i, _) in enumerate(order))
+    kept = {(r["doc_id"], r["n_bytes"]): r["n_removed"] for r in got}
+    assert kept[2, len(a)] == len(a) and kept[2, len(b)] == 0
