@@ -367,3 +367,51 @@ def arc_polygon_boxes(spark, sf):
     start, turn = (h * 7 % 360).cast("double"), (1 + h * 11 % 359).cast("double")
     points = curve_paths.arc_polygon((F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2, (F.col("x1") - F.col("x0")) / 2, start, start + turn, curve_paths.ARC_PRECISION)
     return e.select("handle", points.alias("pts")).select("handle", *(F.round(c, 4).alias(n) for n, c in curve_paths.box_of(F.col("pts")).items()))
+
+
+# --- features of clusters: three boxes, their circles and the lines of a cluster, by the rules for fans and diagonals ---
+
+
+def _feature_members(spark, sf):
+    """The sides of three boxes as lines, a closed outline for every second entity, and circles about corners."""
+    e = p.entities(spark, sf)
+    h = F.col("handle")
+    spot = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x, y, w, t = h % 3 * 12, h % 5 * 3, 8 + h % 13, 8 + h % 11
+    rows = F.array(
+        F.struct((h * 4).alias("seq"), F.lit("LINE").alias("type"), F.array(spot(x, y), spot(x + w, y + t)).alias("pts"), F.lit(False).alias("closed"), F.lit(None).cast("double").alias("radius")),
+        F.struct((h * 4 + 1).alias("seq"), F.lit("LINE").alias("type"), F.array(spot(x + w, y), spot(x, y + t)).alias("pts"), F.lit(False).alias("closed"), F.lit(None).cast("double").alias("radius")),
+        F.when(h % 2 == 0, F.struct((h * 4 + 2).alias("seq"), F.lit("LWPOLYLINE").alias("type"), F.array(spot(x - 2, y - 2), spot(x + w + 4, y - 2), spot(x + w + 4, y + t + 4), spot(x - 2, y + t + 4)).alias("pts"), F.lit(True).alias("closed"), F.lit(None).cast("double").alias("radius"))),
+        F.when(h % 4 == 1, F.struct((h * 4 + 2).alias("seq"), F.lit("LINE").alias("type"), F.array(spot(x, y + t / 2), spot(x + w, y + t / 2)).alias("pts"), F.lit(False).alias("closed"), F.lit(None).cast("double").alias("radius"))),
+        F.when(h % 4 == 1, F.struct((h * 4 + 3).alias("seq"), F.lit("CIRCLE").alias("type"), F.array(spot(x + w / 2, y + t / 2)).alias("pts"), F.lit(False).alias("closed"), (4 + h % 6).cast("double").alias("radius"))))
+    return e.select(F.floor(h / 3).alias("key"), F.inline(F.filter(rows, lambda r: r.isNotNull())))
+
+
+_FEATURES_SQL = f"""{with_('entities')}, b AS (SELECT handle AS h, handle // 3 AS key, (handle % 3 * 12)::DOUBLE AS x, (handle % 5 * 3)::DOUBLE AS y, (8 + handle % 13)::DOUBLE AS w, (8 + handle % 11)::DOUBLE AS t FROM entities),
+    l AS (SELECT key, x AS ax, y AS ay, x + w AS bx, y + t AS by_ FROM b UNION ALL SELECT key, x + w, y, x, y + t FROM b UNION ALL SELECT key, x, y + t / 2, x + w, y + t / 2 FROM b WHERE h % 4 = 1),
+    c AS (SELECT key, h * 4 + 3 AS circle, x + w / 2 AS cx, y + t / 2 AS cy, (4 + h % 6)::DOUBLE AS r FROM b WHERE h % 4 = 1),
+    fit AS (SELECT *, greatest(0, least(1, ((cx - ax) * (bx - ax) + (cy - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) AS u FROM c JOIN l USING (key)),
+    fans AS (SELECT key, circle, cx, cy, r FROM fit WHERE sqrt((ax - cx) ** 2 + (ay - cy) ** 2) <= 1.8 * r AND sqrt((bx - cx) ** 2 + (by_ - cy) ** 2) <= 1.8 * r
+        AND sqrt((ax + u * (bx - ax) - cx) ** 2 + (ay + u * (by_ - ay) - cy) ** 2) < greatest(0.4 * r, 3) GROUP BY ALL HAVING count(*) >= 3),
+    rects AS (SELECT key, x - 2 AS x0, y - 2 AS y0, x + w + 4 AS x1, y + t + 4 AS y1, row_number() OVER (PARTITION BY key ORDER BY -((w + 6) * (t + 6)), h) AS n FROM b WHERE h % 2 = 0)"""
+
+
+@query(f"{_FEATURES_SQL} SELECT key, circle, cx, cy, r FROM fans")
+def fan_circles(spark, sf):
+    from plotweave.operators import cluster_features
+
+    return cluster_features.fan_circles(_feature_members(spark, sf))
+
+
+@query(f"""{_FEATURES_SQL}, m AS (SELECT * FROM rects WHERE n = 1)
+    SELECT k.key, count(m.key) > 0 AS has_rect, max(round(greatest(m.x1 - m.x0, m.y1 - m.y0) / least(m.x1 - m.x0, m.y1 - m.y0), 6)) AS ratio, (SELECT count(*) FROM rects r WHERE r.key = k.key) AS n_rects,
+    max(CASE WHEN f.cx - f.r >= m.x0 - tol AND f.cy - f.r >= m.y0 - tol AND f.cx + f.r <= m.x1 + tol AND f.cy + f.r <= m.y1 + tol THEN 1 ELSE 0 END) = 1 AS fan_in_rect, coalesce(max(d.diagonal), 0) = 1 AS diagonal
+    FROM (SELECT DISTINCT key FROM b) k LEFT JOIN (SELECT *, least(greatest(least(x1 - x0, y1 - y0) * 0.05, 1), 10) AS tol FROM m) m ON m.key = k.key LEFT JOIN fans f ON f.key = k.key
+    LEFT JOIN (SELECT l.key, max(CASE WHEN ax BETWEEN x0 AND x1 AND bx BETWEEN x0 AND x1 AND ay BETWEEN y0 AND y1 AND by_ BETWEEN y0 AND y1 AND abs(bx - ax) >= 1 AND abs(by_ - ay) >= 1
+        AND sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) >= greatest(least(x1 - x0, y1 - y0) * 0.3, 5) THEN 1 ELSE 0 END) AS diagonal FROM l JOIN m ON m.key = l.key GROUP BY l.key) d ON d.key = k.key
+    GROUP BY k.key""")
+def cluster_features(spark, sf):
+    from plotweave.operators import cluster_features as features
+
+    found = features.cluster_features(_feature_members(spark, sf))
+    return found.select("key", F.col("has_rect"), F.round("ratio", 6).alias("ratio"), "n_rects", "fan_in_rect", "diagonal")
