@@ -41,6 +41,7 @@ SLACK = 0.16  # by which agreement of slots may fall short of the threshold: fou
 BLOCK = 1024  # nodes of a bucket that are compared with as many at once
 CELL = 20_000  # rows of blocks that are handed to a Python worker together
 ELEMENTS = 1_000_000  # shingles, about, that a side of a block holds, and that a Python worker gets together
+BROADCAST = 200_000  # nodes whose rows are looked up by a broadcast, of about 100 bytes each; more are looked up by a shuffle of all texts
 KNOWN = 200_000  # words whose hashes a Python worker remembers
 CHUNK = 1_000_000
 
@@ -160,9 +161,12 @@ def _admitted(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame
 
 def _sets(asked: DataFrame, docs: DataFrame, heads: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, shingles) of the nodes ``asked``; heads name the row (head_id, head_key) of ``docs`` whose text stands for a node."""
-    asked = heads.join(asked, "node").select("node", "head_id", "head_key")
+    asked = scratch.write(heads.join(asked, "node").select("node", "head_id", "head_key"), f"{name}-asked")
+    if asked.count() <= BROADCAST:
+        asked = F.broadcast(asked)  # so that texts stay where they are
     theirs = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("key") == F.col("head_key"))).select("node", "text")
     sets = scratch.write(theirs.mapInArrow(_shingled, "node long, shingles array<long>"), f"{name}-sets")
+    scratch.drop(f"{name}-asked")
     if not sets.groupBy("node").count().where("count > 1").isEmpty():  # whole repeated rows
         sets = sets.dropDuplicates(["node"])
     return sets
