@@ -39,8 +39,8 @@ THRESHOLD = 0.8
 SLOTS, BANDS, ROWS = 96, 48, 6  # at similarity 0.8 a pair shares no band with probability 6e-5 (simulated), at 0.4 with 0.83
 SLACK = 0.16  # by which agreement of slots may fall short of the threshold: four standard deviations
 BLOCK = 1024  # nodes of a bucket that are compared with as many at once
-CELL = 20_000  # rows of blocks that are handed to a Python worker together
-ELEMENTS = 1_000_000  # shingles, about, that a side of a block holds, and that a Python worker gets together
+CELL = 8_000  # rows of blocks that are handed to a Python worker together
+ELEMENTS = 400_000  # shingles, about, that a side of a block holds, and that a Python worker gets together
 BROADCAST = 200_000  # nodes whose rows are looked up by a broadcast, of about 100 bytes each; more are looked up by a shuffle of all texts
 KNOWN = 200_000  # words whose hashes a Python worker remembers
 CHUNK = 1_000_000
