@@ -13,7 +13,6 @@ are built together, about a third of a place a word, so no period is looped over
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -154,27 +153,18 @@ def find_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return rows.mapInArrow(_found, f"doc_id long, n_words long, runs {_RUNS}, collapsed string")
 
 
-def _planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches, "text", CHUNK):
-        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-        marks = [None if i is None else zlib.crc32(str(i).encode()) for i in ids]
-        if any(h is not None and h % 10 == 0 for h in marks):
-            texts = texts.to_pylist()
-            for k, h in enumerate(marks):
-                words = texts[k].split() if h is not None and h % 10 == 0 and texts[k] else []
-                if words:
-                    n, g = len(words), h // 10
-                    a = g % n
-                    p = 1 + (n - a) // (3 + g % 8)
-                    texts[k] = b" ".join(words[:a] + (words[a : a + p] * (-(-(n - a) // p)))[: n - a])
-            texts = pa.array(texts, pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), texts], ["doc_id", "text"])
-
-
 def with_planted_runs(docs: DataFrame) -> DataFrame:
-    """doc_id, text, where every tenth document, by the CRC of its id, is periodic from one of its words on; a null id has none."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(_planted, "doc_id long, text binary")
+    """doc_id, text, where every tenth document, by the CRC of its id, is periodic from one of its words on; a null id has none.
+
+    Done by DataFrame functions, so that the search for runs is the only step for which texts go to Python.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    rows = rows.withColumn("words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    rows = rows.withColumn("n", F.expr("nullif(size(words), 0)")).withColumn("g", F.expr("h div 10"))
+    rows = rows.withColumn("a", F.expr("int(g % n)")).withColumn("p", F.expr("int(1 + (n - a) div (3 + g % 8))"))
+    periodic = "slice(flatten(array_repeat(slice(words, a + 1, p), int(ceil((n - a) / p)))), 1, n - a)"
+    return rows.select("doc_id", F.expr(f"CASE WHEN size(words) > 0 THEN concat_ws(' ', slice(words, 1, a), {periodic}) ELSE text END").alias("text"))
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -107,3 +107,21 @@ def test_query_digests(spark):
         assert r["collapsed_sha256"] == hashlib.sha256(collapsed(words, runs).encode()).hexdigest()
     assert planted > 5
     assert periodic_runs.find_runs(docs.limit(0)).count() == 0
+
+
+def test_planting_needs_no_python(spark):
+    odd = ["", " \t\n", " \x0b lead é ü\u00a0x \u2003y  tail ", "one", "a\rb\x0cc d\x1ce \x85f g\x00h", "w " * 400, None]
+    rows = [(i, odd[i % len(odd)]) for i in range(-300, 300)] + [(None, "a b c")]
+    planted = periodic_runs.with_planted_runs(spark.createDataFrame(rows, "doc_id long, text string"))
+    changed = 0
+    for r, (i, t) in zip(planted.collect(), rows):
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        h, n, text = zlib.crc32(str(i).encode()), len(words), r["text"]
+        if i is not None and h % 10 == 0 and n:
+            a = h // 10 % n
+            p = 1 + (n - a) // (3 + h // 10 % 8)
+            t, changed = " ".join(words[a + (k - a) % p] if k >= a else w for k, w in enumerate(words)), changed + 1
+        assert (r["doc_id"], text if isinstance(text, str | None) else bytes(text).decode()) == (i, t)
+    assert changed > 20
+    plan = periodic_runs.digests(periodic_runs.find_runs(planted))._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"MapInArrow", plan)) == 1  # each such step holds batches of texts in the executor and a worker of its own
