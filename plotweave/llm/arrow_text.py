@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,18 +24,26 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Memory that this worker has freed goes back to the system, as an idle worker's share counts for its executor."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)(0)  # glibc has it
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, size: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in pieces of about ``size`` bytes of text; no row is split or left out."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        ends = np.cumsum(lengths.astype(np.int64))
-        start, before = 0, 0
-        while start < batch.num_rows:
-            stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
-            yield batch.slice(start, stop - start)
-            start, before = stop, int(ends[stop - 1])
+        if batch.num_rows:
+            lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(lengths.astype(np.int64))
+            start, before = 0, 0
+            while start < batch.num_rows:
+                stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
+                yield batch.slice(start, stop - start)
+                start, before = stop, int(ends[stop - 1])
+        del batch  # before the next one is read
+    give_back()
 
 
 def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

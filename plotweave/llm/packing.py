@@ -40,7 +40,7 @@ KNOWN = 16_000_000  # characters of words whose ids a Python worker remembers
 _PIECE = re.compile(r"[^\W\d_]+|\d|(?:[^\w \n\t]|_)+[^\W\d_]*")  # letters, a digit, or marks and the letters after them
 
 
-class _Known(dict):
+class Known(dict):
     """Numbers of strings in the order in which they are first asked for."""
 
     def __init__(self):
@@ -56,7 +56,7 @@ class _Known(dict):
         return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
 
 
-class _Ids:
+class Ids:
     """Ids of numbered strings in one flat array."""
 
     def __init__(self):
@@ -105,13 +105,13 @@ class Words:
         self.forget()
 
     def forget(self) -> None:
-        self.words, self.pieces, self.word_ids, self.piece_ids, self.bytes = _Known(), _Known(), _Ids(), _Ids(), 0
+        self.words, self.pieces, self.word_ids, self.piece_ids, self.bytes = Known(), Known(), Ids(), Ids(), 0
 
     def _encoded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces, one after another, and the number of each."""
         plain = np.fromiter((p.isalpha() and (p.isascii() or max(p) <= "\xff") for p in new), bool, len(new))
         letters, odd = [p for p, k in zip(new, plain) if k], [p for p, k in zip(new, plain) if not k]
-        found = _Ids()
+        found = Ids()
         if letters:
             ids = np.array(self.merges.encode_batch_fast([" ".join(p.lower() if p.isascii() else p.lower().translate(_LETTERS) for p in letters)], add_special_tokens=False)[0].ids, np.uint32)
             found.add(ids, np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0))

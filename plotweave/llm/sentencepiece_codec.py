@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding by a batched Viterbi in numpy.
 
-Words (runs of the blank mark and what follows) of equal length advance together, one character a step. At each end
-the hashes of all substrings that end there probe the sorted keys of the pieces, and the best of the candidates is
+Words (runs of the blank mark and what follows) are cut between characters that stand side by side in no piece, where
+no token can span, so that parts recur more often than words do. Each part is segmented once and remembered. New parts
+of like lengths advance together, one character a step. At each end the hashes of all substrings that end there probe the sorted keys of the pieces, and the best of the candidates is
 stored as a backpointer.
 
 What is best follows from the kind of model. In a unigram model it is the largest sum of scores. In a BPE model it
@@ -14,13 +15,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plotweave.llm.arrow_text import chunks, utf8
+from plotweave.llm.arrow_text import chunks, give_back, utf8
+from plotweave.llm.packing import Ids, Known
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -30,7 +33,9 @@ _PENALTY = 10.0  # of an unknown character, below the least score of a unigram m
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(43)
 _CODES = 0x110000
-MAX_WORDS = 600_000  # words, and pairs of pieces, that a Python worker remembers
+MAX_WORDS = 120_000  # words, and parts of words, that a Python worker remembers
+CELLS = 600_000  # parts x characters x lengths of pieces that are worked on together
+_PAIRS = 20  # log2 of the pairs of pieces that it remembers
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -95,25 +100,39 @@ class Codec:
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_size = np.array([len(r) for r in raw], np.int64)
         self.raw_start = np.cumsum(self.raw_size) - self.raw_size
-        self.pairs: dict[int, bool] = {}
+        self.pairs = np.full(1 << _PAIRS, -1, np.int64)
+        self._join(pieces, own)
         self.forget()
         if self.kind == BPE:
             self.whole = np.zeros(self.size, bool)
             for n in np.unique(length):
                 of = np.array(own)[length == n]
-                self.whole[of] = self._merged(self.chars[of, :n])[:, 0] == n
+                self.whole[of] = self._merged(self.chars[of, :n], np.full(len(of), n))[:, 0] == n
+
+    def _join(self, pieces: Pieces, own: list[int]) -> None:
+        """Classes of characters, and the pairs of classes between which a word isn't cut."""
+        names = [pieces.names[i] for i in own]
+        beside = {ab for name in names for ab in zip(name, name[1:])}
+        chars = sorted({c for ab in beside for c in ab})
+        single = {name for name in names if len(name) == 1}
+        self.kinds = np.ones(_CODES, np.uint16)  # 1: unknown, 0: only a piece of its own
+        self.kinds[[ord(c) for c in single]] = 0
+        self.kinds[[ord(c) for c in chars]] = np.arange(2, len(chars) + 2)
+        self.joined = np.zeros((len(chars) + 2, len(chars) + 2), bool)
+        for a, b in beside:
+            self.joined[self.kinds[ord(a)], self.kinds[ord(b)]] = True
+        if not self.fallback:  # neighbouring unknown characters are one token
+            odd = [1, *(k for k, c in enumerate(chars, 2) if c not in single)]
+            self.joined[np.ix_(odd, odd)] = True
 
     def forget(self) -> None:
-        """Drop the words that are remembered."""
-        self.words: dict[str, int] = {}
-        self.flat = np.zeros(0, np.int32)
-        self.start = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
+        """Drop the words and parts that are remembered."""
+        self.words, self.word_ids, self.parts, self.part_ids = Known(), Ids(), Known(), Ids()
 
     def _found(self, chars: np.ndarray) -> np.ndarray:
         """(words, ends, lengths - 1): the piece that each substring is, or -1. chars: (words, characters)."""
         n, width = chars.shape
-        out = np.full((n, width, min(self.longest, width)), -1, np.int64)
+        out = np.full((n, width, min(self.longest, width)), -1, np.int32)
         prefix = np.zeros((n, width + 1), np.uint64)
         with np.errstate(over="ignore"):
             for k in range(width):
@@ -131,13 +150,13 @@ class Codec:
                 out[row[same], end[same] + size - 1, size - 1] = piece[same]
         return out
 
-    def _merged(self, chars: np.ndarray) -> np.ndarray:
-        """(words, characters): the end of the symbol that starts at each place once all merges are done, or 0."""
+    def _merged(self, chars: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """(words, characters): the end of the symbol that starts at each place once all merges are done, or 0. Beyond its length a word has none."""
         n, width = chars.shape
         found = self._found(chars)
-        ends = np.tile(np.arange(1, width + 1), (n, 1))
-        live = np.arange(n) if width > 1 else np.zeros(0, np.int64)
         place = np.arange(width)
+        ends = np.where(place < length[:, None], place + 1, 0)
+        live = np.flatnonzero(length > 1)
         while len(live):
             end = ends[live]
             beyond = np.concatenate([end, np.zeros((len(live), 1), np.int64)], axis=1)
@@ -165,24 +184,36 @@ class Codec:
         chars[unknown, 0] = tokens[unknown] - self.size
         return chars, np.where(unknown, 1, self.length[piece])
 
-    def _stable(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Whether merging each pair of tokens on its own leaves both as they are."""
-        keys, back = np.unique(left * (self.size + _CODES) + right, return_inverse=True)
-        new = np.array([k for k in keys.tolist() if k not in self.pairs], np.int64)
-        if len(new):
+    def _stable(self, left: np.ndarray, right: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Whether merging each pair of tokens on its own leaves both as they are; at most one pair of a row does.
+
+        So a row that has a pair known to be stable needs no other pair tried, and all its others count as not stable.
+        """
+        keys = left * (self.size + _CODES) + right
+        slot = (keys.astype(np.uint64) * _BASE >> np.uint64(64 - _PAIRS)).astype(np.int64)
+        known = self.pairs[slot]  # twice the key, and 1 if stable
+        same = known >> 1 == keys
+        good = same & (known & 1 > 0)
+        settled = np.zeros(row.max() + 1, bool)
+        settled[row[good]] = True
+        rest = np.flatnonzero(~same & ~settled[row])
+        if len(rest):
+            new, back = np.unique(keys[rest], return_inverse=True)
             a, b = new // (self.size + _CODES), new % (self.size + _CODES)
             (ca, la), (cb, lb) = self._token_chars(a), self._token_chars(b)
-            for total in np.unique(la + lb):
-                rows = np.flatnonzero(la + lb == total)
-                place = np.arange(total)
-                joined = np.where(place < la[rows, None], ca[rows[:, None], np.minimum(place, self.longest - 1)], cb[rows[:, None], np.clip(place - la[rows, None], 0, self.longest - 1)])
-                ends = self._merged(joined)
-                good = (ends[:, 0] == la[rows]) & (ends[np.arange(len(rows)), la[rows]] == total)
-                self.pairs.update(zip(new[rows].tolist(), good.tolist()))
-        return np.array([self.pairs[k] for k in keys.tolist()], bool)[back]
-
-    def _viterbi(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of words of equal length, one word after the other, and the number of tokens of each."""
+            whole, order = np.zeros(len(new), bool), np.argsort(la + lb)
+            for i in range(0, len(order), 2048):
+                rows = order[i : i + 2048]
+                place, before, total = np.arange((la + lb)[rows[-1]]), la[rows, None], (la + lb)[rows]
+                joined = np.where(place < before, ca[rows[:, None], np.minimum(place, self.longest - 1)], cb[rows[:, None], np.clip(place - before, 0, self.longest - 1)])
+                ends = self._merged(joined, total)
+                whole[rows] = (ends[:, 0] == la[rows]) & (ends[np.arange(len(rows)), la[rows]] == total)
+            good[rest] = whole[back]
+            self.pairs[slot[rest]] = 2 * keys[rest] + good[rest]
+        return good
+
+    def _viterbi(self, chars: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of words in order of length, one word after the other, and the number of tokens of each."""
         n, width = chars.shape
         found = self._found(chars)
         single = found[:, :, 0]
@@ -192,26 +223,27 @@ class Codec:
         best = np.full((n, width + 1), -np.inf)
         best[:, 0] = 0.0
         for end in range(1, width + 1):
+            shorter = int(np.searchsorted(length, end))
             sizes = np.arange(1, min(found.shape[2], end) + 1)
-            token = found[:, end - 1, : len(sizes)]
+            token = found[shorter:, end - 1, : len(sizes)]
             value = np.full(token.shape, -np.inf)
             row, k = np.nonzero(token >= 0)
-            at, what = end - sizes[k], token[row, k]
+            at, what, own = end - sizes[k], token[row, k].astype(np.int64), shorter + row
             if self.kind == BPE:
                 head = at == 0
                 good = np.ones(len(row), bool)
                 good[head] = np.where(what[head] < self.size, self.whole[np.minimum(what[head], self.size - 1)], True)
                 if not head.all():
-                    good[~head] = self._stable(last[row[~head], at[~head]], what[~head])
-                value[row, k] = np.where(good & (best[row, at] > -np.inf), 0.0, -np.inf)
+                    good[~head] = self._stable(last[own[~head], at[~head]], what[~head], row[~head])
+                value[row, k] = np.where(good & (best[own, at] > -np.inf), 0.0, -np.inf)
             else:
-                value[row, k] = best[row, at] + np.where(what < self.size, self.score[np.minimum(what, self.size - 1)], self.unknown_score)
+                value[row, k] = best[own, at] + np.where(what < self.size, self.score[np.minimum(what, self.size - 1)], self.unknown_score)
             choice = value.argmax(1)
-            rows = np.arange(n)
-            best[:, end], back[:, end], last[:, end] = value[rows, choice], sizes[choice], token[rows, choice]
-        if not (best[:, width] > -np.inf).all():
+            rows = np.arange(len(token))
+            best[shorter:, end], back[shorter:, end], last[shorter:, end] = value[rows, choice], sizes[choice], token[rows, choice]
+        if not (best[np.arange(n), length] > -np.inf).all():
             raise AssertionError("a word has no segmentation")
-        tokens, place = np.zeros((n, width), np.int64), np.full(n, width)
+        tokens, place = np.zeros((n, width), np.int64), length.copy()
         count, live = np.zeros(n, np.int64), np.arange(n)
         while len(live):
             tokens[live, width - 1 - count[live]] = last[live, place[live]]
@@ -239,50 +271,67 @@ class Codec:
             out[at : at + len(spelt[t])] = spelt[t]
         return out, np.bincount(owner, size, len(count)).astype(np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        """Segment new words, those of one length together, and remember them."""
-        length = np.array([len(w) for w in words])
-        flat, count, names = [self.flat], [self.count], []
-        for n in np.unique(length):
-            own = [words[i] for i in np.flatnonzero(length == n)]
-            step = max(1, 400_000 // int(n * min(n, self.longest)))
-            for i in range(0, len(own), step):
-                part = own[i : i + step]
-                chars = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), n)
-                tokens, sizes = self._with_bytes(*self._viterbi(chars))
-                flat.append(tokens.astype(np.int32))
-                count.append(sizes)
-                names += part
-        known = len(self.words)
-        self.flat, self.count = np.concatenate(flat), np.concatenate(count)
-        self.start = np.cumsum(self.count) - self.count
-        self.words.update(zip(names, range(known, known + len(names))))
-        if len(self.pairs) > MAX_WORDS:
-            self.pairs.clear()
+    def _segmented(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts, one after the other, and the number of each; parts are worked on in order of length."""
+        length = np.fromiter(map(len, parts), np.int64, len(parts))
+        order = np.argsort(length, kind="stable")
+        found, i = Ids(), 0
+        cells = length[order] * np.minimum(length[order], self.longest)  # what a part takes if it is the longest of its batch
+        while i < len(order):
+            most = np.flatnonzero(cells[i:] * np.arange(1, len(order) - i + 1) > CELLS) if CELLS < cells[-1] * (len(order) - i) else []
+            own = order[i : i + max(1, int(most[0]))] if len(most) else order[i:]
+            size = length[own]
+            chars = np.zeros((len(own), size[-1]), np.uint32)
+            chars[np.arange(size[-1]) < size[:, None]] = np.frombuffer("".join([parts[k] for k in own.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32)
+            tokens, count = self._with_bytes(*self._viterbi(chars, size))
+            found.add(tokens.astype(np.uint32), count)
+            i += len(own)
+        place = np.empty(len(parts), np.int64)
+        place[order] = np.arange(len(parts))
+        return found.of(place)
+
+    def _learn(self) -> None:
+        """Cut the words that are new, segment the parts that are new, and remember both."""
+        fresh, self.words.fresh = self.words.fresh, []
+        if not fresh:
+            return
+        mark = MARK if self.prefix else ""
+        text = mark + mark.join(fresh)
+        sizes = np.fromiter(map(len, fresh), np.int64, len(fresh)) + len(mark)
+        kinds = self.kinds[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        first = np.concatenate([[True], ~self.joined[kinds[:-1], kinds[1:]]])
+        starts = np.cumsum(sizes) - sizes
+        first[starts] = True
+        cuts = np.flatnonzero(first).tolist()
+        numbers = self.parts.numbers([text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)])])
+        new, self.parts.fresh = self.parts.fresh, []
+        if new:
+            self.part_ids.add(*self._segmented(new))
+        flat, count = self.part_ids.of(numbers)
+        self.word_ids.add(flat, np.add.reduceat(count, (np.cumsum(first) - 1)[starts]))
 
     def split(self, text: str) -> list[str]:
-        """The words of a text, with the marks of the blanks before each."""
+        """The words of a text, with the marks of the blanks before each; the first mark is left out if one is put first."""
         if not text:
             return []
-        marked = (MARK if self.prefix else "") + text.replace(" ", MARK)
-        if MARK * 2 in marked or marked[-1] == MARK or not self.prefix:
-            return _WORD.findall(marked)
-        return [MARK + w for w in marked[1:].split(MARK)]
+        if not self.prefix:
+            return _WORD.findall(text.replace(" ", MARK))
+        if MARK in text or "  " in text or text[0] == " " or text[-1] == " ":
+            return [w[1:] for w in _WORD.findall(MARK + text.replace(" ", MARK))]
+        return text.split(" ")
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the offsets of each."""
-        split = [self.split(t or "") for t in texts]
         if len(self.words) > MAX_WORDS:
-            self.forget()
-        new = list({w: None for words in split for w in words if w not in self.words})
-        if new:
-            self._learn(new)
-        known = self.words
-        code = np.array([known[w] for words in split for w in words], np.int64)
-        sizes = self.count[code]
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.repeat(self.start[code] - total[:-1], sizes) + np.arange(total[-1])]
-        return ids, total[np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int64)]
+            self.words, self.word_ids = Known(), Ids()
+        if len(self.parts) > MAX_WORDS:
+            self.parts, self.part_ids = Known(), Ids()
+        split = [self.split(t or "") for t in texts]
+        code = self.words.numbers(list(chain.from_iterable(split)))
+        self._learn()
+        ids, sizes = self.word_ids.of(code)
+        total = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        return ids.astype(np.int32), total[np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int64)]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 bytes of all texts, one after the other, and the offsets of each; the blank put first is dropped."""
@@ -324,6 +373,9 @@ def _encoder(shared, keep: list[str]):
                 same = np.array([s and np.array_equal(data[at[i] : at[i + 1]], source[of[i] : of[i + 1]]) for i, s in enumerate(same)], bool)
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), lists, pa.array(np.diff(offsets)), pa.array(same)], [*keep, "ids", "n_tokens", "round_trip"])
+            del batch, texts, ids, offsets, data, at, source, of, same, lists
+        codec.forget()  # workers wait idle beside the tasks of later stages
+        give_back()
 
     return encoded
 

@@ -102,6 +102,35 @@ def test_tokens_equal_the_library(kind):
         assert raw[of[k] : of[k + 1]].tobytes().decode() == (t or "")
 
 
+@pytest.mark.skipif(not os.path.exists(sp.MODEL), reason="no model")
+@pytest.mark.parametrize("fallback", [True, False])
+def test_parts_of_words_recur(fallback, monkeypatch):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    monkeypatch.setattr(sp, "MAX_WORDS", 300)
+    model = proto.ModelProto()
+    model.ParseFromString(open(sp.MODEL, "rb").read())
+    model.trainer_spec.byte_fallback = fallback
+    if not fallback:
+        for p in model.pieces:
+            p.type = proto.ModelProto.SentencePiece.Type.UNUSED if p.type == 6 else p.type
+    lib = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+    codec = sp.Codec(sp.read_pieces()._replace(fallback=fallback))
+    rng = np.random.default_rng(5)
+    stems = ["Haus", "représentation", "Ähre", "qüx", "漢字漢", "😀😀", "naïve\n", "x\x00y", "ﷺ", "Œuvre", "12.5", "a" * 40, "ñandú"]
+    odd = [" ", "  ", ".", ",", "\n", "!?", "😀", "é", "(", "***", "\x00", "z", ")."]
+    for _ in range(25):
+        texts = ["".join(rng.choice(stems) + rng.choice(odd) + rng.choice(odd) for _ in range(rng.integers(30))) for _ in range(20)]
+        ids, at = codec.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [lib.encode(t) for t in texts]
+    assert codec.pairs.nbytes == 8 << sp._PAIRS  # doesn't grow with what has been read
+    seen, segmented = [], codec._segmented
+    codec._segmented = lambda parts: seen.extend(parts) or segmented(parts)
+    codec.encode([f"Weltraumschiff{mark}" for mark in (".", ",", ";", "!", "?", "\n", "”")] + ["(Weltraumschiff"])
+    assert sum("eltraumschiff" in p for p in seen) <= 2  # with the blank before it, and without
+
+
 def test_token_rows(spark):
     docs = spark.createDataFrame([(1, "some words here", "x"), (2, None, "x"), (2, "", "x"), (3, "▁ é", "x")], "doc_id long, text string, ids string")
     rows = sp.encode_documents(docs)
