@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plotweave.llm.arrow_text import chunks
+from plotweave.llm.arrow_text import chunks, give_back
 from plotweave.llm.exact_dedup import one_each
 from plotweave.operators.graph import connected_components
 from plotweave.plans.durable import Scratch
@@ -261,6 +261,7 @@ def _joining(threshold: float):
                             root[p] = q
                             links.append((min(node[a], node[b]), max(node[a], node[b])))
         pairs = np.array(links, np.int64).reshape(-1, 2)
+        give_back()
         return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return join
