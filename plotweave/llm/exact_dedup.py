@@ -83,15 +83,17 @@ def one_each(docs: DataFrame, id_col: str, key: Column, decided: DataFrame, name
     """The rows of ``docs`` that are decided to stay, with their columns.
 
     ``decided`` has doc_id, key, kept, n: rows of one id (null is an id) and ``key`` stay or go; n is how many there
-    are, of which one stays. Pairs that it doesn't list stay. Only rows of repeated pairs are read a second time.
+    are, of which one stays. Pairs that it doesn't list stay. Only rows of repeated pairs are read a second time. Pairs
+    that go are told by a broadcast if they are at most BROADCAST; else ``docs`` is shuffled with its texts.
     """
     odd = Scratch(docs.sparkSession, name).write(decided.where("not kept or n > 1").select(F.col("doc_id").alias("__odd_id"), F.col("key").alias("__odd_key"), "kept"), "decided")
     keyed = docs.withColumns({"__own_id": F.col(id_col).cast("long"), "__own_key": key})
     met = F.col("__own_id").eqNullSafe(F.col("__odd_id")) & (F.col("__own_key") == F.col("__odd_key"))
-    out = keyed.join(odd.drop("kept"), met, "left_anti")
+    near = F.broadcast if odd.count() <= BROADCAST else lambda side: side  # so that texts stay where they are
+    out = keyed.join(near(odd.drop("kept")), met, "left_anti")
     again = odd.where("kept").drop("kept")
     if not again.isEmpty():
-        out = out.union(keyed.join(again, met, "left_semi").dropDuplicates(["__own_id", "__own_key"]))
+        out = out.union(keyed.join(near(again), met, "left_semi").dropDuplicates(["__own_id", "__own_key"]))
     return out.drop("__own_id", "__own_key")
 
 

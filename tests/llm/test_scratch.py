@@ -30,3 +30,26 @@ def test_tables_send_small_batches_to_python(spark):
         assert spark.conf.get(BATCH) == "1m"
     finally:
         spark.conf.unset(BATCH)
+
+
+def test_texts_stay_where_they_are_while_few_rows_go(spark, monkeypatch):
+    from plotweave.llm import exact_dedup
+
+    rows = [(i % 40 if i % 9 else None, f"Text {i % 25}".upper() if i % 2 else f"text {i % 25}", i) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # sizes at which Spark itself broadcasts nothing
+    try:
+        few = exact_dedup.keep_exact(docs)
+        assert "SortMergeJoin" not in few._jdf.queryExecution().executedPlan().toString()
+        got = sorted((str(r["doc_id"]), r["text"].lower()) for r in few.collect())
+        monkeypatch.setattr(exact_dedup, "BROADCAST", 0)
+        many = exact_dedup.keep_exact(docs)
+        assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString()
+        assert got == sorted((str(r["doc_id"]), r["text"].lower()) for r in many.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    best = {}
+    for i, t, _ in rows:
+        best[t.lower()] = max(best.get(t.lower(), -1), -1 if i is None else i)
+    assert got == sorted((str(i), t) for t, i in best.items())
