@@ -21,6 +21,9 @@ from plotweave.llm.arrow_text import chunks, code_points, utf8
 PASSAGES_PER_LANG = 60  # bound of the sample that is learnt from: passages of labelled rows, drawn from all their text
 PASSAGE = 1_000  # characters of a passage
 WINDOW = 840  # divisible by 1 to 8, so that windows of texts of one short period agree about phrases at once
+TABLE = 1 << 23  # moves of a language's automaton up to which they lie in a table over all states and symbols (32 MB)
+FACTOR = 0x9E3779B97F4A7C15  # of the hash table's keys
+FEW = 64  # windows up to which they are parsed on one by one
 UNKNOWN = "und"
 
 
@@ -40,8 +43,32 @@ def letters(text: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
+class Windows:
+    """Windows of texts, longest first; the symbols of all windows at one place lie side by side, so a step reads them in order."""
+
+    def __init__(self, offsets: np.ndarray, window: int = WINDOW):
+        self.texts = len(offsets) - 1
+        per = -(-np.diff(offsets) // window)
+        self.owner = np.repeat(np.arange(self.texts), per)
+        self.rank = np.arange(len(self.owner)) - np.repeat(np.cumsum(per) - per, per)
+        self.start, self.end = offsets[self.owner] + self.rank * window, offsets[self.owner + 1]
+        self.stop = np.minimum(self.start + window, self.end)
+        size = self.stop - self.start
+        self.order = np.argsort(-size, kind="stable")
+        longer = np.searchsorted(-size[self.order], -np.arange(size.max(initial=0)), side="left")  # windows longer than each place
+        bounds = np.concatenate([[0], np.cumsum(longer)])
+        row = np.empty(len(size), np.int64)
+        row[self.order] = np.arange(len(size))
+        self.place = (bounds[np.arange(int(size.sum())) - np.repeat(self.start, size)] + np.repeat(row, size)).astype(np.int32 if bounds[-1] < 1 << 31 else np.int64)
+        self.bounds = bounds.tolist()
+
+
 class Automaton:
-    """The suffix automaton of a text; transitions (state, symbol) -> state lie in a hash table that numpy probes."""
+    """The suffix automaton of a text. A move is the next state times 2, and 1 if a phrase starts at the symbol.
+
+    States are multiples of ``width``, the number of symbols of the text and one for all others. Moves lie in a table
+    over all states and symbols or, where that would exceed TABLE, in a hash table that numpy probes.
+    """
 
     def __init__(self, symbols: list[int], alphabet: int):
         moves: list[dict[int, int]] = [{}]
@@ -69,11 +96,21 @@ class Automaton:
                     link[q] = link[new] = clone
             last = new
         self.size = max(len(symbols), 2)
-        self.alphabet = alphabet
-        self.root = np.zeros(alphabet, np.int64)  # a symbol that the language lacks is a phrase of its own
-        self.root[list(moves[0])] = list(moves[0].values())
-        keys = np.array([state * alphabet + c for state, m in enumerate(moves) for c in m], np.int64)
-        values = np.array([to for m in moves for to in m.values()], np.int64)
+        seen = sorted(moves[0])
+        self.width = len(seen) + 1
+        self.code = np.zeros(alphabet, np.uint8 if len(seen) < 256 else np.uint32)
+        self.code[seen] = np.arange(1, len(seen) + 1)
+        self.root = np.ones(self.width, np.int64)  # a symbol that the language lacks is a phrase of its own
+        self.root[self.code[list(moves[0])]] += np.array(list(moves[0].values()), np.int64) * (2 * self.width)
+        states = np.repeat(np.arange(len(moves)), [len(m) for m in moves])
+        keys = states * self.width + self.code[[c for m in moves for c in m]]
+        values = np.array([to for m in moves for to in m.values()], np.int64) * (2 * self.width) + (states == 0)
+        self.table = None
+        if len(moves) * self.width <= TABLE:
+            self.table = np.tile(self.root.astype(np.int32), len(moves))
+            self.table[keys] = values
+            self._entries = memoryview(self.table)
+            return
         self.bits = max(4, int(4 * len(keys) + 1).bit_length())
         self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
         slots, left = self._slot(keys), np.arange(len(keys))
@@ -83,97 +120,105 @@ class Automaton:
             left = left[self.keys[slots[left]] != keys[left]]
             slots[left] = (slots[left] + 1) & ((1 << self.bits) - 1)
         self.values[slots] = values
+        self._keys, self._entries = memoryview(self.keys), memoryview(self.values)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+        return ((keys.view(np.uint64) * np.uint64(FACTOR)) >> np.uint64(64 - self.bits)).view(np.int64)
 
-    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """The state after each symbol; -1 where there is no transition."""
-        key = state * self.alphabet
-        key += symbol
+    def moves(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The move from each state by each symbol."""
+        key = state + symbol
+        if self.table is not None:
+            return self.table.take(key)
         slot = self._slot(key)
         found = self.keys.take(slot)
         out = self.values.take(slot)
-        miss = found != key
-        out[miss] = -1
-        left = np.flatnonzero(miss & (found >= 0))
+        left = np.flatnonzero((found != key) & (found >= 0))
         while len(left):
             slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
-            found = self.keys[slot[left]]
-            hit = found == key[left]
-            out[left[hit]] = self.values[slot[left[hit]]]
-            left = left[~hit & (found >= 0)]
-        return out
-
-    def _advance(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The state after each symbol, and whether a phrase starts at it."""
-        to = self.step(state, symbol)
-        stop = np.flatnonzero(to < 0)
-        begins = state == 0
-        begins[stop] = True
-        to[stop] = self.root[symbol[stop]]
-        return to, begins
-
-    def phrases(self, symbols: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> np.ndarray:
-        """The number of phrases of the greedy parse of each text; texts are ``symbols`` between ``offsets``."""
-        n = len(offsets) - 1
-        per = -(-np.diff(offsets) // window)
-        owner = np.repeat(np.arange(n), per)
-        if not len(owner):
-            return np.zeros(n, np.int64)
-        rank = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
-        start, end = offsets[owner] + rank * window, offsets[owner + 1]
-        stop = np.minimum(start + window, end)
-        order = np.argsort(start - stop, kind="stable")
-        sizes = (stop - start)[order]
-        longer = np.searchsorted(-sizes, -np.arange(int(sizes[0])), side="left")  # windows longer than each place
-        at, mark = start[order], np.zeros(len(symbols) + 1, np.int8)  # 1 where a phrase starts, if one starts with its window
-        state = np.zeros(len(order), np.int64)
-        for j in range(int(sizes[0])):
-            k = longer[j]
-            state[:k], mark[at[:k]] = self._advance(state[:k], symbols[at[:k]])
-            at[:k] += 1
-        ahead = np.zeros(len(order), np.int64)
-        ahead[order] = state
-        before = np.concatenate([[0], np.cumsum(mark, dtype=np.int64)])
-        counts = before[stop] - before[start]
-        leave = self._last_phrase(symbols, ahead, stop, end)
-        usual, entry = leave.copy(), start.copy()
-        follows = np.flatnonzero(rank > 0)
+            found[left] = self.keys[slot[left]]
+            out[left] = self.values[slot[left]]
+            left = left[(found[left] != key[left]) & (found[left] >= 0)]
+        return np.where(found == key, out, self.root.take(symbol))
+
+    def _move(self, state: int, symbol: int) -> int:
+        key = state + symbol
+        if self.table is not None:
+            return self._entries[key]
+        slot = (key * FACTOR & 0xFFFFFFFFFFFFFFFF) >> (64 - self.bits)
+        while (found := self._keys[slot]) != key:
+            if found < 0:
+                return int(self.root[symbol])
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+        return self._entries[slot]
+
+    def phrases(self, symbols: np.ndarray, offsets: np.ndarray, window: int = WINDOW, windows: Windows | None = None) -> np.ndarray:
+        """The number of phrases of the greedy parse of each text; texts are ``symbols`` between ``offsets``, cut into ``windows``."""
+        w = windows or Windows(offsets, window)
+        own = self.code.take(symbols)
+        side, starts = np.empty_like(own), np.empty(len(own), bool)  # by place in the windows
+        side[w.place] = own
+        state = np.zeros(len(w.order), np.int64)
+        for a, b in zip(w.bounds[:-1], w.bounds[1:]):
+            move = self.moves(state[: b - a], side[a:b])
+            np.bitwise_and(move, 1, out=starts[a:b], casting="unsafe")
+            np.right_shift(move, 1, out=state[: b - a])
+        mark = starts[w.place]  # where a phrase starts, if one starts with its window
+        before = np.zeros(len(own) + 1, np.int64)
+        np.cumsum(mark, out=before[1:])
+        counts, leave, entry = before[w.stop] - before[w.start], w.stop.copy(), w.start.copy()
+        ahead = np.empty_like(state)
+        ahead[w.order] = state
+        rows = np.flatnonzero(w.stop < w.end)
+        self._onward(own, mark, before, w, counts, leave, leave, rows, w.stop[rows], ahead[rows])  # to the end of the last phrase
+        usual = leave.copy()
+        follows = np.flatnonzero(w.rank > 0)
         while True:  # until each window is parsed from where the phrase before it ends
             late = follows[leave[follows - 1] != entry[follows]]
             if not len(late):
-                return np.bincount(owner, counts, n).astype(np.int64)
+                return np.bincount(w.owner, counts, w.texts).astype(np.int64)
             entry[late] = leave[late - 1]
             counts[late], leave[late] = 0, entry[late]
-            rows = late[entry[late] < stop[late]]
-            at, state = entry[rows], np.zeros(len(rows), np.int64)
-            while len(rows):
-                state, begins = self._advance(state, symbols[at])
-                out = begins & (at >= stop[rows])
-                leave[rows[out]] = at[out]
-                same = begins & ~out & (mark[at] > 0)  # from here on the parse is the one that is known
-                counts[rows[same]] += before[stop[rows[same]]] - before[at[same]]
-                leave[rows[same]] = usual[rows[same]]
-                counts[rows[begins & ~out & ~same]] += 1
-                at = at + 1
-                ended = ~out & ~same & (at == end[rows])
-                leave[rows[ended]] = at[ended]
-                on = ~(out | same | ended)
-                rows, at, state = rows[on], at[on], state[on]
-
-    def _last_phrase(self, symbols: np.ndarray, state: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Where the phrase ends that is open, with ``state``, before each place ``at``."""
-        leave = at.copy()
-        rows = np.flatnonzero(at < end)
-        state, at = state[rows], at[rows]
-        while len(rows):
-            state, begins = self._advance(state, symbols[at])
-            at = at + ~begins
-            leave[rows] = at
-            on = ~begins & (at < end[rows])
-            rows, state, at = rows[on], state[on], at[on]
-        return leave
+            rows = late[entry[late] < w.stop[late]]
+            self._onward(own, mark, before, w, counts, leave, usual, rows, entry[rows], np.zeros(len(rows), np.int64))
+
+    def _onward(self, own, mark, before, w, counts, leave, usual, rows, at, state) -> None:
+        """Parse the windows ``rows`` on from ``at`` until a phrase starts behind the window, or where the known parse has one.
+
+        Adds to ``counts`` and sets ``leave``, where the phrase begins that starts behind the window. Few windows are
+        parsed on one by one, as a step of all costs as much for one as for FEW.
+        """
+        while len(rows) > FEW:
+            move = self.moves(state, own[at])
+            begins = (move & 1) > 0
+            out = begins & (at >= w.stop[rows])
+            same = begins & ~out & mark[at]  # from here on the parse is the one that is known
+            leave[rows[out]] = at[out]
+            counts[rows[same]] += before[w.stop[rows[same]]] - before[at[same]]
+            leave[rows[same]] = usual[rows[same]]
+            counts[rows[begins & ~out & ~same]] += 1
+            at = at + 1
+            ended = ~out & ~same & (at == w.end[rows])
+            leave[rows[ended]] = at[ended]
+            on = ~(out | same | ended)
+            rows, at, state = rows[on], at[on], move[on].astype(np.int64) >> 1
+        text, known, move_of = memoryview(own), memoryview(mark), self._move
+        for row, k, now, stop, end in zip(rows.tolist(), at.tolist(), state.tolist(), w.stop[rows].tolist(), w.end[rows].tolist()):
+            count = 0
+            while k < end:
+                move = move_of(now, text[k])
+                if move & 1:
+                    if k >= stop:
+                        break
+                    if known[k]:
+                        count += before[stop] - before[k]
+                        k = usual[row]
+                        break
+                    count += 1
+                now = move >> 1
+                k += 1
+            counts[row] += count
+            leave[row] = k
 
 
 class Model:
@@ -208,7 +253,8 @@ class Model:
         size = np.diff(offsets)
         if not len(symbols) or not self.langs:
             return np.full(n, -1), np.zeros(n)
-        counts = np.array([x.phrases(symbols, offsets) for x in self.automata], np.float64)
+        windows = Windows(offsets)
+        counts = np.array([x.phrases(symbols, offsets, windows=windows) for x in self.automata], np.float64)
         rate = counts * np.array([math.log2(x.size) for x in self.automata])[:, None] / np.maximum(size, 1)
         best = rate.argmin(0)
         low_rate = rate.min(0)

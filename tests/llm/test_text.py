@@ -44,6 +44,25 @@ def test_cross_parsing_counts(window):
         assert automaton.phrases(symbols, offsets, window).tolist() == [brute_phrases(t, train[k]) for t in rows]
 
 
+@pytest.mark.parametrize("table", [0, langid.TABLE])
+@pytest.mark.parametrize("few", [0, 2, 64])
+def test_cross_parsing_takes_a_step_a_place(table, few, monkeypatch):
+    """Tables over all symbols and hash tables give the same phrases; what is left of few windows costs no step of all."""
+    monkeypatch.setattr(langid, "TABLE", table)
+    monkeypatch.setattr(langid, "FEW", few)
+    rng = random.Random(4)
+    train = {k: "".join(rng.choice(a) for _ in range(700)) for k, a in (("x", "abcd "), ("z", "".join(map(chr, range(0x4E00, 0x4F90)))))}
+    texts = [train["x"] * 4, train["z"][5:] + train["z"], "abc" * 500, "Ж", "", *("".join(rng.choice(train["xz"[n % 2]]) for _ in range(n)) for n in range(1, 400, 7))]
+    model = langid.Model(train)
+    symbols, offsets = model.symbol[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)], np.cumsum([0, *map(len, texts)])
+    steps, moves = [], langid.Automaton.moves
+    monkeypatch.setattr(langid.Automaton, "moves", lambda self, *a: steps.append(1) or moves(self, *a))
+    for lang, automaton in zip(model.langs, model.automata):
+        steps.clear()
+        assert automaton.phrases(symbols, offsets, 50).tolist() == [brute_phrases(t, train[lang]) for t in texts]
+        assert few < 64 or len(steps) < 100  # 50 in the windows; 1,000 to 2,000 if each step of one window were one of all
+
+
 def test_language_decision_is_the_fewest_normalised_phrases(spark):
     train = {"en": "the cat sat on the mat and the dog", "fr": "le chat est sur le tapis et le chien"}
     texts = ["The cat, and the dog!", "le chien est le chat", "dog", "zzz", "Le 3e chat: sur the mat", "é"]
