@@ -19,7 +19,11 @@ import heapq
 import os
 import re
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from codecs import charmap_decode
+from collections.abc import Collection, Iterator
+from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from plotweave.llm.arrow_text import chunks
+from plotweave.llm.arrow_text import chunks, utf8
 
 MODEL = "/opt/tokenizers/word_bpe_49k.json"
 WINDOW = 4096
@@ -36,8 +40,21 @@ BLOCK = 256  # windows of a block
 FINE = ((64, 32, 4), (8, 256, 1))  # (tokens of an item, a block's share that is cut so is one in so many, windows at least)
 SLACK = 16  # tokens a window that stay free in a block
 CHUNK = 4_000_000  # bytes of text that are worked on together
-KNOWN = 16_000_000  # characters of words whose ids a Python worker remembers
-_PIECE = re.compile(r"[^\W\d_]+|\d|(?:[^\w \n\t]|_)+[^\W\d_]*")  # letters, a digit, or marks and the letters after them
+PART = 1 << 16  # characters that are looked up at once
+KNOWN = 16_000_000  # characters of pieces whose ids a Python worker remembers
+_BLANK, _LETTER, _DIGIT, _MARK = range(4)
+#: Whether a piece begins at a character (column) after another (row). A piece is letters, a digit, or marks and the letters after them.
+_BEGINS = np.array([[0, 1, 1, 1], [0, 0, 1, 1], [0, 1, 1, 1], [0, 0, 1, 0]], bool)
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Whether each code point is a blank, a letter, a digit or a mark."""
+    kinds, everything = np.full(0x110000, _MARK, np.uint8), "".join(map(chr, range(0x110000)))
+    for pattern, kind in (("[ \n\t]", _BLANK), (r"[^\W\d_]+", _LETTER), (r"\d+", _DIGIT)):
+        for found in re.finditer(pattern, everything):
+            kinds[found.start() : found.end()] = kind
+    return kinds
 
 
 class Known(dict):
@@ -52,7 +69,7 @@ class Known(dict):
         self.fresh.append(key)
         return number
 
-    def numbers(self, keys: list[str]) -> np.ndarray:
+    def numbers(self, keys: Collection[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
 
 
@@ -73,19 +90,20 @@ class Ids:
         return self.flat[np.repeat(self.ends[numbers] - (stop - sizes), sizes) + np.arange(stop[-1] if len(stop) else 0)], sizes
 
 
-def _bytes_as_letters() -> dict[int, str]:
-    """Characters from 128 to 255 as the vocabulary writes their UTF-8 bytes: visible ones stand for themselves, the others follow from 256 on."""
+def _bytes_as_letters() -> str:
+    """The character by which the vocabulary writes each byte: visible ones stand for themselves, the others follow from 256 on; a blank stays."""
     seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters = {b: chr(b) for b in seen} | {b: chr(256 + n) for n, b in enumerate(sorted(set(range(256)) - set(seen)))}
-    return {c: "".join(letters[b] for b in chr(c).encode()) for c in range(128, 256)}
+    letters = {b: chr(b) for b in seen} | {b: chr(256 + n) for n, b in enumerate(sorted(set(range(256)) - set(seen)))} | {32: " "}
+    return "".join(letters[b] for b in range(256))
 
 
 _LETTERS = _bytes_as_letters()
 _LATIN = re.compile("[\x00-\xff]*").fullmatch
+_LATIN_LETTERS = re.compile("[A-Za-zªµºÀ-ÖØ-öø-ÿ]+").fullmatch
 
 
 class Words:
-    """Ids of texts by their words. A word that is new is cut into pieces, and the pieces that are new are encoded together.
+    """Ids of texts by their pieces. Texts are cut in numpy, and the pieces that are new are encoded together.
 
     Tokens of this kind of model span neither blanks, nor the place before or after a digit, nor that between a letter
     and a mark, so texts may be cut there. A text that isn't in the normal form C, or may hold the name of a special
@@ -105,15 +123,16 @@ class Words:
         self.forget()
 
     def forget(self) -> None:
-        self.words, self.pieces, self.word_ids, self.piece_ids, self.bytes = Known(), Known(), Ids(), Ids(), 0
+        self.known, self.ids, self.characters = Known(), Ids(), 0
 
     def _encoded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces, one after another, and the number of each."""
-        plain = np.fromiter((p.isalpha() and (p.isascii() or max(p) <= "\xff") for p in new), bool, len(new))
-        letters, odd = [p for p, k in zip(new, plain) if k], [p for p, k in zip(new, plain) if not k]
+        plain = np.fromiter(map(bool, map(_LATIN_LETTERS, new)), bool, len(new))
+        letters, odd = list(compress(new, plain)), list(compress(new, ~plain))
         found = Ids()
         if letters:
-            ids = np.array(self.merges.encode_batch_fast([" ".join(p.lower() if p.isascii() else p.lower().translate(_LETTERS) for p in letters)], add_special_tokens=False)[0].ids, np.uint32)
+            written = charmap_decode(" ".join(letters).lower().encode(), "strict", _LETTERS)[0]
+            ids = np.array(self.merges.encode_batch_fast([written], add_special_tokens=False)[0].ids, np.uint32)
             found.add(ids, np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0))
         if odd:
             whole = self.model.encode(" ".join(odd), add_special_tokens=False)
@@ -124,81 +143,103 @@ class Words:
         place[plain], place[~plain] = np.arange(len(letters)), len(letters) + np.arange(len(odd))
         return found.of(place)
 
-    def _learn(self) -> None:
-        fresh, self.words.fresh = self.words.fresh, []
-        cut = [_PIECE.findall(w) for w in fresh]
-        numbers = self.pieces.numbers([p for c in cut for p in c])
-        new, self.pieces.fresh = self.pieces.fresh, []
-        if new:
-            self.piece_ids.add(*self._encoded(new))
-        flat, sizes = self.piece_ids.of(numbers)
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        self.word_ids.add(flat, np.diff(total[np.cumsum([len(c) for c in cut])], prepend=0))
-        self.bytes += sum(map(len, fresh))
-
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and the offsets of each."""
-        if self.bytes > KNOWN:
+        if self.characters > KNOWN:
             self.forget()
         whole = [k for k, t in enumerate(texts) if not t.isascii() and not unicodedata.is_normalized("NFC", t) or "<|" in t]
         odd = dict(zip(whole, (e.ids for e in self.model.encode_batch([texts[k] for k in whole], add_special_tokens=False)))) if whole else {}
-        plain = ["" if k in odd else t.lower() if t.isascii() or _LATIN(t) else t for k, t in enumerate(texts)]  # in Latin letters, cases of a word share an entry
-        lists = pc.split_pattern(pa.array(plain, pa.string()), " ")
-        found = lists.flatten().dictionary_encode()  # so that Python sees each word of the texts once
-        numbers = self.words.numbers(found.dictionary.to_pylist())[found.indices.to_numpy()]
-        if self.words.fresh:
-            self._learn()
-        flat, sizes = self.word_ids.of(numbers)
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)]
+        plain = ["" if k in odd else t.lower() if t.isascii() or _LATIN(t) else t for k, t in enumerate(texts)]  # in Latin letters, cases of a piece share an entry
+        pieces, per = _cut(pa.array(plain, pa.large_string()))
+        found = pieces.dictionary_encode()  # so that Python sees each piece of the texts once
+        numbers = self.known.numbers(found.dictionary.to_numpy(zero_copy_only=False))[found.indices.to_numpy()]
+        del plain, pieces, found  # as a long text fills the memory several times
+        if fresh := self.known.fresh:
+            self.known.fresh = []
+            self.ids.add(*self._encoded(fresh))
+            self.characters += sum(map(len, fresh))
+        flat, sizes = self.ids.of(numbers)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[per]
         if not odd:
             return flat, ends
         parts = [np.array(odd[k], np.uint32) if k in odd else flat[ends[k] : ends[k + 1]] for k in range(len(texts))]
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
+def _cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of all texts, and the offsets of each text among them."""
+    data, offsets = utf8(texts)
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    begins, last = np.empty(len(points), bool), _BLANK
+    for k in range(0, len(points), PART):  # as indexes take up 8 bytes each
+        kind = _kinds().take(points[k : k + PART])
+        before = np.append(np.uint8(last), kind[:-1])
+        begins[k : k + PART] = _BEGINS.ravel().take(before * 4 + kind)
+        last = kind[-1]
+    del points
+    solid = (data != 32) & (data != 10) & (data != 9)
+    starts = np.zeros(len(data), bool)
+    starts[(data & 0xC0) != 0x80] = begins  # the first bytes of characters
+    firsts = offsets[:-1][offsets[:-1] < len(data)]
+    starts[firsts] = solid[firsts]  # whatever the text before ends with
+    per = np.searchsorted(np.flatnonzero(starts), offsets)
+    data, starts = data[solid], starts[solid]
+    ends = np.append(np.flatnonzero(starts), len(data)).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)]), per
+
+
 def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     """The window, 0 to k - 1, of each item, by the largest differencing method.
 
-    A partial partition holds the sums of its windows, falling, without those that are empty or equal to the least;
-    sums are counted from the least one. Windows that are merged become a node of a forest, from which items read
-    their window in the end.
+    A partial partition holds the sums of its windows, negative and rising, without empty ones. Most merges add one
+    item, so sums are lists. Windows that are merged become a node of a forest, from which items read their window in
+    the end.
     """
     n = len(sizes)
-    left, right = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
-    merged: list[tuple[np.ndarray, np.ndarray]] = []
-    nodes, heap, parts = n, [], {}
-    for i, size in enumerate(sizes.tolist()):
-        heap.append((-size, i))
-        parts[i] = (np.array([size], np.int64), np.array([i], np.int64))
+    heap = [(-size, i) for i, size in enumerate(sizes.tolist())]
     heapq.heapify(heap)
+    parts: dict[int, tuple[list[int], list[int]]] = {}  # of merged items
+    left: list[int] = []
+    right: list[int] = []
+    pop = lambda: parts.pop(i) if (i := (top := heapq.heappop(heap))[1]) >= n else ([top[0]], [i])
     name = n
     while len(heap) > 1:
-        (x, p), (y, q) = parts.pop(heapq.heappop(heap)[1]), parts.pop(heapq.heappop(heap)[1])
-        shared = max(0, len(x) + len(y) - k)  # windows that hold something of both: the least of x with the least of y
-        if shared:
-            a, b = len(x) - shared, len(y) - shared
-            merged.append((p[a:], q[b:][::-1]))
-            fresh = np.arange(nodes, nodes + shared)
-            nodes += shared
-            sums, owner = np.concatenate([x[:a], x[a:] + y[b:][::-1], y[:b]]), np.concatenate([p[:a], fresh, q[:b]])
+        (x, p), (y, q) = pop(), pop()
+        shared = len(x) + len(y) - k  # windows that hold something of both: the least of x with the least of y
+        one = min(len(x), len(y)) == 1
+        if one and len(y) > 1:
+            x, p, y, q, search = y, q, x, p, bisect_left  # of equal sums, those of the first partition come first
+        else:
+            search = bisect_right
+        if one:
+            (size,), (node,) = y, q
+            if shared > 0:
+                size += x.pop()
+                left.append(p.pop())
+                right.append(node)
+                node = n + len(left) - 1
+            at = search(x, size)
+            x.insert(at, size)
+            p.insert(at, node)
         else:
-            sums, owner = np.concatenate([x, y]), np.concatenate([p, q])
-        order = np.argsort(-sums, kind="stable")
-        sums, owner = sums[order], owner[order]
-        if len(sums) == k:
-            sums = sums - sums[-1]
-        parts[name] = (sums, owner)
-        heapq.heappush(heap, (-int(sums[0]), name))
+            both = max(shared, 0)
+            a, b = len(x) - both, len(y) - both
+            fresh = range(n + len(left), n + len(left) + both)
+            left += p[a:]
+            right += q[b:][::-1]
+            x, p = x[:a] + [c + d for c, d in zip(x[a:], y[b:][::-1])] + y[:b], p[:a] + [*fresh] + q[:b]
+            order = sorted(range(len(x)), key=x.__getitem__)
+            x, p = [x[i] for i in order], [p[i] for i in order]
+        parts[name] = x, p
+        heapq.heappush(heap, (x[0] - (x[-1] if len(x) == k else 0), name))
         name += 1
-    window = np.full(nodes, -1, np.int64)
-    if parts:
-        owner = parts.popitem()[1][1]
-        window[owner] = np.arange(len(owner))
-    if merged:
-        left, right = (np.concatenate(side) for side in zip(*merged))
-        for m in range(len(left) - 1, -1, -1):
-            window[left[m]] = window[right[m]] = window[n + m]
-    return window[:n]
+    window = [-1] * (n + len(left))
+    for _, i in heap:
+        for w, node in enumerate(parts[i][1] if i >= n else [i]):
+            window[node] = w
+    for m in range(len(left) - 1, -1, -1):
+        window[left[m]] = window[right[m]] = window[n + m]
+    return np.array(window[:n], np.int64)
 
 
 def windows_of(sizes: np.ndarray, capacity: int, least: int = 1) -> tuple[np.ndarray, int]:

@@ -2,9 +2,11 @@
 
 import heapq
 import random
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -101,3 +103,27 @@ def test_small_tables(spark):
     pieces = packing.pack(ties)
     pad = packing.padding(pieces).first()
     assert pad["n_tokens"] == 500 * 4 + 2500 and pad["n_padding"] <= packing.SLACK * 2
+
+
+def test_texts_are_cut_into_pieces_that_are_known_once():
+    """All characters after each kind of another; a stem with other marks beside it is not a string of its own."""
+    cut = re.compile(r"[^\W\d_]+|\d|(?:[^\w \n\t]|_)+[^\W\d_]*").findall
+    rng = random.Random(6)
+    kinds = ["a", "É", "日", "²", "½", "7", "٣", "_", "-", "é", "̈", " ", "\n", "\t", "\r", "\x1c", "\xa0", "😀", " ", "ª"]
+    texts = ["", " ", "a", "", *("".join(rng.choice(kinds) for _ in range(n)) for n in range(90)), "", "".join(chr(c) + "x " for c in range(0x11000) if not 0xD800 <= c < 0xE000), "9"]
+    pieces, per = packing._cut(pa.array(texts, pa.large_string()))
+    pieces = pieces.to_pylist()
+    assert [pieces[a:b] for a, b in zip(per[:-1], per[1:])] == [cut(t) for t in texts]
+    words = packing.Words(packing.MODEL)
+    texts = ["Haus, haus. (HAUS) haus!", "haus- über ÜBER, 12 1.2", ""]
+    ids, ends = words.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [words.model.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sorted(words.known) == sorted({p for t in texts for p in cut(t.lower())})
+
+
+def test_long_merges_equal_plain_form():
+    rng = random.Random(8)
+    for k in (1, 2, 5, 40):
+        sizes = [rng.choice([8, 64, 64, rng.randrange(1, 4000)]) for _ in range(300)]
+        got = np.bincount(packing.differencing(np.array(sizes), k), weights=sizes, minlength=k)
+        assert sorted(got.astype(int).tolist()) == sorted(sum(sizes[i] for i in own) for own in plain_differencing(sizes, k))
