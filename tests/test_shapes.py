@@ -147,6 +147,24 @@ def test_loops_equal_all_combinations(spark):
         assert [(g[f"x{n}"], g[f"y{n}"]) for n in range(4)] == [tuple(map(float, p)) for p in corners]
 
 
+def test_loops_of_any_number_of_lines(spark):
+    rng = random.Random(5)
+    clusters = {}
+    for c in range(6):
+        lines = [((20.0 * k, 1000.0 + 20 * (k % 7)), (20.0 * k + 9, 1500.0)) for k in range(48)]
+        for _ in range(c):
+            x, y, w, h = (rng.randrange(10, 60) for _ in range(4))
+            spots = [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+            lines += [(spots[k], spots[(k + 1) % 4]) for k in range(4)]
+        rng.shuffle(lines)
+        clusters[c] = [(k, p, q) for k, (p, q) in enumerate(lines)]
+    clusters[6] = [(k, (0.0, 0.0), (100.0, 0.0)) for k in range(400)]
+    rows = [(c, k, *map(float, (*p, *q))) for c, ls in clusters.items() for k, p, q in ls]
+    got = {r["cluster"]: [r[n] for n in "ijkm"] for r in loops.four_line_loops(spark.createDataFrame(rows, "cluster long, line long, x0 double, y0 double, x1 double, y1 double"), most=None).collect()}
+    want = {c: plain_loop(ls) for c, ls in clusters.items() if 0 < c < 6}
+    assert got == {c: w[0] for c, w in want.items() if w} | {6: [0, 1, 2, 3]} and len(got) > 4
+
+
 # --- snapping ---
 
 
