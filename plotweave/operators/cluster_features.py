@@ -11,8 +11,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plotweave.functions import geometry as g
 from plotweave.operators import features, loops, snapping
 
-LINE_LOOP = (4, 200)  # lines of a cluster between which a loop of four is looked for
-
 
 def lines(members: DataFrame) -> DataFrame:
     """key, seq, ax, ay, bx, by of the lines."""
@@ -44,14 +42,14 @@ def segments(members: DataFrame) -> DataFrame:
 def main_rectangles(members: DataFrame) -> DataFrame:
     """key, x0, y0, x1, y1, n_rects: the box of the largest rectangle of a cluster, of equals the first.
 
-    Rectangles are closed polylines along their box; where there is none, the first loop of four lines counts.
+    Rectangles are closed polylines along their box; where there is none, the first loop of four lines counts, however many lines the cluster has.
     """
     rects = outlines(members).where(features.is_rectangle())
     w, h = features.sides()
     best = F.min(F.struct((-(w * h)).alias("less"), "owner", "x0", "y0", "x1", "y1")).alias("best")
     found = rects.groupBy("key").agg(best, F.count(F.lit(1)).alias("n_rects")).select("key", "best.x0", "best.y0", "best.x1", "best.y1", "n_rects")
     own = lines(members).join(found.select("key"), "key", "left_anti")
-    loop = loops.four_line_loops(own.select(F.col("key").alias("cluster"), F.col("seq").alias("line"), F.col("ax").alias("x0"), F.col("ay").alias("y0"), F.col("bx").alias("x1"), F.col("by").alias("y1")))
+    loop = loops.four_line_loops(own.select(F.col("key").alias("cluster"), F.col("seq").alias("line"), F.col("ax").alias("x0"), F.col("ay").alias("y0"), F.col("bx").alias("x1"), F.col("by").alias("y1")), most=None)
     low, high = (lambda c: F.least(*(F.col(f"{c}{k}") for k in range(4)))), (lambda c: F.greatest(*(F.col(f"{c}{k}") for k in range(4))))
     return found.union(loop.select(F.col("cluster"), low("x"), low("y"), high("x"), high("y"), F.lit(0).cast("long")))
 

@@ -93,3 +93,10 @@ def test_features_of_built_clusters(spark):
     assert true("air_curtain") == {3} and got[6]["arrow_way"] == "Outward"
     assert got[9]["n_lines"] == 0 and got[9]["ratio"] is None
     assert cf.cluster_features(frame(spark, clusters).limit(0)).count() == 0
+
+
+def test_main_rectangles_of_many_lines(spark):
+    far = [line(20 * k, 1000, 20 * k + 9, 1500) for k in range(250)]
+    sides = [line(0, 0, 40, 0), line(40, 0, 40, 20), line(40, 20, 0, 20), line(0, 20, 0, 0)]
+    got = {r["key"]: tuple(r)[1:] for r in cf.main_rectangles(frame(spark, {1: far + sides, 2: far, 3: sides})).collect()}
+    assert got == {k: (0.0, 0.0, 40.0, 20.0, 0) for k in (1, 3)}
