@@ -20,7 +20,7 @@ def cells(df: DataFrame, cell: float, grow: float = 0.0, keys: tuple[str, str] =
     return df.withColumn(keys[0], F.explode(span(x0, x1))).withColumn(keys[1], F.explode(span(y0, y1)))
 
 
-def _level(cell: float, grow: float) -> Column:
+def level(cell: float, grow: float) -> Column:
     """Doublings of the cell after which a box touches at most MAX_CELLS cells."""
     x0, y0, x1, y1 = g.box()
     side = F.greatest(x1 - x0, y1 - y0) + 2 * grow
@@ -28,22 +28,32 @@ def _level(cell: float, grow: float) -> Column:
     return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(side, F.lit(1e-9)) / (cell * reach)))).cast("int")
 
 
+def levels_of(*sides: DataFrame) -> list[int]:
+    """The levels that any of the tables has, a few whole numbers."""
+    return sorted({x[0] for side in sides for x in side.select("level").distinct().collect()})
+
+
+def tiled(df: DataFrame, levels: list[int], cell: float, tol: float) -> DataFrame:
+    """One row for each cell (grid, gx, gy) that a box touches, grown by half of ``tol``, in the grids of its own level and all coarser ones."""
+    every = F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")
+    out = df.withColumn("grid", F.explode(F.filter(every, lambda v: v >= F.col("level"))))
+    size = F.lit(cell) * F.pow(F.lit(2.0), F.col("grid"))
+    x0, y0, x1, y1 = g.box()
+    span = lambda a, b: F.sequence(F.floor((a - tol / 2) / size), F.floor((b + tol / 2) / size))
+    return out.withColumn("gx", F.explode(span(x0, x1))).withColumn("gy", F.explode(span(y0, y1)))
+
+
 def band_join(left: DataFrame, right: DataFrame, on: list[str], cell: float, tol: float, predicate: Column) -> DataFrame:
     """Pairs of boxes, as columns l_* and r_*, with equal ``on`` that meet ``predicate``, which implies nearness ``tol``.
 
     Boxes of all sizes are taken: each carries the level of its grid. A box is filed at its own level, and looks into
     the grids of all levels that the other side has; these are logarithmic in the largest box.
     """
-    l, r = left.withColumn("level", _level(cell, tol)), right.withColumn("level", _level(cell, tol))
-    levels = sorted({x[0] for side in (l, r) for x in side.select("level").distinct().collect()})  # a few whole numbers
-    every = F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")
+    l, r = left.withColumn("level", level(cell, tol)), right.withColumn("level", level(cell, tol))
+    levels = levels_of(l, r)
 
     def filed(df: DataFrame, prefix: str) -> DataFrame:
-        out = df.withColumn("grid", F.explode(F.filter(every, lambda v: v >= F.col("level"))))
-        size = F.lit(cell) * F.pow(F.lit(2.0), F.col("grid"))
-        x0, y0, x1, y1 = g.box()
-        span = lambda a, b: F.sequence(F.floor((a - tol / 2) / size), F.floor((b + tol / 2) / size))
-        out = out.withColumn("gx", F.explode(span(x0, x1))).withColumn("gy", F.explode(span(y0, y1)))
+        out = tiled(df, levels, cell, tol)
         return out.select(*[F.col(c).alias(f"{prefix}{c}") for c in out.columns])
 
     a, b = filed(l, "l_"), filed(r, "r_")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plotweave.functions import geometry as g, scalars as s
-from plotweave.operators import classify, grouping, matching, selections, spatial
+from plotweave.operators import classify, grouping, matching, selections, spatial, tiles
 from plotweave.operators.graph import connected_components
 from plotweave.sources import dxf
 
@@ -56,6 +56,24 @@ def test_band_join_is_brute_force_with_large_boxes(spark):
     assert got == want
 
 
+def test_tiles_unite_what_pairs_unite(spark):
+    rng = random.Random(11)
+    rows = [*boxes(rng, 150), *((5, 1000 + k, x, y, x + 1.0, y + rng.choice([1.0, 60.0])) for k in range(500) for x, y in [(rng.randrange(60) / 4, rng.randrange(3000) / 4)])]
+    df = spark.createDataFrame(rows, "doc_id int, handle long, x0 double, y0 double, x1 double, y1 double")
+    for tol, cell in ((5.0, 4.0), (0.25, 32.0)):
+        near = [(a[1], b[1]) for a, b in itertools.combinations(rows, 2) if a[0] == b[0] and max(a[2] - b[4], b[2] - a[4]) <= tol and max(a[3] - b[5], b[3] - a[5]) <= tol]
+        got = {r["node"]: r["component"] for r in tiles.near_components(df, ["doc_id"], "handle", tol, tiles.near(tol), cell).collect()}
+        assert got == roots([r[1] for r in rows], near) and len(set(got.values())) > 2
+
+
+def test_many_boxes_at_a_place_make_a_row_each(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(tiles.Scratch, "write", lambda self, df, name, write=tiles.Scratch.write: written.append((name, write(self, df, name))) or written[-1][1])
+    df = spark.createDataFrame([(1, k, 0.0, 0.0, 1.0, 1.0) for k in range(3000)], "doc_id int, handle long, x0 double, y0 double, x1 double, y1 double")
+    assert {r["component"] for r in grouping.box_components(df).collect()} == {0}
+    assert [d.count() for name, d in written if name == "roots"] == [3000] and not any(d.count() for name, d in written[-1:] if name == "edges")
+
+
 def brute_merge(rows, gap, ratio=None):
     groups = [(h, (x0, y0, x1, y1), 1, d) for d, h, x0, y0, x1, y1 in rows]
     while True:
