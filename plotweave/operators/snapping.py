@@ -3,7 +3,7 @@
 Points come in an order. A point belongs to the first node, in that order, that lies within ``tol``; where there is
 none it becomes a node. So a point is a node exactly if no earlier node is within ``tol`` of it.
 
-Points are dealt to tiles of many tolerances. A tile gets the points around it as well and is walked in order; it
+Drawings of moderate size are walked as they are. Points of larger ones are dealt to tiles of many tolerances. A tile gets the points around it as well and is walked in order; it
 decides its own points as far as all earlier points near them are decided, and leaves the others to the next round,
 when the tiles beside it have gone on. So chains of decisions run through a tile in one round, and rounds only count
 how often a chain crosses tiles. No list of pairs is made.
@@ -13,12 +13,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plotweave.plans.durable import Scratch
+from plotweave.plans.groups import over_groups
 
 TILE = 64  # tolerances a tile is wide
+WHOLE = 100_000  # segments of a drawing that one task walks
 _OPEN, _NODE, _TAKEN = 0, 1, 2
 _STATE = "drawing long, x double, y double, at long, state int"
 
@@ -109,11 +113,62 @@ def snapped(points: DataFrame, tol: float = 2.0) -> DataFrame:
     return points.join(found, (F.col("drawing") == F.col("p_drawing")) & (F.col("x") == F.col("p_x")) & (F.col("y") == F.col("p_y")) & F.col("at").isNotNull(), "left").drop("p_drawing", "p_x", "p_y")
 
 
+def _drawings(tol: float):
+    def walk(columns: dict[str, np.ndarray], starts: np.ndarray) -> dict[str, np.ndarray | pa.Array]:
+        """Both nodes of each segment of whole drawings, whose segments come in order."""
+        n = len(columns["segment"])
+        sides = [(columns[f"x{k}"] + 0.0, columns[f"y{k}"] + 0.0) for k in (0, 1)]
+        fit = [np.isfinite(x) & np.isfinite(y) for x, y in sides]
+        xs, ys, fits = [x.tolist() for x, _ in sides], [y.tolist() for _, y in sides], [f.tolist() for f in fit]
+        node = [np.zeros(n, np.int64), np.zeros(n, np.int64)]
+        segment, first = columns["segment"].tolist(), set(starts.tolist())
+        spots: dict[int, tuple[float, float]] = {}  # of a drawing's nodes
+        at_x, at_y = [[0.0] * n, [0.0] * n], [[0.0] * n, [0.0] * n]
+        for row in range(n):
+            if row in first:
+                nodes, spots, known = _Near(tol), {}, {}
+            for k in (0, 1):
+                if not fits[k][row]:
+                    continue
+                x, y = xs[k][row], ys[k][row]
+                at = known.get((x, y))
+                if at is None:
+                    at = nodes.least(x, y)
+                    if at is None:
+                        at = segment[row] * 2 + k
+                        nodes.add(x, y, at)
+                        spots[at] = (x, y)
+                    known[x, y] = at
+                node[k][row] = at
+                at_x[k][row], at_y[k][row] = spots[at]
+        out: dict[str, np.ndarray | pa.Array] = {"drawing": columns["drawing"], "segment": columns["segment"]}
+        for k, name in enumerate("ab"):
+            for c, values in ((name, node[k]), (f"{name}x", np.array(at_x[k])), (f"{name}y", np.array(at_y[k]))):
+                out[c] = pa.array(values, mask=~fit[k])
+        return out
+
+    return walk
+
+
 def snapped_segments(segments: DataFrame, tol: float = 2.0) -> DataFrame:
     """drawing, segment, a, ax, ay, b, bx, by: segments between nodes; ``segments`` has drawing, segment, x0, y0, x1, y1.
 
-    Points come segment by segment, the start before the end.
+    Points come segment by segment, the start before the end. Drawings of up to WHOLE segments are walked as they are,
+    many in a task; larger ones, and those with segments without a number, go by tiles.
     """
+    rows = segments.select(F.col("drawing").cast("long").alias("drawing"), F.col("segment").cast("long").alias("segment"), *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
+    scratch = Scratch(segments.sparkSession, "segments")
+    counts = rows.groupBy("drawing").agg(F.count(F.lit(1)).alias("n"), F.count("segment").alias("numbered"))
+    hard = scratch.write(counts.where(f"drawing is null or n > {WHOLE} or numbered < n").select(F.col("drawing").alias("hard")), "hard")
+    none = hard.isEmpty()
+    plain = rows if none else rows.where("drawing is not null").join(hard, F.col("drawing") == F.col("hard"), "left_anti")
+    found = over_groups(plain, ["drawing"], ["segment"], _drawings(tol), "drawing long, segment long, a long, ax double, ay double, b long, bx double, by double")
+    if none:
+        return found
+    return found.union(_tiled_segments(rows.join(hard, F.col("drawing").eqNullSafe(F.col("hard")), "left_semi"), tol))
+
+
+def _tiled_segments(segments: DataFrame, tol: float) -> DataFrame:
     ends = F.array(*(F.struct((F.col("segment") * 2 + k).alias("at"), F.lit(k).alias("side"), F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in (0, 1)))
     points = snapped(segments.select("drawing", "segment", F.inline(ends)), tol)
     of = lambda k, c: F.max(F.when(F.col("side") == k, F.col(c)))
@@ -138,7 +193,7 @@ def arrows(segments: DataFrame, tol: float = 2.0, least: float = 20.0, most: flo
     out = s.select("drawing", F.inline(F.array(
         F.struct(F.col("a").alias("tip"), "segment", F.col("ax").alias("x"), F.col("ay").alias("y"), (F.col("bx") - F.col("ax")).alias("dx"), (F.col("by") - F.col("ay")).alias("dy")),
         F.struct(F.col("b").alias("tip"), "segment", F.col("bx").alias("x"), F.col("by").alias("y"), (F.col("ax") - F.col("bx")).alias("dx"), (F.col("ay") - F.col("by")).alias("dy")))))
-    out = Scratch(segments.sparkSession, "arrows").write(out, "spokes")
+    out = Scratch(segments.sparkSession, "arrows").write(out, "spokes")  # read twice below
     other = out.select("drawing", "tip", F.col("segment").alias("second"), F.col("dx").alias("ex"), F.col("dy").alias("ey"))
     met = out.withColumnRenamed("segment", "first").join(other, ["drawing", "tip"]).where("first < second")
     angle = angle_between(F.col("dx"), F.col("dy"), F.col("ex"), F.col("ey"))

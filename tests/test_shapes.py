@@ -230,6 +230,21 @@ def test_snapping_equals_the_sequential_loop(spark):
             assert got[0, k]["ab"[side]] == best
 
 
+def test_whole_drawings_snap_as_tiles_do(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(d, k, *p, *q) for d in range(40) for k, (p, q) in enumerate(random_segments(rng, rng.randrange(1, 120), 25))]
+    rows += [(50, 0, None, 1.0, 2.0, 3.0), (50, 1, float("nan"), 1.0, 2.5, 3.0), (50, 2, -0.0, 0.0, 0.0, 0.0), (None, 3, 1.0, 1.0, 2.0, 2.0), (51, None, 1.0, 1.0, 2.0, 2.0)]
+    df = spark.createDataFrame(rows, "drawing long, segment long, x0 double, y0 double, x1 double, y1 double")
+    found = lambda: sorted((str(tuple(r)) for r in snapping.snapped_segments(df).collect()))
+    names, dealt = ["drawing", "segment", "a", "ax", "ay", "b", "bx", "by"], []
+    tiled = snapping._tiled_segments
+    monkeypatch.setattr(snapping, "_tiled_segments", lambda s, tol: dealt.append({r["drawing"] for r in s.select("drawing").distinct().collect()}) or tiled(s, tol))
+    whole = found()
+    monkeypatch.setattr(snapping, "WHOLE", 60)
+    assert found() == whole and len(whole) == len(rows) and snapping.snapped_segments(df).columns == names
+    assert dealt[0] == {None, 51} and len(dealt[1]) > 10  # small drawings make no tiles
+
+
 def test_arrows_equal_the_loop(spark):
     rng = random.Random(9)
     segments = random_segments(rng, 250, 30)
