@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plotweave.functions import geometry as g
 from plotweave.operators import features, loops, snapping
+from plotweave.plans.durable import Scratch
 
 
 def lines(members: DataFrame) -> DataFrame:
@@ -117,7 +118,9 @@ def cluster_features(members: DataFrame) -> DataFrame:
     w_shape, diamonds (inside), diagonal, air_curtain, arrow_way (Inward, Outward or null), n_lines, n_circles.
     Clusters of any size are taken; one without entities doesn't exist. Entities without points have no part but in counts.
     """
-    rects = main_rectangles(members)
+    scratch = Scratch(members.sparkSession, "features")
+    members = scratch.write(members.select("key", "seq", "type", "pts", "closed", "radius"), "members")  # every feature reads them
+    rects = scratch.write(main_rectangles(members), "rects")
     r = _named(rects)
     w, h = F.col("rx1") - F.col("rx0"), F.col("ry1") - F.col("ry0")
     counts = members.groupBy("key").agg(F.count_if(F.col("type") == "LINE").alias("n_lines"), F.count_if(F.col("type") == "CIRCLE").alias("n_circles"))
