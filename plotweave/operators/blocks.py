@@ -136,8 +136,8 @@ def mapped_bulge(bulge: Column, p: str = "") -> Column:
     return F.when(determinant(p) < 0, -bulge).otherwise(bulge)
 
 
-def bulge_points(x0: Column, y0: Column, x1: Column, y1: Column, bulge: Column, parts: int = 16) -> Column:
-    """array<struct<x, y>>: the ends of a segment and ``parts`` - 1 points between them on its arc, to be mapped one by one."""
+def bulge_points(x0: Column, y0: Column, x1: Column, y1: Column, bulge: Column, parts: int = 16, steps: Column | None = None) -> Column:
+    """array<struct<x, y>>: the ends of a segment and ``parts`` - 1 points between them on its arc, to be mapped one by one; of them only ``steps`` if given."""
     turn = 4 * F.atan(bulge)
     dx, dy = x1 - x0, y1 - y0
     off = (1 - bulge * bulge) / (4 * bulge)
@@ -151,7 +151,7 @@ def bulge_points(x0: Column, y0: Column, x1: Column, y1: Column, bulge: Column,
         y = F.when(straight, y0 + dy * t).otherwise(cy + (x0 - cx) * s + (y0 - cy) * c)
         return F.struct(x.alias("x"), y.alias("y"))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(parts)), at)
+    return F.transform(F.sequence(F.lit(0), F.lit(parts)) if steps is None else steps, at)
 
 
 def mapped_text(x: Column, y: Column, height: Column, rotation_deg: Column, p: str = "") -> dict[str, Column]:

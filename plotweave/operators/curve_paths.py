@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -57,20 +58,43 @@ def polyline_polygon(vertices: Column, closed: Column, precision: int, start: bo
     consumers of the older form expect. A polyline of one vertex has that point, unless it is closed, when it has none of its own.
     """
     n = _checked(precision)
+
+    def curve(s: Column, t: Column, bulge: Column) -> Column:
+        return F.slice(bulge_points(s["x"], s["y"], t["x"], t["y"], bulge, n - 1), 2, n - 1)
+
+    first = F.transform(F.slice(vertices, 1, 1), lambda v: _point(v["x"], v["y"]))
+    if not start:
+        first = F.filter(first, lambda v: F.coalesce(F.get(vertices, F.lit(0))["bulge"], F.lit(0.0)) == 0)
+    return F.concat(first, _rests(vertices, closed, curve))
+
+
+def _rests(vertices: Column, closed: Column, curve: Callable[[Column, Column, Column], Column]) -> Column:
+    """The points of all segments after their first, ``curve`` being those of a bulged one."""
     nexts = F.when(F.coalesce(closed, F.lit(False)), F.concat(F.slice(vertices, 2, F.size(vertices)), F.slice(vertices, 1, 1))).otherwise(F.slice(vertices, 2, F.size(vertices)))
     pairs = F.arrays_zip(F.slice(vertices, 1, F.size(nexts)).alias("s"), nexts.alias("t"))
 
     def rest(z: Column) -> Column:
-        """A segment's points after its first."""
         s, t = z["s"], z["t"]
         bulge = F.coalesce(s["bulge"], F.lit(0.0))
-        curve = F.slice(bulge_points(s["x"], s["y"], t["x"], t["y"], bulge, n - 1), 2, n - 1)
-        return F.when(bulge == 0, F.array(_point(t["x"], t["y"]))).otherwise(curve)
+        return F.when(bulge == 0, F.array(_point(t["x"], t["y"]))).otherwise(curve(s, t, bulge))
 
-    first = F.transform(F.slice(vertices, 1, 1), lambda v: _point(v["x"], v["y"]))
-    if not start:
-        first = F.filter(first, lambda v: F.coalesce(F.get(vertices, F.lit(0))["bulge"], F.lit(0.0)) == 0)
-    return F.concat(first, F.flatten(F.transform(pairs, rest)))
+    return F.flatten(F.transform(pairs, rest))
+
+
+def _outermost(s: Column, t: Column, bulge: Column, parts: int) -> Column:
+    """Those of the points 1 to ``parts`` of an arc that any of its least and greatest x and y are at.
+
+    Between the ends x and y turn only at quarters of the circle, so the points on both sides of each quarter do.
+    """
+    off = (1 - bulge * bulge) / (4 * bulge)
+    cx, cy = (s["x"] + t["x"]) / 2 - (t["y"] - s["y"]) * off, (s["y"] + t["y"]) / 2 + (t["x"] - s["x"]) * off
+    first, turn = F.atan2(s["y"] - cy, s["x"] - cx), 4 * F.atan(bulge)
+    steps = [F.lit(1), F.lit(parts)]
+    for quarter in range(4):
+        ahead = F.pmod((quarter * math.pi / 2 - first) * F.signum(turn), F.lit(2 * math.pi))
+        before = F.floor(F.least(ahead / F.abs(turn), F.lit(1.0)) * parts).cast("int")
+        steps += [F.greatest(before, F.lit(1)), F.least(before + 1, F.lit(parts))]
+    return bulge_points(s["x"], s["y"], t["x"], t["y"], bulge, parts, F.array(*steps))
 
 
 def box_of(points: Column) -> dict[str, Column]:
@@ -78,11 +102,17 @@ def box_of(points: Column) -> dict[str, Column]:
     return {"x0": F.array_min(points["x"]), "y0": F.array_min(points["y"]), "x1": F.array_max(points["x"]), "y1": F.array_max(points["y"])}
 
 
-def polyline_box(vertices: Column, closed: Column) -> dict[str, Column]:
-    """The box of a polyline: of its vertices, or if any segment is bulged, of the points of its arcs."""
+def polyline_bounds(vertices: Column, closed: Column) -> Column:
+    """The points of a polyline that its box may rest on; a column of their own, as each side of the box asks for them."""
     bulged = F.exists(vertices, lambda v: F.coalesce(v["bulge"], F.lit(0.0)) != 0)
     plain = F.transform(vertices, lambda v: _point(v["x"], v["y"]))
-    return box_of(F.when(bulged, polyline_polygon(vertices, closed, POLYLINE_PRECISION)).otherwise(plain))
+    ends = F.slice(plain, 1, 1)
+    return F.when(bulged, F.concat(ends, _rests(vertices, closed, lambda s, t, bulge: _outermost(s, t, bulge, POLYLINE_PRECISION - 1)))).otherwise(plain)
+
+
+def polyline_box(vertices: Column, closed: Column) -> dict[str, Column]:
+    """The box of a polyline: of its vertices, or if any segment is bulged, of the points of its arcs."""
+    return box_of(polyline_bounds(vertices, closed))
 
 
 def boundary_points(edges: Column, precision: int = 16) -> Column:

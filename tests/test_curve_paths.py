@@ -91,3 +91,15 @@ def test_dashes(spark):
         _, pts, closed, pattern = rows[r["k"]]
         want = plain_dashes(pts, closed and len(pts) > 0, pattern, 0.25)
         assert [tuple(x) for x in r["d"]] == [pytest.approx(w, abs=1e-9) for w in want]
+
+
+def test_boxes_ask_few_points_of_an_arc(spark):
+    rng = random.Random(4)
+    rows = [(k, [(rng.uniform(-9, 9), rng.uniform(-9, 9), rng.choice([0.0, 1e-9, rng.uniform(-3, 3), 40.0, -1.0])) for _ in range(rng.randrange(1, 6))], k % 2 == 0) for k in range(400)]
+    rows += [(400 + k, [(0.0, 0.0, b), (1.0, 0.0, -b), (1.0, 0.0, b)], True) for k, b in enumerate((1.0, -1.0, math.tan(math.pi / 8), 1e6))]
+    df = spark.createDataFrame(rows, f"k long, v {VERTEX}, closed boolean")
+    box = cp.polyline_box(F.col("v"), F.col("closed"))
+    whole = cp.box_of(cp.polyline_polygon(F.col("v"), F.col("closed"), cp.POLYLINE_PRECISION))
+    assert df.where(F.expr("exists(v, q -> q.bulge <> 0)")).where(~F.forall(F.array(*(F.struct(box[n], whole[n]) for n in box)), lambda p: p["col1"] == p["col2"])).count() == 0
+    points = spark.createDataFrame(rows[400:401], df.schema).select(cp._outermost(F.col("v")[0], F.col("v")[1], F.lit(1.0), 254).alias("p")).first()["p"]
+    assert len(points) == 10
