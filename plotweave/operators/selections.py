@@ -62,11 +62,15 @@ def adaptive_tolerance(a: str, b: str, part: float = 0.2, least: float = 1.0, mo
     return F.least(F.greatest(F.least(*sides) * part, F.lit(least)), F.lit(most))
 
 
-def adaptive_pairs(boxes: DataFrame, on: list[str], key: str = "handle", cell: float = 32.0, most: float = 20.0) -> DataFrame:
-    """Pairs of boxes whose gaps are at most their own tolerance."""
+def adaptive_pairs(boxes: DataFrame, on: list[str], key: str = "handle", cell: float = 16.0, most: float = 20.0) -> DataFrame:
+    """Pairs of boxes whose gaps are at most their own tolerance.
+
+    No pair's tolerance exceeds that of a box with itself, so boxes are filed with the largest of these rather than with ``most``.
+    """
+    reach = boxes.select(F.max(adaptive_tolerance("", "", most=most))).first()[0]
     tol = adaptive_tolerance("l_", "r_", most=most)
     near = (g.axis_gap("l_", "r_", "x") <= tol) & (g.axis_gap("l_", "r_", "y") <= tol)
-    return band_join(boxes, boxes, on, cell, most, near & (F.col(f"l_{key}") < F.col(f"r_{key}")))
+    return band_join(boxes, boxes, on, cell, most if reach is None else min(most, reach), near & (F.col(f"l_{key}") < F.col(f"r_{key}")))
 
 
 def first_group(groups: DataFrame, entities: DataFrame, tol: float = 0.0) -> DataFrame:

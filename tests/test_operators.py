@@ -218,3 +218,16 @@ def test_corridor_labels_are_brute_force_without_a_list_of_obstacles(spark):
                   if d == e and x1 <= x <= x1 + 100 and y0 <= y <= y1 and not any(b[0] == d and b[1] != h and x1 < b[2] < x and b[3] <= y <= b[5] for b in rows))
     assert sorted(map(tuple, found.collect())) == want and len(want) > 20
     assert "LeftAnti" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_adaptive_pairs_file_boxes_by_their_own_tolerance(spark, monkeypatch):
+    tols, join = [], selections.band_join
+    monkeypatch.setattr(selections, "band_join", lambda *a: tols.append(a[4]) or join(*a))
+    for large in (False, True):
+        rows = [r for r in boxes(random.Random(31), 150) if r[1]] + [(0, 900, -40.0, -40.0, 160.0, 160.0), (0, 901, 175.0, 0.0, 375.0, 200.0)] * large
+        df = spark.createDataFrame(rows, "doc_id int, handle long, x0 double, y0 double, x1 double, y1 double")
+        tol = lambda a, b: min(max(min(a[4] - a[2], a[5] - a[3], b[4] - b[2], b[5] - b[3]) * 0.2, 1.0), 20.0)
+        want = sorted((a[1], b[1]) for a, b in itertools.combinations(rows, 2) if a[0] == b[0] and max(a[2] - b[4], b[2] - a[4]) <= tol(a, b) and max(a[3] - b[5], b[3] - a[5]) <= tol(a, b))
+        got = sorted((r["l_handle"], r["r_handle"]) for r in selections.adaptive_pairs(df, ["doc_id"]).collect())
+        assert got == want and ((900, 901) in want) == large
+    assert tols[0] < 2.0 and tols[1] == 20.0
